@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from worktide.evidence import Evidence
 from worktide.operators.scan import DAY_MICROS, running_sum, scan
-from worktide.session import prepare
+from worktide.session import prepare, spread
 
 TZ = "America/Toronto"
 LIMIT = "shared"
@@ -22,7 +22,7 @@ MAX_GAP_SECONDS = 1800
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    raw = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return raw.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
@@ -225,3 +225,19 @@ def evidence(spark: SparkSession, sf_dir: str) -> Evidence:
         "contexts": contexts, "quota": quota, "usage": usage,
     }
     return Evidence(**{name: partial(build, ev) for name, build in builders.items()})
+
+
+# Demo prices, laid out like STANDARD_PRICES; model m3 has none on purpose.
+PRICES = """
+m0  ordinary  -     2    0.5   -      10  -    -    -      -
+m1  separate  -     2.5  0.25  3.125  12  -    -    -      -
+m2  separate  2000  4    0.4   5      20  8    0.8  10     30
+"""
+
+
+def catalog(spark: SparkSession) -> DataFrame:
+    from datetime import date
+
+    from worktide.operators.pricing import price_rows
+
+    return price_rows(spark, PRICES, date(2024, 1, 1))

@@ -150,6 +150,202 @@ VIEWS: dict[str, str] = {
             FROM (SELECT *, CAST(unnest(generate_series({us_day('p')}, {us_day('q - 1')},
                                  INTERVAL 1 DAY)) AS DATE) AS day FROM facts) f)
         WHERE hi > lo""",
+    "counted": """
+        SELECT *, total AS c1, total // 4 AS c2,
+               CASE WHEN event_id % 5 <> 0 THEN total // 10 END AS c3, total // 2 AS c4,
+               total // 8 AS c5, total + total // 2 AS c6
+        FROM (SELECT *, CAST(sum(cents) OVER (PARTITION BY user_id, era ORDER BY us, event_id)
+                             AS BIGINT) AS total
+              FROM (SELECT *, sum(CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END)
+                           OVER (PARTITION BY user_id ORDER BY us, event_id) AS era
+                    FROM ev WHERE event_type IN ('view', 'click')))""",
+    "stepped": """
+        SELECT *, coalesce(c1 < p1 OR c2 < p2 OR c3 < p3 OR c4 < p4 OR c5 < p5 OR c6 < p6, FALSE)
+                  AS falls
+        FROM (SELECT *, row_number() OVER w = 1 AS first, lag(c1) OVER w AS p1,
+                     lag(c2) OVER w AS p2, lag(c3) OVER w AS p3, lag(c4) OVER w AS p4,
+                     lag(c5) OVER w AS p5, lag(c6) OVER w AS p6
+              FROM counted WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))""",
+    "usage": """
+        SELECT event_id, session_id, turn_id, us AS at_us, '/' || event_type AS cwd,
+               CASE WHEN event_id % 13 <> 0 THEN 'm' || (event_id % 4) END AS model_id, cents,
+               CASE WHEN first THEN c1 WHEN NOT falls THEN c1 - p1 END AS d1,
+               CASE WHEN first THEN c2 WHEN NOT falls THEN c2 - p2 END AS d2,
+               CASE WHEN first THEN c3 WHEN NOT falls THEN c3 - p3 END AS d3,
+               CASE WHEN first THEN c4 WHEN NOT falls THEN c4 - p4 END AS d4,
+               CASE WHEN first THEN c5 WHEN NOT falls THEN c5 - p5 END AS d5,
+               CASE WHEN first THEN c6 WHEN NOT falls THEN c6 - p6 END AS d6,
+               list_filter([
+                   CASE WHEN falls THEN 'counter_reset' END,
+                   CASE WHEN NOT falls AND NOT first AND c1 = p1 AND c2 = p2 AND c4 = p4
+                             AND c5 = p5 AND c6 = p6 AND coalesce(c3 - p3, 0) = 0
+                        THEN 'repeated_cumulative_usage' END,
+                   CASE WHEN NOT falls AND NOT first AND c3 IS NOT NULL AND p3 IS NULL
+                        THEN 'category_baseline_unavailable' END],
+                   lambda x: x IS NOT NULL) AS diagnostics,
+               CASE WHEN event_id % 6 <> 0 THEN
+                   CASE WHEN first THEN c1 WHEN NOT falls THEN c1 - p1 END END AS request
+        FROM stepped""",
+    "prices": """
+        SELECT * FROM (VALUES
+            ('m0', 'ordinary', NULL, 2.0, 0.5, NULL, 10.0, NULL, NULL, NULL, NULL),
+            ('m1', 'separate', NULL, 2.5, 0.25, 3.125, 12.0, NULL, NULL, NULL, NULL),
+            ('m2', 'separate', 2000, 4.0, 0.4, 5.0, 20.0, 8.0, 0.8, 10.0, 30.0))
+        AS v(price_id, mode, threshold, si, sc, sw, so, li, lc, lw, lo)""",
+    "priced": """
+        SELECT *, greatest(known - billed, 0) AS unbilled FROM (
+        SELECT *, n_cached + n_write + n_plain + n_out AS billed,
+               n_cached * coalesce(rc, 0) + n_write * coalesce(rw, 0) + n_plain * ri + n_out * ro
+                   AS cost
+        FROM (
+        SELECT *, CASE WHEN d1 = 0 AND coalesce(d2, 0) = 0 AND coalesce(d3, 0) = 0 THEN 0
+                       WHEN coalesce(d2, 0) + coalesce(d3, 0) > d1 THEN 0 ELSE coalesce(d2, 0) END
+                       AS n_cached,
+               CASE WHEN coalesce(d2, 0) + coalesce(d3, 0) > d1 OR mode = 'ordinary' THEN 0
+                    ELSE coalesce(d3, 0) END AS n_write,
+               CASE WHEN coalesce(d2, 0) + coalesce(d3, 0) > d1 THEN 0
+                    WHEN mode = 'ordinary' THEN d1 - d2
+                    WHEN d3 IS NOT NULL THEN d1 - d2 - d3 ELSE 0 END AS n_plain,
+               CASE WHEN coalesce(d5, 0) > d4 THEN 0 ELSE d4 END AS n_out,
+               greatest(coalesce(d6, 0), d1 + d4) AS known,
+               CASE WHEN d1 IS NULL THEN 'none'
+                    WHEN greatest(d1, d2, d3, d4, d5, d6) = 0 THEN 'free'
+                    WHEN price_id IS NULL THEN 'unlisted'
+                    WHEN threshold IS NOT NULL AND request IS NULL THEN 'unsized'
+                    WHEN d6 < d1 + d4 THEN 'clash' ELSE 'priced' END AS state
+        FROM (SELECT u.*, p.*, coalesce(request > threshold, FALSE) AS is_long,
+                     CASE WHEN request > threshold THEN li ELSE si END AS ri,
+                     CASE WHEN request > threshold THEN lc ELSE sc END AS rc,
+                     CASE WHEN request > threshold THEN lw ELSE sw END AS rw,
+                     CASE WHEN request > threshold THEN lo ELSE so END AS ro
+              FROM usage u LEFT JOIN prices p ON p.price_id = u.model_id)))""",
+    "bills": """
+        SELECT *, list_filter([
+                CASE WHEN NOT (d1 = 0 AND coalesce(d2, 0) = 0 AND coalesce(d3, 0) = 0)
+                      AND coalesce(d2, 0) + coalesce(d3, 0) > d1
+                     THEN 'input subsets exceed observed input; input remains unpriced' END,
+                CASE WHEN mode <> 'ordinary' AND d3 IS NULL AND d1 <> d2
+                     THEN 'cache-write evidence unavailable; non-cached input unpriced' END,
+                CASE WHEN coalesce(d5, 0) > d4
+                     THEN 'reasoning subset exceeds output; output remains unpriced' END],
+                lambda x: x IS NOT NULL) AS caveats
+        FROM priced""",
+    "billed_usage": """
+        SELECT session_id, turn_id, at_us, cwd, model_id, diagnostics, d1, d2, d3, d4, d5, d6,
+               CASE WHEN state = 'priced' THEN cost ELSE 0 END AS micro_usd,
+               CASE WHEN state = 'priced' THEN billed ELSE 0 END AS priced_tokens,
+               CASE state WHEN 'none' THEN 0 WHEN 'priced' THEN unbilled ELSE known END
+                   AS unpriced_tokens,
+               state = 'free' OR (state = 'priced' AND unbilled = 0 AND len(caveats) = 0)
+                   AS complete,
+               CASE WHEN state IN ('priced', 'clash') THEN
+                   CASE WHEN is_long THEN 'long' ELSE 'short' END END AS tier,
+               CASE state WHEN 'none' THEN ['usage increment unavailable']
+                   WHEN 'free' THEN CAST([] AS VARCHAR[])
+                   WHEN 'unlisted' THEN ['model has no verified Standard price']
+                   WHEN 'unsized' THEN
+                       ['request input size unavailable for long-context pricing']
+                   WHEN 'clash' THEN ['total tokens conflict with input/output categories']
+                   ELSE CASE WHEN len(caveats) = 0 AND unbilled > 0
+                        THEN ['total includes tokens without a billing category']
+                        ELSE caveats END END AS reasons
+        FROM bills""",
+    "walk": """
+        SELECT id, id AS cur, [id] AS path FROM sessions
+        UNION ALL
+        SELECT w.id, s.parent_id, list_append(w.path, s.parent_id)
+        FROM walk w JOIN sessions s ON s.id = w.cur
+        WHERE s.parent_id IN (SELECT id FROM sessions) AND NOT list_contains(w.path, s.parent_id)""",
+    "rooted": """
+        SELECT e.id AS session_id,
+               CASE WHEN s.parent_id IN (SELECT id FROM sessions) THEN list_min(e.path)
+                    ELSE e.cur END AS root_id,
+               CASE WHEN s.parent_id IS NULL THEN CAST([] AS VARCHAR[])
+                    WHEN s.parent_id IN (SELECT id FROM sessions) THEN ['cyclic_child_ancestry']
+                    ELSE ['orphaned_child'] END AS flags
+        FROM (SELECT id, arg_max(cur, len(path)) AS cur, arg_max(path, len(path)) AS path
+              FROM walk GROUP BY id) e JOIN sessions s ON s.id = e.cur""",
+    "seen": f"""
+        SELECT b.*, r.root_id, r.flags, o.archived AS root_archived
+        FROM billed_usage b JOIN rooted r ON r.session_id = b.session_id
+        JOIN sessions o ON o.id = r.root_id
+        WHERE {us_day('at_us')} BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'""",
+    "worked": """
+        SELECT DISTINCT d.session_id, d.cwd, r.root_id, s.parent_id IS NOT NULL AS is_child,
+               o.archived AS root_archived
+        FROM daily d JOIN rooted r ON r.session_id = d.session_id
+        JOIN sessions s ON s.id = d.session_id JOIN sessions o ON o.id = r.root_id
+        WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'""",
+    "gaps": """
+        SELECT w.*, NOT EXISTS (SELECT 1 FROM seen s WHERE s.session_id = w.session_id
+                                AND s.cwd = w.cwd) AS missing,
+               EXISTS (SELECT 1 FROM seen s WHERE s.session_id = w.session_id
+                       AND s.cwd = w.cwd AND s.model_id = 'm3') AS omitted
+        FROM worked w""",
+    "row_keys": """
+        SELECT cwd, root_id FROM seen WHERE model_id IS DISTINCT FROM 'm3'
+        UNION SELECT cwd, root_id FROM gaps WHERE NOT is_child AND (missing OR omitted)""",
+    "cells": """
+        SELECT cwd, root_id, session_id, model_id, d1, d2, d3, d4, d5, d6, 1 AS n,
+               CASE WHEN d6 IS NULL THEN 1 ELSE 0 END AS unsure, priced_tokens, unpriced_tokens,
+               micro_usd, complete, list_concat(list_concat(reasons, diagnostics), flags)
+               AS reasons, FALSE AS missing, FALSE AS omitted, TRUE AS attached
+        FROM seen WHERE model_id IS DISTINCT FROM 'm3'
+        UNION ALL
+        SELECT g.cwd, g.root_id, g.session_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, 0, 0,
+               0, 0, TRUE, CAST([] AS VARCHAR[]), missing, omitted,
+               NOT is_child OR (g.cwd, g.root_id) IN (SELECT (cwd, root_id) FROM row_keys)
+        FROM gaps g WHERE missing OR omitted
+        UNION ALL
+        SELECT cwd, root_id, session_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, 0, 0, 0, 0,
+               TRUE, CAST([] AS VARCHAR[]), FALSE, TRUE, FALSE
+        FROM seen WHERE model_id = 'm3'""",
+    "rollup_rows": """
+        SELECT * FROM (
+        SELECT CASE WHEN l = 1 THEN 'total' WHEN l = 2 THEN 'model' WHEN l = 3 THEN 'directory'
+                    WHEN l = 4 THEN 'directory_model' WHEN l = 5 THEN 'session'
+                    WHEN l = 6 THEN 'session_model' ELSE 'child' END AS level,
+               CASE WHEN l > 2 THEN cwd END AS cwd, CASE WHEN l > 4 THEN root_id END AS root_id,
+               CASE WHEN l = 7 THEN session_id END AS child_id,
+               CASE WHEN l IN (2, 4, 6, 7) THEN model_id END AS model_id,
+               CAST(sum(d1) AS BIGINT) AS input_tokens,
+               CAST(sum(d2) AS BIGINT) AS cached_input_tokens,
+               CAST(sum(d3) AS BIGINT) AS cache_write_input_tokens,
+               CAST(sum(d4) AS BIGINT) AS output_tokens,
+               CAST(sum(d5) AS BIGINT) AS reasoning_output_tokens,
+               CAST(sum(d6) AS BIGINT) AS total_tokens,
+               CAST(sum(n) AS BIGINT) AS observations,
+               CAST(sum(unsure) AS BIGINT) AS uncertain_observations,
+               count(DISTINCT CASE WHEN missing THEN session_id END) AS unavailable_sessions,
+               CAST(sum(priced_tokens) AS BIGINT) AS priced_tokens,
+               CAST(sum(unpriced_tokens) AS BIGINT) AS unpriced_tokens,
+               sum(micro_usd) AS micro_usd, bool_and(complete) AS complete,
+               bool_or(omitted) AS omitted,
+               list_sort(list_distinct(flatten(list(reasons)))) AS reasons
+        FROM cells, (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS l)
+        WHERE l = 1 OR (attached AND (l <> 7 OR session_id <> root_id))
+        GROUP BY ALL)
+        WHERE NOT (level IN ('model', 'directory_model', 'session_model') AND observations = 0)
+          AND NOT (level = 'child' AND observations = 0 AND unavailable_sessions = 0)""",
+    "rollup": """
+        SELECT level, cwd, root_id, child_id, model_id,
+               CASE WHEN observations = 0 THEN
+                        CASE WHEN omitted AND unavailable_sessions = 0 THEN 'excluded'
+                             ELSE 'unavailable' END
+                    WHEN uncertain_observations > 0 OR unavailable_sessions > 0 THEN 'partial'
+                    ELSE 'recorded' END AS status,
+               input_tokens, cached_input_tokens, cache_write_input_tokens, output_tokens,
+               reasoning_output_tokens, total_tokens, observations, uncertain_observations,
+               unavailable_sessions, priced_tokens, unpriced_tokens,
+               observations > 0 AND unavailable_sessions = 0 AND uncertain_observations = 0
+                   AND complete AS cost_complete,
+               round(CAST(micro_usd AS DOUBLE), 6) AS micro_usd,
+               round(CAST(micro_usd / 1000000 AS DOUBLE), 6) AS usd,
+               round(CAST(micro_usd * 1.35 / 1000000 AS DOUBLE), 6) AS cad,
+               array_to_string(CASE WHEN unavailable_sessions > 0 THEN list_sort(list_append(
+                   reasons, 'usage_unavailable_for_recorded_work')) ELSE reasons END, ',')
+                   AS diagnostics
+        FROM rollup_rows""",
     "roots": "SELECT * FROM sessions WHERE parent_id IS NULL",
     "root_daily": """
         SELECT d.*, r.quality AS session_quality
@@ -174,12 +370,15 @@ def _needed(body: str) -> list[str]:
 
 def statement(body: str) -> str:
     """A complete statement: the views the body uses, then the body."""
-    parts = [f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in _needed(body)]
+    parts = [
+        f"{name} AS {'' if name == 'walk' else 'MATERIALIZED '}({VIEWS[name]})"
+        for name in _needed(body)
+    ]
     inner = body.strip()
     if inner.upper().startswith("WITH "):
         inner = inner[5:]
-        return "WITH " + ",\n".join([*parts, inner])
-    return "WITH " + ",\n".join(parts) + "\n" + inner if parts else inner
+        return "WITH RECURSIVE " + ",\n".join([*parts, inner])
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + inner if parts else inner
 
 
 STATEMENTS: dict[str, str] = {
@@ -326,5 +525,72 @@ STATEMENTS["distinct_uncertainty_sum"] = """
               AND day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14')"""
 
 
+STATEMENTS.update({
+    "counter_delta": """
+        SELECT event_id, d1 AS input_tokens, d2 AS cached_input_tokens,
+               d3 AS cache_write_input_tokens, d4 AS output_tokens,
+               d5 AS reasoning_output_tokens, d6 AS total_tokens,
+               array_to_string(diagnostics, ',') AS diagnostics FROM usage""",
+    "request_input_proof": """
+        SELECT event_id, CASE WHEN d6 <> 0 AND d1 = cents AND d4 = cents // 2
+            AND d6 = cents + cents // 2 AND d2 = cents // 4 AND d5 = cents // 8
+            AND d3 IS NOT DISTINCT FROM CASE WHEN event_id % 5 <> 0 THEN cents // 10 END
+            THEN d1 END AS request FROM usage""",
+    "usage_identity": """
+        SELECT count(*) AS ids, 2 * count(*) AS readings, 64 AS digits FROM usage""",
+    "dedupe_usage": "SELECT session_id, count(*) AS observations FROM usage GROUP BY session_id",
+    "root_session": """
+        SELECT session_id, root_id, array_to_string(flags, ',') AS flags FROM rooted""",
+    "price_usage": """
+        SELECT session_id, turn_id, round(CAST(micro_usd AS DOUBLE), 6) AS micro_usd,
+               priced_tokens, unpriced_tokens, complete, tier,
+               array_to_string(reasons, ',') AS reasons FROM billed_usage""",
+    "coverage_gaps": """
+        SELECT session_id, cwd, root_id, attached FROM cells WHERE missing""",
+    "token_rollup": "SELECT * FROM rollup",
+    "token_report_filtered": """
+        WITH mine AS (SELECT * FROM seen WHERE cwd = '/view' AND NOT root_archived),
+        lacking AS (SELECT * FROM worked w WHERE cwd = '/view' AND NOT root_archived
+            AND NOT EXISTS (SELECT 1 FROM mine m WHERE m.session_id = w.session_id)),
+        parts AS (SELECT root_id, d6, priced_tokens, complete, 1 AS n,
+                    CASE WHEN d6 IS NULL THEN 1 ELSE 0 END AS unsure, 0 AS gap FROM mine
+            UNION ALL SELECT root_id, NULL, 0, TRUE, 0, 0, 1 FROM lacking
+            WHERE NOT is_child OR root_id IN (SELECT root_id FROM mine UNION
+                SELECT root_id FROM lacking WHERE NOT is_child))
+        SELECT root_id, CASE WHEN sum(n) = 0 THEN 'unavailable'
+                    WHEN sum(unsure) > 0 OR sum(gap) > 0 THEN 'partial' ELSE 'recorded' END AS status,
+               CAST(sum(d6) AS BIGINT) AS total_tokens,
+               CAST(sum(priced_tokens) AS BIGINT) AS priced_tokens,
+               CAST(sum(gap) AS BIGINT) AS unavailable_sessions,
+               sum(n) > 0 AND sum(gap) = 0 AND sum(unsure) = 0 AND bool_and(complete)
+                   AS cost_complete
+        FROM parts GROUP BY root_id""",
+    "projects_report": """
+        WITH work AS (SELECT cwd, session_id AS root_id, CAST(sum(micros) AS BIGINT) AS micros,
+                list_distinct(flatten(list(base_quality))) AS quality
+            FROM root_daily WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'
+            GROUP BY 1, 2),
+        tokens AS (SELECT * FROM rollup WHERE level = 'session'),
+        rows AS (SELECT coalesce(w.cwd, t.cwd) AS cwd, coalesce(w.root_id, t.root_id) AS root_id,
+                coalesce(micros, 0) AS micros, coalesce(w.quality, CAST([] AS VARCHAR[])) AS q,
+                t.status, t.total_tokens, t.micro_usd, t.cost_complete
+            FROM work w FULL JOIN tokens t ON t.cwd = w.cwd AND t.root_id = w.root_id),
+        named AS (SELECT r.*, s.title, list_sort(list_distinct(list_concat(q, s.quality))) AS quality
+            FROM rows r JOIN sessions s ON s.id = r.root_id),
+        dirs AS (SELECT cwd, CAST(sum(micros) AS BIGINT) AS micros,
+                list_sort(list_distinct(flatten(list(quality)))) AS quality FROM named GROUP BY cwd)
+        SELECT 'session' AS level, cwd, root_id, title, micros,
+               round(micros * 100.0 / (SELECT sum(micros) FROM named), 6) AS share_percent,
+               array_to_string(quality, ',') AS quality, status, total_tokens, micro_usd,
+               cost_complete FROM named
+        UNION ALL
+        SELECT 'directory', d.cwd, NULL, '', d.micros,
+               round(d.micros * 100.0 / (SELECT sum(micros) FROM named), 6),
+               array_to_string(d.quality, ','), r.status, r.total_tokens, r.micro_usd,
+               r.cost_complete
+        FROM dirs d JOIN rollup r ON r.level = 'directory' AND r.cwd = d.cwd""",
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: statement(body) for name, body in STATEMENTS.items()}

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from worktide.demo import evidence as demo
-from worktide.evidence import Evidence
+from worktide.evidence import COUNTERS, Evidence
 from worktide.functions.time import elapsed_micros
-from worktide.operators import attribution, intervals
-from worktide.plans import time_reports
+from worktide.operators import attribution, hierarchy, intervals, pricing, usage
+from worktide.plans import time_reports, token_reports
 from worktide.plans.period import Period
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,3 +171,86 @@ def model_only_rollup(ev: Evidence) -> DataFrame:
 @query
 def distinct_uncertainty_sum(ev: Evidence) -> DataFrame:
     return time_reports.model_uncertainty_total(ev, WEEK)
+
+
+# --- tokens and cost -------------------------------------------------------------
+
+EXCLUDED = ("m3",)
+RATE = Decimal("1.35")
+
+
+def session_query(build: Callable[[SparkSession, Evidence], DataFrame]):
+    QUERIES[build.__name__] = lambda spark, sf_dir: flat(
+        build(spark, demo.evidence(spark, sf_dir)))
+    return build
+
+
+@table_query
+def counter_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = usage.counter_delta(demo.counter_rows(demo.events(spark, sf_dir)))
+    return rows.select("event_id", *[F.col(f"delta.{n}").alias(n) for n in COUNTERS],
+                       "diagnostics")
+
+
+@table_query
+def request_input_proof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = usage.counter_delta(demo.counter_rows(demo.events(spark, sf_dir)))
+    return rows.select(
+        "event_id", usage.request_input(F.col("delta"), F.col("last_usage")).alias("request"))
+
+
+@query
+def usage_identity(ev: Evidence) -> DataFrame:
+    """As many ids as readings, and each a 64-digit hash."""
+    twice = ev.usage.unionByName(ev.usage)
+    return twice.agg(F.countDistinct("id").alias("ids"), F.count("*").alias("readings"),
+                     F.max(F.length("id")).alias("digits"))
+
+
+@query
+def dedupe_usage(ev: Evidence) -> DataFrame:
+    once = token_reports.dedupe_usage(ev.usage.unionByName(ev.usage))
+    return once.groupBy("session_id").agg(F.count("*").alias("observations"))
+
+
+@query
+def root_session(ev: Evidence) -> DataFrame:
+    return hierarchy.root_sessions(ev.sessions)
+
+
+@session_query
+def price_usage(spark: SparkSession, ev: Evidence) -> DataFrame:
+    priced = pricing.price_usage(ev.usage, demo.catalog(spark))
+    return priced.select("session_id", "turn_id", "micro_usd", "priced_tokens", "unpriced_tokens",
+                         "complete", "tier", "reasons")
+
+
+def _cells(spark: SparkSession, ev: Evidence) -> DataFrame:
+    return token_reports.token_cells(ev, WEEK, demo.catalog(spark), excluded_models=EXCLUDED)
+
+
+@session_query
+def coverage_gaps(spark: SparkSession, ev: Evidence) -> DataFrame:
+    return _cells(spark, ev).where("missing").select("session_id", "cwd", "root_id", "attached")
+
+
+@session_query
+def token_rollup(spark: SparkSession, ev: Evidence) -> DataFrame:
+    return token_reports.token_report(
+        ev, WEEK, demo.catalog(spark), rate=RATE, excluded_models=EXCLUDED)
+
+
+@session_query
+def token_report_filtered(spark: SparkSession, ev: Evidence) -> DataFrame:
+    return token_reports.token_report(
+        ev, WEEK, demo.catalog(spark), cwd="/view", archive="active"
+    ).where("level = 'session'").select("root_id", "status", "total_tokens", "priced_tokens",
+                                        "unavailable_sessions", "cost_complete")
+
+
+@session_query
+def projects_report(spark: SparkSession, ev: Evidence) -> DataFrame:
+    return token_reports.projects_report(
+        ev, WEEK, demo.catalog(spark), rate=RATE, excluded_models=EXCLUDED
+    ).select("level", "cwd", "root_id", "title", "micros", "share_percent", "quality", "status",
+             "total_tokens", "micro_usd", "cost_complete")

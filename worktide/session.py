@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Set-valued aggregates stay in their hash map; their sets are small by design.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     # A hot session or parent on the probe side of a join is split at run time.
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
@@ -48,3 +50,9 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/worktide-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Let a table in fewer files than there are cores use all of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
