@@ -137,6 +137,10 @@ def contexts(ev: DataFrame) -> DataFrame:
     ).where("c IS NOT NULL").select("session_id", "turn_id", "c.*")
 
 
+def _reading(resets_at, used_percent):
+    return F.struct(resets_at.alias("resets_at"), used_percent.alias("used_percent"))
+
+
 def quota(ev: DataFrame) -> DataFrame:
     bought = ev.where("event_type = 'purchase'").select(
         "event_id",
@@ -148,15 +152,31 @@ def quota(ev: DataFrame) -> DataFrame:
     placed = scan(bought, ["week"], "chunk", ["ts", "event_id"], rn=running_sum(F.col("one")))
     total = bought.groupBy("week").agg(F.count("*").alias("n"))
     used = F.floor(100 * F.col("rn") / F.col("n"))
+    event = F.col("event_id")
+    resets = F.unix_seconds("week") + 7 * 86_400 + event % 7
+    low = F.when(event % 19 == 0, F.greatest(used - 5, F.lit(0))).otherwise(used)
+    second_week = F.lit("2024-01-08").cast("timestamp")
+    readings = F.array(
+        _reading(resets, low.cast("double")),
+        # Two percentages at one instant, and a reading of last week's reset.
+        F.when(event % 211 == 0, _reading(resets, (low + 1).cast("double"))),
+        F.when(
+            (event % 43 == 0) & (F.col("ts") >= second_week),
+            _reading(resets - 7 * 86_400, F.lit(99.0)),
+        ),
+    )
     return placed.join(total, "week").select(
-        F.col("ts").alias("at"),
+        "ts", "event_id", F.explode(readings).alias("r"),
+    ).where("r IS NOT NULL").select(
+        # The old reset arrives a second later, so that it is no conflict.
+        F.when(F.col("r.used_percent") == 99.0, _shift(F.col("ts"), F.lit(1)))
+        .otherwise(F.col("ts")).alias("at"),
         F.lit(LIMIT).alias("limit_id"),
         F.lit(None).cast("string").alias("plan_type"),
         F.lit("primary").alias("bucket"),
         F.lit(WINDOW_MINUTES).cast("bigint").alias("window_minutes"),
-        (F.unix_seconds("week") + 7 * 86_400 + F.col("event_id") % 7).alias("resets_at"),
-        F.when(F.col("event_id") % 19 == 0, F.greatest(used - 5, F.lit(0)))
-        .otherwise(used).cast("double").alias("used_percent"),
+        "r.resets_at",
+        "r.used_percent",
     )
 
 

@@ -6,6 +6,8 @@ derived relations several statements need, `STATEMENTS` one body per query.
 
 from __future__ import annotations
 
+import re
+
 TZ = "America/Toronto"
 
 
@@ -72,15 +74,24 @@ VIEWS: dict[str, str] = {
         SELECT session_id, turn_id, us, 'm9', ['low', 'medium', 'high'][event_id % 3 + 1]
         FROM ev WHERE event_id % 11 = 0""",
     "quota": """
-        SELECT us AS at_us, 'primary' AS bucket,
-               epoch(week) ::BIGINT + 7 * 86400 + event_id % 7 AS resets_at,
-               CASE WHEN event_id % 19 = 0
-                    THEN greatest(floor(100 * rn / n) - 5, 0) ELSE floor(100 * rn / n) END AS used
-        FROM (SELECT *, date_trunc('week', ts) AS week,
-                     row_number() OVER (PARTITION BY date_trunc('week', ts)
-                                        ORDER BY ts, event_id) AS rn,
-                     count(*) OVER (PARTITION BY date_trunc('week', ts)) AS n
-              FROM ev WHERE event_type = 'purchase')""",
+        SELECT DISTINCT CASE WHEN r.used = 99 THEN us + 1000000 ELSE us END AS at_us,
+               'primary' AS bucket, r.resets AS resets_at, r.used AS used
+        FROM (SELECT us, unnest([
+                  struct_pack(resets := resets, used := low),
+                  CASE WHEN event_id % 211 = 0
+                       THEN struct_pack(resets := resets, used := low + 1) END,
+                  CASE WHEN event_id % 43 = 0 AND ts >= TIMESTAMP '2024-01-08'
+                       THEN struct_pack(resets := resets - 604800, used := CAST(99 AS DOUBLE))
+                       END]) AS r
+              FROM (SELECT *, epoch(week)::BIGINT + 604800 + event_id % 7 AS resets,
+                           CASE WHEN event_id % 19 = 0 THEN greatest(floor(100 * rn / n) - 5, 0)
+                                ELSE floor(100 * rn / n) END AS low
+                    FROM (SELECT *, date_trunc('week', ts) AS week,
+                                 row_number() OVER (PARTITION BY date_trunc('week', ts)
+                                                    ORDER BY ts, event_id) AS rn,
+                                 count(*) OVER (PARTITION BY date_trunc('week', ts)) AS n
+                          FROM ev WHERE event_type = 'purchase')))
+        WHERE r IS NOT NULL""",
     # --- derived -----------------------------------------------------------------
     "pieces": """
         SELECT session_id, id AS turn_id, cwd, s AS turn_start, e IS NULL AS unfinished, quality,
@@ -346,6 +357,107 @@ VIEWS: dict[str, str] = {
                    reasons, 'usage_unavailable_for_recorded_work')) ELSE reasons END, ',')
                    AS diagnostics
         FROM rollup_rows""",
+    "cohort_of": """
+        SELECT resets_at, first_value(resets_at) OVER (
+                   PARTITION BY (resets_at - 1704067200) // 604800 ORDER BY first_at, resets_at)
+                   AS cohort
+        FROM (SELECT resets_at, min(at_us) AS first_at FROM quota GROUP BY resets_at)""",
+    "moments": """
+        SELECT at_us, min(cohort) AS cohort,
+               min(cohort) <> max(cohort) OR min(used) <> max(used) AS conflict,
+               min(used) AS used, min(q.resets_at) AS resets_at
+        FROM quota q JOIN cohort_of c ON c.resets_at = q.resets_at GROUP BY at_us""",
+    "cohort_seen": """
+        SELECT cohort, min(at_us) AS seen_at FROM moments WHERE NOT conflict GROUP BY cohort""",
+    "verdicts": """
+        SELECT m.*, CASE WHEN conflict THEN 'conflict'
+                    WHEN EXISTS (SELECT 1 FROM cohort_seen a JOIN cohort_seen b
+                                 ON b.seen_at > a.seen_at AND b.seen_at <= m.at_us
+                                 WHERE a.cohort = m.cohort) THEN 'retired' END AS early,
+               sum(CASE WHEN conflict THEN 1 ELSE 0 END) OVER (ORDER BY at_us) AS conflicts
+        FROM moments m""",
+    "judged": """
+        SELECT at_us, cohort, used, resets_at, conflicts, coalesce(early,
+               CASE WHEN used < max(used) OVER (PARTITION BY cohort, early ORDER BY at_us
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                    THEN 'stale' ELSE 'accepted' END) AS verdict
+        FROM verdicts""",
+    "adjacent": """
+        SELECT at_us, cohort, used, resets_at,
+               CASE WHEN pc = conflicts THEN pa END AS from_us,
+               CASE WHEN pc = conflicts THEN used - pu END AS points
+        FROM (SELECT *, lag(at_us) OVER w AS pa, lag(used) OVER w AS pu, lag(conflicts) OVER w AS pc
+              FROM judged WHERE verdict = 'accepted'
+              WINDOW w AS (PARTITION BY cohort ORDER BY at_us))""",
+    "classed": f"""
+        SELECT *, {us_day('at_us')} AS day,
+               CASE WHEN from_us IS NULL THEN NULL
+                    WHEN from_us < {midnight_us("DATE '2024-01-08'")}
+                      OR {us_day('from_us')} <> {us_day('at_us')} THEN 'boundary'
+                    WHEN at_us - from_us > 1800000000 THEN 'gap' ELSE 'candidate' END AS kind
+        FROM adjacent WHERE {us_day('at_us')} BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'""",
+    "met": """
+        SELECT c.day, c.cohort, c.at_us, f.model_id, f.reasoning_level, f.session_id, f.turn_ids,
+               list_concat(f.quality, f.session_quality) AS quality,
+               least(c.at_us, f.q) - greatest(c.from_us, f.p) AS micros
+        FROM classed c JOIN root_daily f ON f.p < c.at_us AND f.q > c.from_us
+        WHERE c.kind = 'candidate'""",
+    "settled": """
+        SELECT c.*, coalesce(w.micros, 0) AS micros,
+               CASE WHEN c.kind = 'candidate' THEN
+                   CASE WHEN w.micros > 0 THEN 'matched' ELSE 'no_work' END ELSE c.kind END AS final
+        FROM classed c LEFT JOIN (SELECT at_us, cohort, sum(micros) AS micros FROM met
+                                  GROUP BY ALL) w
+          ON w.at_us = c.at_us AND w.cohort = c.cohort""",
+    "burn_keys": f"""
+        SELECT day, cohort FROM settled
+        UNION SELECT {us_day('at_us')}, cohort FROM judged WHERE verdict IN ('stale', 'retired')
+          AND {us_day('at_us')} BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'
+        UNION SELECT {us_day('j.at_us')}, c.cohort FROM judged j, (
+            SELECT DISTINCT cohort FROM cohort_of o JOIN quota q ON q.resets_at = o.resets_at
+            WHERE q.at_us < {midnight_us("DATE '2024-01-15'")}) c
+        WHERE j.verdict = 'conflict'
+          AND {us_day('j.at_us')} BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'""",
+    "burn": f"""
+        SELECT k.day, k.cohort,
+               coalesce(sum(points) FILTER (final = 'matched'), 0) AS matched_points,
+               CAST(coalesce(sum(micros) FILTER (final = 'matched'), 0) AS BIGINT) AS micros,
+               count(*) FILTER (final = 'matched') AS matched_windows,
+               count(*) FILTER (final = 'matched' AND NOT EXISTS (
+                   SELECT 1 FROM settled o WHERE o.cohort = s.cohort AND o.final = 'matched'
+                     AND o.at_us = s.from_us)) AS blocks,
+               coalesce(sum(points) FILTER (final = 'gap'), 0) AS gap_points,
+               coalesce(sum(points) FILTER (final = 'no_work'), 0) AS no_work_points,
+               coalesce(sum(points) FILTER (final = 'boundary'), 0) AS boundary_points,
+               list_distinct(list(final)) AS finals
+        FROM burn_keys k LEFT JOIN settled s ON s.day = k.day AND s.cohort = k.cohort
+        GROUP BY ALL""",
+    "burn_full": f"""
+        SELECT b.*, (SELECT count(*) FROM judged j WHERE j.cohort = b.cohort
+                       AND verdict IN ('stale', 'retired') AND {us_day('j.at_us')} = b.day)
+                   AS stale_readings,
+               list_sort(list_distinct(list_filter(list_concat(
+                   coalesce((SELECT flatten(list(quality)) FROM met m WHERE m.day = b.day
+                             AND m.cohort = b.cohort), CAST([] AS VARCHAR[])),
+                   ['low_confidence', 'account_wide_allowance',
+                    CASE WHEN list_contains(finals, 'boundary')
+                         THEN 'calendar_boundary_excluded' END,
+                    CASE WHEN list_contains(finals, 'gap') THEN 'quota_observation_gap' END,
+                    CASE WHEN list_contains(finals, 'no_work')
+                         THEN 'quota_without_root_work' END,
+                    CASE WHEN EXISTS (SELECT 1 FROM judged j WHERE j.cohort = b.cohort
+                              AND verdict = 'retired' AND {us_day('j.at_us')} = b.day)
+                         THEN 'retired_reset_reading' END,
+                    CASE WHEN EXISTS (SELECT 1 FROM judged j WHERE verdict = 'conflict'
+                              AND {us_day('j.at_us')} = b.day)
+                         THEN 'conflicting_quota_observation' END]),
+                   lambda x: x IS NOT NULL))) AS quality,
+               coalesce((SELECT sum(uncertainty) FROM (
+                   SELECT DISTINCT t.session_id, t.id, t.uncertainty
+                   FROM (SELECT session_id, unnest(turn_ids) AS tid FROM met m
+                         WHERE m.day = b.day AND m.cohort = b.cohort) x
+                   JOIN turns t ON t.session_id = x.session_id AND t.id = x.tid)), 0) AS uncertainty
+        FROM burn b""",
     "roots": "SELECT * FROM sessions WHERE parent_id IS NULL",
     "root_daily": """
         SELECT d.*, r.quality AS session_quality
@@ -354,18 +466,17 @@ VIEWS: dict[str, str] = {
 
 
 def _needed(body: str) -> list[str]:
-    import re
+    """Views the body uses, each after the views it uses itself."""
+    order: list[str] = []
 
-    names = list(VIEWS)
-    wanted: set[str] = set()
-    stack = [body]
-    while stack:
-        words = set(re.findall(r"[A-Za-z_]+", stack.pop()))
-        for name in names:
-            if name in words and name not in wanted:
-                wanted.add(name)
-                stack.append(VIEWS[name])
-    return [name for name in names if name in wanted]
+    def visit(text: str, inside: str = "") -> None:
+        for word in re.findall(r"[A-Za-z_]+", text):
+            if word in VIEWS and word != inside and word not in order:
+                visit(VIEWS[word], word)
+                order.append(word)
+
+    visit(body)
+    return order
 
 
 def statement(body: str) -> str:
@@ -592,5 +703,60 @@ STATEMENTS.update({
 })
 
 
+STATEMENTS.update({
+    "quota_select": """
+        SELECT at_us, resets_at, CAST(used AS DOUBLE) AS used_percent FROM quota""",
+    "reset_cohorts": "SELECT resets_at, cohort FROM cohort_of",
+    "quota_verdicts": """
+        SELECT j.at_us, j.cohort, CAST(j.used AS DOUBLE) AS used_percent, verdict,
+               a.from_us AS previous_us
+        FROM judged j LEFT JOIN adjacent a ON a.at_us = j.at_us AND a.cohort = j.cohort
+          AND j.verdict = 'accepted'""",
+    "classify_pairs": """
+        SELECT at_us, cohort, CAST(day AS VARCHAR) AS day, kind, CAST(points AS DOUBLE) AS points
+        FROM classed""",
+    "burn_rows": """
+        SELECT CAST(day AS VARCHAR) AS day, 'primary' AS bucket,
+               cohort AS resets_at, CAST(matched_points AS DOUBLE) AS matched_points, micros,
+               round(micros / 3600000000.0, 6) AS working_hours,
+               round(matched_points / nullif(micros / 3600000000.0, 0), 6) AS points_per_hour,
+               matched_windows,
+               round(blocks / nullif(micros / 3600000000.0, 0), 6) AS rounding_sensitivity,
+               CAST(gap_points AS DOUBLE) AS gap_points,
+               CAST(no_work_points AS DOUBLE) AS no_work_points,
+               CAST(boundary_points AS DOUBLE) AS boundary_points, stale_readings,
+               array_to_string(quality, ',') AS quality,
+               CAST(uncertainty AS DOUBLE) AS uncertainty
+        FROM burn_full""",
+    "burn_mix": """
+        SELECT CAST(day AS VARCHAR) AS day, cohort AS resets_at, model_id, reasoning_level,
+               CAST(micros AS BIGINT) AS micros,
+               round(micros * 100.0 / sum(micros) OVER (PARTITION BY day, cohort), 6) AS percentage
+        FROM (SELECT day, cohort, model_id, reasoning_level, sum(micros) AS micros
+              FROM met GROUP BY ALL)""",
+    "latest_reading": """
+        SELECT at_us, resets_at, CAST(used AS DOUBLE) AS used_percent,
+               CAST(100 - used AS DOUBLE) AS remaining_percent
+        FROM classed ORDER BY at_us DESC LIMIT 1""",
+    "all_time_snapshot": f"""
+        SELECT at_us, resets_at, CAST(used AS DOUBLE) AS used_percent,
+               CAST(100 - used AS DOUBLE) AS remaining_percent
+        FROM judged WHERE verdict = 'accepted'
+          AND {us_day('at_us')} = (SELECT max({us_day('at_us')}) FROM quota)
+        ORDER BY at_us DESC LIMIT 1""",
+    "observed_usage_total": """
+        SELECT CAST(sum(matched_points + gap_points + no_work_points) AS DOUBLE) AS observed_points,
+               count(DISTINCT cohort) AS cycles,
+               CAST(sum(matched_points) AS DOUBLE) AS matched_points,
+               CAST(sum(gap_points + no_work_points) AS DOUBLE) AS unmatched_points,
+               CAST(sum(boundary_points) AS DOUBLE) AS boundary_points,
+               CAST(sum(micros) AS BIGINT) AS matched_micros,
+               CAST((SELECT sum(micros) FROM root_daily
+                     WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14') - sum(micros)
+                    AS BIGINT) AS outside_micros
+        FROM burn""",
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: statement(body) for name, body in STATEMENTS.items()}

@@ -14,7 +14,8 @@ from worktide.demo import evidence as demo
 from worktide.evidence import COUNTERS, Evidence
 from worktide.functions.time import elapsed_micros
 from worktide.operators import attribution, hierarchy, intervals, pricing, usage
-from worktide.plans import time_reports, token_reports
+from worktide.operators import quota as quotas
+from worktide.plans import quota_reports, time_reports, token_reports
 from worktide.plans.period import Period
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,3 +255,77 @@ def projects_report(spark: SparkSession, ev: Evidence) -> DataFrame:
         ev, WEEK, demo.catalog(spark), rate=RATE, excluded_models=EXCLUDED
     ).select("level", "cwd", "root_id", "title", "micros", "share_percent", "quality", "status",
              "total_tokens", "micro_usd", "cost_complete")
+
+
+# --- quota -----------------------------------------------------------------------
+
+
+def _selected(ev: Evidence, end=None) -> DataFrame:
+    return quotas.quota_select(ev.quota, demo.LIMIT, demo.WINDOW_MINUTES, end)
+
+
+@query
+def quota_select(ev: Evidence) -> DataFrame:
+    return _selected(ev.with_tables(quota=ev.quota.unionByName(ev.quota))).select(
+        "at", "resets_at", "used_percent")
+
+
+@query
+def reset_cohorts(ev: Evidence) -> DataFrame:
+    return quotas.reset_cohorts(_selected(ev)).drop("stream")
+
+
+def _judged(ev: Evidence, end=None) -> DataFrame:
+    selected = _selected(ev, end)
+    return quotas.judge_readings(quotas.quota_moments(selected, quotas.reset_cohorts(selected)))
+
+
+@query
+def quota_verdicts(ev: Evidence) -> DataFrame:
+    return _judged(ev).select("at", "cohort", "used_percent", "verdict",
+                              F.col("previous.at").alias("previous"))
+
+
+@query
+def classify_pairs(ev: Evidence) -> DataFrame:
+    pairs = quotas.classify_pairs(
+        _judged(ev, WEEK.end), WEEK.start, WEEK.end, WEEK.tz, demo.MAX_GAP_SECONDS)
+    return pairs.select("at", "cohort", "day", "kind", "points")
+
+
+def _burn(ev: Evidence) -> quota_reports.BurnReport:
+    return quota_reports.burn_report(
+        ev, WEEK, limit_id=demo.LIMIT, window_minutes=demo.WINDOW_MINUTES,
+        max_gap_seconds=demo.MAX_GAP_SECONDS)
+
+
+@query
+def burn_rows(ev: Evidence) -> DataFrame:
+    return _burn(ev).rows.drop("plan_type")
+
+
+@query
+def burn_mix(ev: Evidence) -> DataFrame:
+    return _burn(ev).mix.drop("plan_type", "bucket")
+
+
+@query
+def latest_reading(ev: Evidence) -> DataFrame:
+    judged = _judged(ev, WEEK.end)
+    return quotas.latest_reading(
+        judged.where((F.col("verdict") == "accepted") & WEEK.covers(F.col("at")))
+    ).select("at", "resets_at", "used_percent", "remaining_percent")
+
+
+@query
+def all_time_snapshot(ev: Evidence) -> DataFrame:
+    return quota_reports.all_time_snapshot(
+        ev, demo.TZ, limit_id=demo.LIMIT, window_minutes=demo.WINDOW_MINUTES
+    ).select("at", "resets_at", "used_percent", "remaining_percent")
+
+
+@query
+def observed_usage_total(ev: Evidence) -> DataFrame:
+    recorded = time_reports.root_work(ev, WEEK.tz, WEEK.start, WEEK.end).agg(
+        F.sum("micros").alias("micros"))
+    return quota_reports.observed_usage_total(_burn(ev).rows, recorded)

@@ -120,7 +120,7 @@ def _uncertainty(ev: Evidence, facts: DataFrame, period: Period, labels: list[st
     working = clip(turn_pieces(sampled, ev.coverage), period.start, period.end).select(
         "session_id", "turn_id", "start", "end"
     )
-    window = F.to_json(F.struct("turn_id", "start", "end"))
+    window = F.to_json(F.struct("turn_id", F.unix_micros("start").alias("us")))
     windows = working.withColumn("window", window)
     spans = facts.select("session_id", *labels, "start", "end")
     met = overlap_measure(windows, spans, ["session_id"], labels).select(
