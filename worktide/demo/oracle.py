@@ -296,7 +296,7 @@ VIEWS: dict[str, str] = {
     "row_keys": """
         SELECT cwd, root_id FROM seen WHERE model_id IS DISTINCT FROM 'm3'
         UNION SELECT cwd, root_id FROM gaps WHERE NOT is_child AND (missing OR omitted)""",
-    "cells": """
+    "token_cells": """
         SELECT cwd, root_id, session_id, model_id, d1, d2, d3, d4, d5, d6, 1 AS n,
                CASE WHEN d6 IS NULL THEN 1 ELSE 0 END AS unsure, priced_tokens, unpriced_tokens,
                micro_usd, complete, list_concat(list_concat(reasons, diagnostics), flags)
@@ -333,7 +333,7 @@ VIEWS: dict[str, str] = {
                sum(micro_usd) AS micro_usd, bool_and(complete) AS complete,
                bool_or(omitted) AS omitted,
                list_sort(list_distinct(flatten(list(reasons)))) AS reasons
-        FROM cells, (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS l)
+        FROM token_cells, (SELECT unnest([1, 2, 3, 4, 5, 6, 7]) AS l)
         WHERE l = 1 OR (attached AND (l <> 7 OR session_id <> root_id))
         GROUP BY ALL)
         WHERE NOT (level IN ('model', 'directory_model', 'session_model') AND observations = 0)
@@ -657,7 +657,7 @@ STATEMENTS.update({
                priced_tokens, unpriced_tokens, complete, tier,
                array_to_string(reasons, ',') AS reasons FROM billed_usage""",
     "coverage_gaps": """
-        SELECT session_id, cwd, root_id, attached FROM cells WHERE missing""",
+        SELECT session_id, cwd, root_id, attached FROM token_cells WHERE missing""",
     "token_rollup": "SELECT * FROM rollup",
     "token_report_filtered": """
         WITH mine AS (SELECT * FROM seen WHERE cwd = '/view' AND NOT root_archived),

@@ -40,11 +40,28 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+# Over inputs of at most this many bytes on disk a running value is one plain
+# window per key. 0 turns the shortcut off.
+SMALL_INPUT = "spark.worktide.smallInputBytes"
+SMALL_INPUT_DEFAULT = 128 * 1024 * 1024
+
+
+def source_bytes(df: DataFrame) -> int:
+    """Bytes of the files below a DataFrame; unknown sources count as unbounded."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
+def is_small(df: DataFrame) -> bool:
+    limit = int(df.sparkSession.conf.get(SMALL_INPUT, str(SMALL_INPUT_DEFAULT)))
+    return limit > 0 and source_bytes(df) <= limit
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write an intermediate that is read more than once, and read it back.
+    """Compute an intermediate that is read more than once a single time.
 
-    The table lies in the cluster's checkpoint folder, so it outlives executors,
-    and it cuts the plan: what follows starts from a file scan with known size.
+    It is written to the cluster's checkpoint folder and read back: the table
+    outlives executors, cuts the plan, and gives what follows a known size.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/worktide-{uuid.uuid4().hex}"
