@@ -242,7 +242,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> Evidence:
     ev = events(spark, sf_dir)
     builders = {
         "sessions": sessions, "turns": turns, "waits": waits, "coverage": coverage,
-        "contexts": contexts, "quota": quota, "usage": usage,
+        "contexts": contexts, "quota": quota, "usage": usage, "samples": samples,
     }
     return Evidence(**{name: partial(build, ev) for name, build in builders.items()})
 
@@ -261,3 +261,62 @@ def catalog(spark: SparkSession) -> DataFrame:
     from worktide.operators.pricing import price_rows
 
     return price_rows(spark, PRICES, date(2024, 1, 1))
+
+
+def samples(ev: DataFrame) -> DataFrame:
+    """Live samples: one per event, the poll being its 15-second slot in the session."""
+    states = F.array(F.lit("working"), F.lit("waiting"), F.lit("idle"), F.lit("working"))
+    state = F.when(F.col("event_id") % 29 == 0, "unknown").otherwise(
+        F.element_at(states, (F.col("event_id") % 4 + 1).cast("int")))
+    return ev.select(
+        F.floor(F.unix_micros("ts") / 3_600_000_000).cast("bigint").alias("poll_id"),
+        _session().alias("session_id"),
+        state.alias("state"),
+        F.col("ts").alias("at"),
+        F.lit(None).cast("string").alias("turn_id"),
+        F.lit(None).cast("string").alias("cwd"),
+        F.lit(1.0).alias("uncertainty_seconds"),
+    )
+
+
+def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as message records: a user line starts a turn, long replies end it."""
+    prepare(spark)
+    conv = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    path = F.concat(F.lit("/conv/"), F.col("conv_id").cast("string"))
+    none = F.lit(None).cast("string")
+    turn = F.col("turn").cast("string")
+    block = F.array(F.struct(F.lit("text").alias("type"), F.col("text").alias("text")))
+    empty = F.lit(None).cast("array<struct<type:string,text:string>>")
+
+    def row(step, kind, event, session, cwd, turn_id, role, message, final, content):
+        return F.struct(
+            F.lit(step).alias("step"), F.lit(kind).alias("kind"), F.lit(event).alias("event"),
+            session.alias("session_id"), cwd.alias("cwd"), turn_id.alias("turn_id"),
+            role.alias("role"), message.alias("message"), final.alias("last_agent_message"),
+            content.alias("content"))
+
+    user, reply = F.col("role") == "user", F.col("role") == "assistant"
+    rows = F.array(
+        F.when(F.col("turn") == 0, row(
+            0, "session_meta", "", F.concat(F.lit("c"), F.col("conv_id").cast("string")),
+            F.lit("/home"), none, none, none, none, empty)),
+        F.when(user, row(1, "event_msg", "task_started", none, none,
+                         F.when(F.col("conv_id") % 3 != 0, turn), none, none, none, empty)),
+        F.when(user, row(2, "event_msg", "user_message", none, none, none, none,
+                         F.col("text"), none, empty)),
+        row(3, "response_item", "message", none, none, none, F.col("role"), none, none, block),
+        F.when(reply & (F.col("conv_id") % 2 == 0), row(
+            4, "event_msg", "task_complete", none, none,
+            F.when(F.col("conv_id") % 4 == 0, (F.col("turn") - 1).cast("string")), none, none,
+            F.concat(F.lit("done: "), F.left("text", F.lit(20))), empty)),
+    )
+    return conv.select(
+        path.alias("file_path"), F.floor(F.col("turn") / 64).cast("bigint").alias("block"),
+        "conv_id", "turn", F.explode(rows).alias("r"),
+    ).where("r IS NOT NULL").select(
+        "file_path", "block", (F.col("turn") * 10 + F.col("r.step")).alias("ord"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("turn") * 60).alias("at"),
+        *[f"r.{n}" for n in ("kind", "event", "session_id", "cwd", "turn_id", "role", "message",
+                             "last_agent_message", "content")],
+    )

@@ -351,8 +351,8 @@ VIEWS: dict[str, str] = {
                observations > 0 AND unavailable_sessions = 0 AND uncertain_observations = 0
                    AND complete AS cost_complete,
                round(CAST(micro_usd AS DOUBLE), 6) AS micro_usd,
-               round(CAST(micro_usd / 1000000 AS DOUBLE), 6) AS usd,
-               round(CAST(micro_usd * 1.35 / 1000000 AS DOUBLE), 6) AS cad,
+               CAST(round(micro_usd * 1000) AS BIGINT) AS usd_e9,
+               CAST(round(micro_usd * 135000) AS BIGINT) AS cad_e11,
                array_to_string(CASE WHEN unavailable_sessions > 0 THEN list_sort(list_append(
                    reasons, 'usage_unavailable_for_recorded_work')) ELSE reasons END, ',')
                    AS diagnostics
@@ -758,5 +758,121 @@ STATEMENTS.update({
 })
 
 
+STATEMENTS.update({
+    "session_list": f"""
+        WITH held AS (SELECT session_id, count(DISTINCT model_id || '/' || reasoning_level) AS n,
+                any_value(model_id) AS m, any_value(reasoning_level) AS r FROM contexts c
+            WHERE at_us = (SELECT max(at_us) FROM contexts d WHERE d.session_id = c.session_id)
+            GROUP BY session_id),
+        spent AS (SELECT session_id, CAST(sum(micros) AS BIGINT) AS total_micros,
+                CAST(coalesce(sum(micros) FILTER (day = DATE '2024-01-20'), 0) AS BIGINT) AS today,
+                flatten(list(quality)) AS q FROM root_daily GROUP BY session_id),
+        flags AS (SELECT session_id, flatten(list(quality)) AS q, bool_or(e IS NULL) AS unfinished
+                  FROM turns GROUP BY session_id)
+        SELECT s.id AS session_id, s.title, s.cwd, 'unknown' AS state, s.archived,
+               coalesce(today, 0) AS today_micros, coalesce(total_micros, 0) AS total_micros,
+               array_to_string(list_sort(list_distinct(list_filter(list_concat(list_concat(
+                   s.quality, coalesce(f.q, CAST([] AS VARCHAR[]))), list_concat(
+                   coalesce(p.q, CAST([] AS VARCHAR[])),
+                   [CASE WHEN unfinished THEN 'unfinished' END,
+                    CASE WHEN parent_id IS NOT NULL THEN 'child_excluded' END])),
+                   lambda x: x IS NOT NULL))), ',') AS quality,
+               CASE WHEN n = 1 THEN m END AS model_id, CASE WHEN n = 1 THEN r END AS reasoning_level
+        FROM sessions s LEFT JOIN spent p ON p.session_id = s.id
+        LEFT JOIN flags f ON f.session_id = s.id LEFT JOIN held h ON h.session_id = s.id
+        WHERE NOT archived AND title LIKE 'User 1%'""",
+    "live_extrapolation": """
+        SELECT session_id, arg_max(id, s) AS turn_id, 1705751998000000 AS start_us,
+               1705752000000000 AS end_us FROM turns
+        WHERE e IS NULL AND s <= 1705751998000000 GROUP BY session_id""",
+    "top_sessions": """
+        (SELECT id AS session_id, CAST(NULL AS BIGINT) AS omitted FROM sessions
+         ORDER BY updated DESC, id DESC LIMIT 20)
+        UNION ALL SELECT NULL, greatest(count(*) - 20, 0) FROM sessions""",
+    "session_status": """
+        WITH last AS (SELECT conv_id, max(turn) FILTER (role = 'user') AS u,
+                max(turn) FILTER (role = 'assistant') AS a, max(turn) AS t FROM conversations
+            GROUP BY conv_id),
+        -- A reply closes the open turn; one with an id only the turn right before it,
+        -- unless the start has no id, or the turn was closed already.
+        closing AS (SELECT c.conv_id, max(c.turn) AS closed FROM conversations c
+            WHERE c.role = 'assistant' AND c.conv_id % 2 = 0 AND EXISTS (
+                SELECT 1 FROM conversations x WHERE x.conv_id = c.conv_id AND x.turn <= c.turn
+                  AND x.role = 'assistant'
+                  AND NOT EXISTS (SELECT 1 FROM conversations y WHERE y.conv_id = c.conv_id
+                       AND y.role = 'user' AND y.turn > x.turn AND y.turn < c.turn)
+                  AND (c.conv_id % 4 <> 0 OR c.conv_id % 3 = 0 OR coalesce(x.turn - 1 = (
+                       SELECT max(z.turn) FROM conversations z WHERE z.conv_id = c.conv_id
+                         AND z.role = 'user' AND z.turn < x.turn), TRUE)))
+            GROUP BY c.conv_id)
+        SELECT '/conv/' || l.conv_id AS file_path,
+               CASE WHEN (SELECT min(turn) FROM conversations m WHERE m.conv_id = l.conv_id) = 0
+                    THEN 'c' || l.conv_id END AS session_id,
+               CASE WHEN (SELECT min(turn) FROM conversations m WHERE m.conv_id = l.conv_id) = 0
+                    THEN '/home' END AS cwd,
+               CASE WHEN u IS NOT NULL AND (closed IS NULL OR closed < u) THEN 'mid_turn'
+                    ELSE 'idle' END AS status,
+               (SELECT text FROM conversations m WHERE m.conv_id = l.conv_id AND m.turn = u)
+                   AS last_user_message,
+               CASE WHEN closed = a THEN 'done: ' ELSE '' END ||
+               (SELECT CASE WHEN closed = a THEN left(text, 20) ELSE text END
+                FROM conversations m WHERE m.conv_id = l.conv_id AND m.turn = a)
+                   AS last_assistant_message,
+               (1700000000 + t * 60) * 1000000 AS last_updated_us
+        FROM last l LEFT JOIN closing k ON k.conv_id = l.conv_id""",
+    "message_text": """
+        SELECT '/conv/' || conv_id AS file_path, turn * 10 + 3 AS ord, length(text) AS n
+        FROM conversations""",
+    "heartbeat_fresh": """
+        SELECT session_id, max(us) >= 1706659200000000 - 7200000000 AND max(us) <= 1706659200000000
+               AS fresh FROM ev GROUP BY session_id""",
+    "calendar_dates": f"""
+        SELECT CAST(day AS VARCHAR) AS day, CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR)
+                   AS week_first,
+               CAST(CAST(date_trunc('week', day) AS DATE) + 6 AS VARCHAR) AS week_last,
+               CAST(CAST(date_trunc('month', day) AS DATE) AS VARCHAR) AS month_first,
+               CAST(last_day(day) AS VARCHAR) AS month_last
+        FROM (SELECT DISTINCT {us_day('us')} AS day FROM ev)""",
+    "local_day_range": f"""
+        SELECT CAST(day AS VARCHAR) AS day, {midnight_us('day')} AS opens_us,
+               {midnight_us('day + 1')} AS closes_us
+        FROM (SELECT DISTINCT {us_day('us')} AS day FROM ev)""",
+    "report_dates": f"""
+        SELECT CAST({us_day('min(us)')} AS VARCHAR) AS first,
+               CAST((SELECT {us_day('max(x)')} FROM (SELECT us AS x FROM ev
+                     UNION ALL SELECT e FROM turns UNION ALL SELECT e FROM coverage
+                     UNION ALL SELECT at_us FROM quota)) AS VARCHAR) AS last FROM ev""",
+    "select_sessions": """
+        SELECT id FROM sessions WHERE archived AND (cwd = '/click' OR id IN (
+            SELECT session_id FROM turns WHERE cwd = '/click'))""",
+    "search_sessions": "SELECT id FROM sessions WHERE title LIKE 'User 12%'",
+    "roots_only": "SELECT id FROM roots",
+    "exclude_models": """
+        SELECT coalesce(model_id = 'm3', FALSE) AS excluded, count(*) AS observations
+        FROM usage GROUP BY 1""",
+    "normalise_path": """
+        SELECT '/a' || cwd AS path, count(*) AS turns FROM turns GROUP BY 1""",
+    "text_labels": """
+        WITH t AS (SELECT id, cwd, (e - s) AS us, (e - s) // 1000000 AS sec, (e - s) // 1000 AS n
+                   FROM turns WHERE e IS NOT NULL)
+        SELECT id AS turn_id,
+               CASE WHEN us > 0 AND us < 1000000 THEN
+                        '0.' || rtrim(lpad(CAST(us AS VARCHAR), 6, '0'), '0') || 's'
+                    WHEN sec >= 3600 THEN (sec // 3600) || 'h ' || (sec % 3600 // 60) || 'm '
+                        || (sec % 60) || 's'
+                    WHEN sec >= 60 THEN (sec // 60) || 'm ' || (sec % 60) || 's'
+                    ELSE sec || 's' END AS duration,
+               (sec // 3600) || ':' || lpad(CAST(sec % 3600 // 60 AS VARCHAR), 2, '0') || ':'
+                   || lpad(CAST(sec % 60 AS VARCHAR), 2, '0') AS clock,
+               CASE WHEN n >= 1000000 THEN rtrim(rtrim(CAST(CAST(round_even(n / 1000000.0, 2)
+                        AS DECIMAL(20, 2)) AS VARCHAR), '0'), '.') || 'M'
+                    WHEN n >= 1000 THEN rtrim(rtrim(CAST(CAST(round_even(n / 1000.0, 2)
+                        AS DECIMAL(20, 2)) AS VARCHAR), '0'), '.') || 'k'
+                    ELSE CAST(n AS VARCHAR) END AS compact,
+               'Some work is estimated.' AS note, substr(cwd, 2) AS base
+        FROM t""",
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: statement(body) for name, body in STATEMENTS.items()}

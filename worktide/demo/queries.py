@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import UTC, date, datetime
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +12,13 @@ from pyspark.sql import types as T
 
 from worktide.demo import evidence as demo
 from worktide.evidence import COUNTERS, Evidence
-from worktide.functions.time import elapsed_micros
+from worktide.functions import labels
+from worktide.functions.time import calendar_columns, elapsed_micros, is_fresh, local_date, local_midnight
 from worktide.operators import attribution, hierarchy, intervals, pricing, usage
 from worktide.operators import quota as quotas
-from worktide.plans import quota_reports, time_reports, token_reports
-from worktide.plans.period import Period
+from worktide.operators import select, status
+from worktide.plans import listing, quota_reports, time_reports, token_reports
+from worktide.plans.period import Period, evidence_dates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -237,8 +239,13 @@ def coverage_gaps(spark: SparkSession, ev: Evidence) -> DataFrame:
 
 @session_query
 def token_rollup(spark: SparkSession, ev: Evidence) -> DataFrame:
-    return token_reports.token_report(
+    rows = token_reports.token_report(
         ev, WEEK, demo.catalog(spark), rate=RATE, excluded_models=EXCLUDED)
+    # Exact amounts, in units small enough to be whole.
+    return rows.withColumns({
+        "usd_e9": (F.col("usd").cast("decimal(20,9)") * 1_000_000_000).cast("bigint"),
+        "cad_e11": (F.col("cad").cast("decimal(22,11)") * 100_000_000_000).cast("bigint"),
+    }).drop("usd", "cad")
 
 
 @session_query
@@ -329,3 +336,130 @@ def observed_usage_total(ev: Evidence) -> DataFrame:
     recorded = time_reports.root_work(ev, WEEK.tz, WEEK.start, WEEK.end).agg(
         F.sum("micros").alias("micros"))
     return quota_reports.observed_usage_total(_burn(ev).rows, recorded)
+
+
+# --- session list and state ------------------------------------------------------
+
+NOW = datetime(2024, 1, 20, 12, tzinfo=UTC)
+
+
+@query
+def session_list(ev: Evidence) -> DataFrame:
+    return listing.session_list(ev, NOW, demo.TZ, archive="active", query="USER 1").drop(
+        "created", "updated")
+
+
+def _live(ev: Evidence) -> DataFrame:
+    """The newest sample of each session moved to just before the clock."""
+    newest = ev.turns.where("end IS NULL").groupBy("session_id").agg(
+        F.max("start").alias("start"))
+    return newest.select(
+        F.lit(1).cast("bigint").alias("poll_id"), "session_id", F.lit("working").alias("state"),
+        F.lit(datetime(2024, 1, 20, 11, 59, 58, tzinfo=UTC)).alias("at"),
+        F.lit(None).cast("string").alias("turn_id"), F.lit(None).cast("string").alias("cwd"),
+        F.lit(1.0).alias("uncertainty_seconds"))
+
+
+@query
+def live_extrapolation(ev: Evidence) -> DataFrame:
+    shown = listing.live_extrapolation(ev, _live(ev), NOW)
+    fresh = shown.coverage.where(F.col("end") == F.lit(NOW))
+    flagged = shown.turns.where(F.array_contains("quality", "live_sample_estimate")).select(
+        "session_id", F.col("id").alias("turn_id"))
+    return fresh.join(flagged, ["session_id", "turn_id"])
+
+
+@query
+def top_sessions(ev: Evidence) -> DataFrame:
+    rows = ev.sessions.withColumnRenamed("id", "session_id")
+    first, omitted = listing.top_sessions(rows)
+    return first.select("session_id", F.lit(None).cast("bigint").alias("omitted")).unionByName(
+        omitted.select(F.lit(None).cast("string").alias("session_id"), "omitted"))
+
+
+@table_query
+def session_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.session_status(demo.conversation_records(spark, sf_dir))
+
+
+@table_query
+def message_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = demo.conversation_records(spark, sf_dir).where("event = 'message'")
+    return rows.select("file_path", "ord", F.length(status.message_text(F.col("content"))).alias("n"))
+
+
+@table_query
+def status_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = demo.conversation_records(spark, sf_dir)
+    before = status.session_status(rows.where("ord < 15"))
+    return status.status_transitions(before, status.session_status(rows)).select("file_path")
+
+
+@query
+def heartbeat_fresh(ev: Evidence) -> DataFrame:
+    return ev.samples.groupBy("session_id").agg(F.max("at").alias("at")).select(
+        "session_id", is_fresh(F.col("at"), F.lit(datetime(2024, 1, 31, tzinfo=UTC)), 7200.0)
+        .alias("fresh"))
+
+
+# --- calendar, selection, labels -------------------------------------------------
+
+
+@query
+def calendar_dates(ev: Evidence) -> DataFrame:
+    days = ev.turns.select(local_date(F.col("start"), demo.TZ).alias("day")).distinct()
+    bounds = {p: calendar_columns(F.col("day"), p) for p in ("week", "month")}
+    return days.select("day", *[c.alias(f"{p}_{side}") for p, pair in bounds.items()
+                                for side, c in zip(("first", "last"), pair)])
+
+
+@query
+def local_day_range(ev: Evidence) -> DataFrame:
+    days = ev.turns.select(local_date(F.col("start"), demo.TZ).alias("day")).distinct()
+    return days.select("day", local_midnight(F.col("day"), demo.TZ).alias("opens"),
+                       local_midnight(F.date_add("day", 1), demo.TZ).alias("closes"))
+
+
+@query
+def report_dates(ev: Evidence) -> DataFrame:
+    return evidence_dates(ev, demo.TZ)
+
+
+@query
+def select_sessions(ev: Evidence) -> DataFrame:
+    return select.select_sessions(ev.sessions, ev.turns, cwd="/x/../click/.", archive="archived"
+                                  ).select("id")
+
+
+@query
+def search_sessions(ev: Evidence) -> DataFrame:
+    return select.search_sessions(ev.sessions, "uSeR 12").select("id")
+
+
+@query
+def roots_only(ev: Evidence) -> DataFrame:
+    return select.roots_only(ev.sessions).select("id")
+
+
+@query
+def exclude_models(ev: Evidence) -> DataFrame:
+    return select.exclude_models(ev.usage, ["m3"]).groupBy("excluded").agg(
+        F.count("*").alias("observations"))
+
+
+@query
+def normalise_path(ev: Evidence) -> DataFrame:
+    noisy = F.concat(F.lit("//a/./b/.."), F.col("cwd"), F.lit("/"))
+    return ev.turns.groupBy(select.normalise_path(noisy).alias("path")).agg(
+        F.count("*").alias("turns"))
+
+
+@query
+def text_labels(ev: Evidence) -> DataFrame:
+    us = elapsed_micros(F.col("start"), F.col("end"))
+    return ev.turns.where("end IS NOT NULL").select(
+        F.col("id").alias("turn_id"), labels.duration_label(us).alias("duration"),
+        labels.clock_label(us / 1_000_000).alias("clock"),
+        labels.compact_tokens(F.floor(us / 1000).cast("bigint")).alias("compact"),
+        labels.quality_note(F.col("quality")).alias("note"),
+        labels.basename(F.col("cwd")).alias("base"))

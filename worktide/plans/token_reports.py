@@ -28,12 +28,11 @@ def dedupe_usage(usage: DataFrame) -> DataFrame:
 
 def fx_convert(micro_usd: Column, rate: Decimal | None) -> tuple[Column, Column]:
     """(usd, cad) from millionths of a dollar; no rate gives no amount."""
-    usd = (micro_usd / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(38,12)")
+    # Precisions are chosen so that neither product has to give up scale.
+    usd = micro_usd.cast("decimal(29,6)") * F.lit(Decimal("0.000001")).cast("decimal(6,6)")
     if rate is None:
-        return usd, F.lit(None).cast("decimal(38,12)")
-    scaled = F.lit(rate).cast("decimal(12,6)")
-    return usd, (micro_usd.cast("decimal(32,6)") * scaled / F.lit(1_000_000).cast("decimal(7,0)")
-                 ).cast("decimal(38,12)")
+        return usd, F.lit(None).cast("decimal(38,18)")
+    return usd, usd.cast("decimal(27,12)") * F.lit(rate).cast("decimal(10,6)")
 
 
 def fx_status(fx: DataFrame, now: datetime) -> DataFrame:
