@@ -264,12 +264,12 @@ def catalog(spark: SparkSession) -> DataFrame:
 
 
 def samples(ev: DataFrame) -> DataFrame:
-    """Live samples: one per event, the poll being its 15-second slot in the session."""
+    """Live samples: one per event, polled every half day."""
     states = F.array(F.lit("working"), F.lit("waiting"), F.lit("idle"), F.lit("working"))
     state = F.when(F.col("event_id") % 29 == 0, "unknown").otherwise(
         F.element_at(states, (F.col("event_id") % 4 + 1).cast("int")))
     return ev.select(
-        F.floor(F.unix_micros("ts") / 3_600_000_000).cast("bigint").alias("poll_id"),
+        F.floor(F.unix_micros("ts") / 43_200_000_000).cast("bigint").alias("poll_id"),
         _session().alias("session_id"),
         state.alias("state"),
         F.col("ts").alias("at"),

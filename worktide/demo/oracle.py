@@ -458,6 +458,35 @@ VIEWS: dict[str, str] = {
                          WHERE m.day = b.day AND m.cohort = b.cohort) x
                    JOIN turns t ON t.session_id = x.session_id AND t.id = x.tid)), 0) AS uncertainty
         FROM burn b""",
+    # For each event of the log: the turn that is open when its lines begin.
+    "log_state": """
+        SELECT *, CASE WHEN carried % 17 = 0 AND shut IS NULL THEN carried END AS open_event
+        FROM (SELECT e.*, (SELECT max(struct_pack(us := o.us, id := o.event_id)).id FROM ev o
+                      WHERE o.user_id = e.user_id AND o.event_id % 23 <> 0
+                        AND (o.us, o.event_id) < (e.us, e.event_id)) AS carried
+              FROM ev e) x
+        LEFT JOIN LATERAL (SELECT min(c.event_id) AS shut FROM ev c, ev o
+            WHERE o.event_id = x.carried AND c.user_id = x.user_id AND c.event_id % 23 = 0
+              AND c.event_id % 17 <> 0 AND c.event_id % 5 = 0
+              AND (c.us, c.event_id) > (o.us, o.event_id)
+              AND (c.us, c.event_id) < (x.us, x.event_id)) ON TRUE""",
+    "log_turn": """
+        SELECT *, CASE WHEN event_id % 23 <> 0 THEN event_id ELSE open_event END AS now_event
+        FROM log_state""",
+    "polls": """
+        SELECT session_id, us // 43200000000 AS poll_id, min(us) AS at_us,
+               arg_min(CASE WHEN event_id % 29 = 0 THEN 'unknown' ELSE
+                   ['working', 'waiting', 'idle', 'working'][event_id % 4 + 1] END, us) AS state
+        FROM ev GROUP BY 1, 2""",
+    "poll_pairs": """
+        SELECT *, CASE WHEN state = 'unknown' THEN 'gap' WHEN before_at IS NULL THEN 'none'
+                       WHEN poll_id <> before_poll + 1 THEN 'gap'
+                       WHEN at_us - before_at > 86400000000 THEN 'gap'
+                       WHEN before_state = 'working' THEN 'work'
+                       WHEN before_state = 'waiting' THEN 'wait' ELSE 'none' END AS kind
+        FROM (SELECT *, lag(poll_id) OVER w AS before_poll, lag(at_us) OVER w AS before_at,
+                     lag(state) OVER w AS before_state
+              FROM polls WINDOW w AS (PARTITION BY session_id ORDER BY poll_id))""",
     "roots": "SELECT * FROM sessions WHERE parent_id IS NULL",
     "root_daily": """
         SELECT d.*, r.quality AS session_quality
@@ -874,5 +903,152 @@ STATEMENTS.update({
 })
 
 
+STATEMENTS.update({
+    "quarantine_malformed": """
+        SELECT CASE WHEN user_id % 4 = 0 THEN '/archived_sessions/' ELSE '/sessions/' END
+                   || session_id AS file_path,
+               'malformed rollout record skipped' AS problem, count(*) AS records
+        FROM ev WHERE event_id % 101 = 0 GROUP BY 1""",
+    "session_upsert": """
+        SELECT session_id AS id,
+               coalesce((SELECT '/' || event_type FROM ev o WHERE o.user_id = e.user_id
+                    AND event_id % 13 <> 0 ORDER BY us DESC LIMIT 1), '/home') AS cwd,
+               '' AS title, min(us) - 1000000 AS created_us,
+               greatest(max(CASE WHEN event_id % 23 <> 0 OR event_id % 13 <> 0 THEN us END),
+                        max(CASE WHEN event_id % 17 <> 0 THEN us + cents * 6000000 END),
+                        max(CASE WHEN event_type = 'error' THEN us + k * 10000000 + 300000000 END),
+                        min(us) - 1000000) AS updated_us,
+               user_id % 4 = 0 AS archived,
+               CASE WHEN user_id % 5 = 0 AND user_id > 0 THEN 'u' || (user_id - 1) END AS parent_id,
+               user_id % 5 = 0 AND user_id > 0 AS is_child,
+               CASE WHEN bool_or(event_id % 23 <> 0) THEN '' ELSE 'no_lifecycle_events' END
+                   AS quality
+        FROM ev e GROUP BY user_id, session_id""",
+    "turn_pairing": """
+        SELECT s.session_id, s.turn_id,
+               coalesce((SELECT '/' || o.event_type FROM log_turn o WHERE o.user_id = s.user_id
+                    AND o.event_id % 13 <> 0 AND (o.us, o.event_id) >= (s.us, s.event_id)
+                    AND (CASE WHEN o.event_id % 7 <> 0 THEN o.event_id ELSE o.now_event END)
+                        = s.event_id ORDER BY o.us DESC LIMIT 1),
+                   (SELECT '/' || o.event_type FROM ev o WHERE o.user_id = s.user_id
+                    AND o.event_id % 13 <> 0 AND (o.us, o.event_id) < (s.us, s.event_id)
+                    ORDER BY o.us DESC LIMIT 1), '/home') AS cwd,
+               s.us AS start_us,
+               CASE WHEN s.event_id % 17 <> 0 THEN s.us + s.cents * 6000000
+                    ELSE t.us + t.cents * 6000000 END AS end_us,
+               CASE WHEN coalesce(t.event_id, s.event_id) % 17 <> 0 THEN
+                   CASE WHEN coalesce(t.event_id, s.event_id) % 10 = 1 THEN 'turn_aborted'
+                        ELSE 'task_complete' END END AS outcome
+        FROM ev s LEFT JOIN log_turn t ON t.user_id = s.user_id AND s.event_id % 17 = 0
+          AND t.event_id % 23 = 0 AND t.event_id % 17 <> 0 AND t.event_id % 5 = 0
+          AND t.open_event = s.event_id
+        WHERE s.event_id % 23 <> 0""",
+    "collect_contexts": """
+        SELECT DISTINCT session_id,
+               lpad(CAST(CASE WHEN event_id % 7 <> 0 THEN event_id ELSE now_event END AS VARCHAR),
+                    12, '0') AS turn_id, us AS at_us,
+               CASE WHEN event_id % 29 <> 0 THEN 'm' || (event_id % 4) END AS model_id,
+               'high' AS reasoning_level
+        FROM log_turn WHERE event_id % 13 <> 0
+          AND (event_id % 7 <> 0 OR now_event IS NOT NULL)""",
+    "wait_pairing": """
+        SELECT session_id, lpad(CAST(now_event AS VARCHAR), 12, '0') AS turn_id,
+               us + k * 10000000 AS start_us, us + k * 10000000 + 300000000 AS end_us
+        FROM log_turn WHERE event_type = 'error' AND now_event IS NOT NULL""",
+    "extract_quota": """
+        SELECT us AS at_us, 'shared' AS limit_id, 'primary' AS bucket, 1706000000 AS resets_at,
+               CAST(CASE WHEN event_id % 31 = 0 THEN 101 ELSE event_id % 100 END AS DOUBLE)
+                   AS used_percent, event_id % 31 <> 0 AS valid
+        FROM ev WHERE event_type IN ('view', 'click') AND event_id % 3 = 0""",
+    "diagnostics_distinct": """
+        SELECT 'malformed rollout record skipped' AS reason, count(*) AS occurrences
+        FROM ev WHERE event_id % 101 = 0 HAVING count(*) > 0
+        UNION ALL SELECT 'model context without stable turn ID skipped', count(*) FROM log_turn
+        WHERE event_id % 13 <> 0 AND event_id % 7 = 0 AND now_event IS NULL HAVING count(*) > 0
+        UNION ALL SELECT 'terminal event without matching task start skipped', count(*)
+        FROM log_turn WHERE event_id % 17 <> 0 AND event_id % 5 = 0 AND now_event IS NULL
+        HAVING count(*) > 0""",
+    "read_threads": """
+        SELECT id, '/meta' AS cwd,
+               CASE WHEN n % 2 = 0 THEN (created // 1000 - 5) * 1000
+                    ELSE created // 1000000 * 1000000 END AS created_us,
+               updated // 1000000 * 1000000 AS updated_us,
+               CASE WHEN n % 3 = 0 THEN 'T' || id END AS title, archived, parent_id,
+               parent_id IS NOT NULL AS is_child
+        FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS n FROM sessions) WHERE n % 10 <> 9""",
+    "merge_thread_metadata": """
+        SELECT id, CASE WHEN n % 10 <> 9 THEN '/meta' ELSE cwd END AS cwd,
+               CASE WHEN n % 10 = 7 THEN 'named' WHEN n % 10 <> 9 AND n % 3 = 0 THEN 'T' || id
+                    ELSE title END AS title,
+               CASE WHEN n % 10 = 9 THEN created WHEN n % 2 = 0 THEN (created // 1000 - 5) * 1000
+                    ELSE created // 1000000 * 1000000 END AS created_us, archived,
+               CASE WHEN n % 10 = 8 THEN 'u0' ELSE parent_id END AS parent_id,
+               parent_id IS NOT NULL OR n % 10 = 8 AS is_child
+        FROM (SELECT *, CAST(substr(id, 2) AS BIGINT) AS n FROM sessions)""",
+    "merge_precise_over_metadata": """
+        SELECT session_id, turn_id,
+               CASE WHEN log THEN us ELSE us // 1000000 * 1000000 END AS start_us,
+               CASE WHEN log AND event_id % 17 <> 0 THEN us + cents * 6000000
+                    ELSE (us // 1000000 + 60) * 1000000 END AS end_us,
+               CASE WHEN log AND event_id % 17 <> 0 THEN 'task_complete' ELSE 'done' END AS outcome,
+               CASE WHEN NOT log THEN 'historical_upper_bound,metadata_cwd_estimate,'
+                        || 'metadata_start_estimate,metadata_reconciled,metadata_end_estimate'
+                    WHEN event_id % 17 = 0 THEN 'historical_upper_bound,unfinished_observed_only,'
+                        || 'metadata_reconciled,metadata_end_estimate'
+                    ELSE 'historical_upper_bound' END AS quality,
+               CASE WHEN NOT log THEN 'sqlite' WHEN event_id % 17 = 0 THEN 'rollout,sqlite'
+                    ELSE 'rollout' END AS provenance
+        FROM (SELECT *, event_id % 3 <> 0 AS log FROM ev)""",
+    "append_quota": """
+        SELECT at_us, resets_at, CAST(used AS DOUBLE) AS used_percent FROM quota
+        WHERE at_us >= 1705276800000000""",
+    "append_usage": """
+        SELECT session_id, count(*) AS appended FROM usage WHERE at_us >= 1705276800000000
+        GROUP BY session_id""",
+    "verify_evidence": """
+        SELECT 'sessions' AS check, count(*) AS value FROM sessions
+        UNION ALL SELECT 'turns', count(*) FROM turns
+        UNION ALL SELECT 'session_duplicates', 0
+        UNION ALL SELECT 'quota_lines', count(*) FROM quota
+        UNION ALL SELECT 'quota_unique', count(*) FROM quota
+        UNION ALL SELECT 'usage_lines', count(*) FROM usage
+        UNION ALL SELECT 'usage_unique', count(*) FROM usage
+        UNION ALL SELECT 'usage_conflicts', 0""",
+    "export_report": """
+        SELECT id AS turn_id, '["' || array_to_string(quality, '","') || '"]' AS quality
+        FROM turns""",
+    "report_parity": """
+        SELECT id AS turn_id, cwd, 'left' AS side FROM turns WHERE id LIKE '%77'
+        UNION ALL SELECT id, '/moved', 'right' FROM turns WHERE id LIKE '%77'""",
+    "load_period": f"""
+        SELECT 'usage' AS kind, count(*) AS readings FROM usage
+        WHERE {us_day('at_us')} = DATE '2024-01-10' HAVING count(*) > 0
+        UNION ALL SELECT 'quota', count(*) FROM quota""",
+    "samples_to_spans": """
+        SELECT session_id, turn_id, kind, start_us, end_us, uncertainty_seconds FROM (
+        SELECT p.session_id, t.id AS turn_id, p.kind, greatest(p.before_at, t.s) AS start_us,
+               least(p.at_us, coalesce(t.e, p.at_us)) AS end_us,
+               greatest(60.0, (p.at_us - p.before_at) / 1000000.0) AS uncertainty_seconds
+        FROM poll_pairs p JOIN turns t ON t.session_id = p.session_id AND t.s <= p.at_us
+          AND (t.e IS NULL OR t.e >= p.before_at)
+        WHERE p.kind IN ('work', 'wait')
+        QUALIFY row_number() OVER (PARTITION BY p.session_id, p.at_us
+                                   ORDER BY t.s DESC, t.id DESC) = 1)
+        WHERE end_us > start_us""",
+    "observation_gap": """
+        SELECT id AS turn_id, array_to_string(CASE WHEN session_id IN (
+                   SELECT session_id FROM poll_pairs WHERE kind = 'gap')
+               THEN list_append(quality, 'observation_gap') ELSE quality END, ',') AS quality
+        FROM turns WHERE e IS NULL""",
+    "overview": """
+        SELECT 'allowance' AS part, CAST(sum(micros) AS BIGINT) AS value FROM burn
+        UNION ALL SELECT 'tokens', total_tokens FROM rollup WHERE level = 'total'
+        UNION ALL SELECT 'model', CAST(sum(micros) AS BIGINT) FROM root_daily
+        WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'
+        UNION ALL SELECT 'reasoning', count(*) FROM (SELECT DISTINCT model_id, reasoning_level
+            FROM root_daily WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14')""",
+})
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: statement(body) for name, body in STATEMENTS.items()}

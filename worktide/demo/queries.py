@@ -11,14 +11,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from worktide.demo import evidence as demo
+from worktide.demo import raw as logs
 from worktide.evidence import COUNTERS, Evidence
 from worktide.functions import labels
 from worktide.functions.time import calendar_columns, elapsed_micros, is_fresh, local_date, local_midnight
 from worktide.operators import attribution, hierarchy, intervals, pricing, usage
 from worktide.operators import quota as quotas
-from worktide.operators import select, status
+from worktide.operators import normalize, select, status
 from worktide.plans import listing, quota_reports, time_reports, token_reports
+from worktide.plans.overview import overview as build_overview
 from worktide.plans.period import Period, evidence_dates
+from worktide.sources import metadata, rollouts, sinks
+from worktide.sources.evidence import load_period as near_period
+from worktide.streaming import samples as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -463,3 +468,195 @@ def text_labels(ev: Evidence) -> DataFrame:
         labels.compact_tokens(F.floor(us / 1000).cast("bigint")).alias("compact"),
         labels.quality_note(F.col("quality")).alias("note"),
         labels.basename(F.col("cwd")).alias("base"))
+
+
+# --- raw logs --------------------------------------------------------------------
+
+
+def log_query(build: Callable[[DataFrame], DataFrame]):
+    QUERIES[build.__name__] = lambda spark, sf_dir: flat(build(
+        rollouts.parse_lines(logs.log_lines(demo.events(spark, sf_dir)))))
+    return build
+
+
+@log_query
+def read_rollouts(raw: DataFrame) -> DataFrame:
+    return raw.groupBy("kind", F.coalesce("payload.type", F.lit("")).alias("event")).agg(
+        F.count("*").alias("records"), F.min("at").alias("first"), F.max("at").alias("last"))
+
+
+@log_query
+def quarantine_malformed(raw: DataFrame) -> DataFrame:
+    return raw.where("kind = 'gap'").groupBy("file_path", "problem").agg(
+        F.count("*").alias("records"))
+
+
+@log_query
+def session_upsert(raw: DataFrame) -> DataFrame:
+    return normalize.session_upsert(normalize.annotate(raw))
+
+
+@log_query
+def turn_pairing(raw: DataFrame) -> DataFrame:
+    return normalize.turn_pairing(normalize.annotate(raw)).select(
+        "session_id", F.col("id").alias("turn_id"), "cwd", "start", "end", "outcome")
+
+
+@log_query
+def collect_contexts(raw: DataFrame) -> DataFrame:
+    return normalize.collect_contexts(normalize.annotate(raw))
+
+
+@log_query
+def wait_pairing(raw: DataFrame) -> DataFrame:
+    return normalize.wait_pairing(normalize.annotate(raw))
+
+
+@log_query
+def extract_quota(raw: DataFrame) -> DataFrame:
+    good, bad = normalize.extract_quota(normalize.annotate(raw))
+    return good.select("at", "limit_id", "bucket", "resets_at", "used_percent").withColumn(
+        "valid", F.lit(True)).unionByName(
+        bad.select("at", "limit_id", "bucket", "resets_at", "used_percent").withColumn(
+            "valid", F.lit(False)))
+
+
+@log_query
+def diagnostics_distinct(raw: DataFrame) -> DataFrame:
+    return normalize.diagnostics_of(normalize.annotate(raw)).select("reason", "occurrences")
+
+
+@log_query
+def usage_attribution(raw: DataFrame) -> DataFrame:
+    lines = normalize.usage_lines(normalize.annotate(raw))
+    rows = usage.usage_from_lines(lines)
+    return rows.select("session_id", "at", "cwd", "model_id", "turn_id",
+                       F.col("delta.input_tokens").alias("input_tokens"),
+                       F.col("delta.total_tokens").alias("total_tokens"),
+                       F.col("request_input_tokens").alias("request"),
+                       F.array_sort("diagnostics").alias("diagnostics"))
+
+
+# --- metadata, sinks, samples ----------------------------------------------------
+
+
+def _threads(ev: Evidence) -> DataFrame:
+    number = F.substring("id", 2, 20).cast("bigint")
+    return ev.sessions.select(
+        "id", F.lit("/meta").alias("cwd"),
+        F.unix_seconds("created").alias("created_at"), F.unix_seconds("updated").alias("updated_at"),
+        F.when(number % 2 == 0, F.unix_millis("created") - 5).otherwise(0).alias("created_at_ms"),
+        F.when(number % 3 == 0, F.concat(F.lit(" T"), "id")).alias("name"),
+        F.col("archived").cast("int").alias("archived"), F.lit("cli").alias("source"),
+        "parent_id").withColumnRenamed("parent_id", "parent_thread_id").where(number % 10 != 9)
+
+
+@query
+def read_threads(ev: Evidence) -> DataFrame:
+    return metadata.read_threads(_threads(ev))
+
+
+@query
+def merge_thread_metadata(ev: Evidence) -> DataFrame:
+    titles = ev.sessions.where("id LIKE '%7'").select(
+        "id", F.lit(" named ").alias("thread_name"), F.lit(1).alias("ord"))
+    edges = ev.sessions.where("id LIKE '%8'").select(
+        F.lit("u0").alias("parent_thread_id"), F.col("id").alias("child_thread_id"))
+    return metadata.merge_metadata(
+        ev.sessions, metadata.read_threads(_threads(ev)), edges, metadata.read_titles(titles)
+    ).select("id", "cwd", "title", "created", "archived", "parent_id", "is_child")
+
+
+@query
+def merge_precise_over_metadata(ev: Evidence) -> DataFrame:
+    raw = ev.turns.select(
+        F.col("session_id").alias("thread_id"), F.col("id").alias("turn_id"),
+        F.lit("done").alias("status"), F.unix_seconds("start").alias("started_at"),
+        (F.unix_seconds("start") + 60).alias("completed_at"))
+    precise = ev.turns.where("CAST(id AS BIGINT) % 3 <> 0")
+    return metadata.merge_turns(precise, metadata.read_turns(raw), ev.sessions).select(
+        "session_id", F.col("id").alias("turn_id"), "start", "end", "outcome", "quality",
+        "provenance")
+
+
+@query
+def append_quota(ev: Evidence) -> DataFrame:
+    stored = ev.quota.where(F.col("at") < F.lit("2024-01-15").cast("timestamp"))
+    return sinks.new_quota(ev.quota, stored).select("at", "resets_at", "used_percent")
+
+
+@query
+def append_usage(ev: Evidence) -> DataFrame:
+    stored = ev.usage.where(F.col("at") < F.lit("2024-01-15").cast("timestamp"))
+    return sinks.new_usage(ev.usage.unionByName(ev.usage), stored).groupBy("session_id").agg(
+        F.count("*").alias("appended"))
+
+
+@query
+def write_daily_records(ev: Evidence) -> DataFrame:
+    segments = intervals.work_segments(ev.turns, ev.waits, ev.coverage)
+    return sinks.daily_records(segments, ev.sessions).select(
+        F.length("id").alias("digits"), "date", "session_id", "start", "end", "cwd", "tags")
+
+
+@query
+def verify_evidence(ev: Evidence) -> DataFrame:
+    return sinks.verify_evidence(ev)
+
+
+@query
+def export_report(ev: Evidence) -> DataFrame:
+    return sinks.flat_columns(ev.turns.select(F.col("id").alias("turn_id"), "quality"))
+
+
+@query
+def report_parity(ev: Evidence) -> DataFrame:
+    a = ev.turns.select(F.col("id").alias("turn_id"), "cwd")
+    b = a.withColumn("cwd", F.when(F.col("turn_id").endswith("77"), "/moved").otherwise(
+        F.col("cwd")))
+    return sinks.report_parity(a, b)
+
+
+@query
+def load_period(ev: Evidence) -> DataFrame:
+    near = near_period(ev, DAY, demo.LIMIT, demo.WINDOW_MINUTES)
+    return near.usage.select(F.lit("usage").alias("kind")).unionAll(
+        near.quota.select(F.lit("quota").alias("kind"))).groupBy("kind").agg(
+        F.count("*").alias("readings"))
+
+
+@query
+def samples_to_spans(ev: Evidence) -> DataFrame:
+    return live.samples_to_spans(_polls(ev), ev.turns, 86_400.0)
+
+
+def _polls(ev: Evidence) -> DataFrame:
+    """The first sample of each session and poll."""
+    return ev.samples.groupBy("session_id", "poll_id").agg(
+        F.min_by(F.struct("state", "at", "turn_id", "cwd", "uncertainty_seconds"), "at").alias("o")
+    ).select("session_id", "poll_id", "o.*")
+
+
+@query
+def observation_gap(ev: Evidence) -> DataFrame:
+    return live.observation_gap(_polls(ev), ev.turns, 86_400.0).where("end IS NULL").select(
+        F.col("id").alias("turn_id"), "quality")
+
+
+@session_query
+def overview(spark: SparkSession, ev: Evidence) -> DataFrame:
+    """Heads of the parts of one overview, as one table."""
+    parts = build_overview(
+        ev, demo.catalog(spark), tz=demo.TZ, limit_id=demo.LIMIT, period="week",
+        selected=date(2024, 1, 10), window_minutes=demo.WINDOW_MINUTES,
+        max_gap_seconds=demo.MAX_GAP_SECONDS, excluded_models=EXCLUDED)
+    heads = {
+        "allowance": parts["allowance"].agg(F.sum("micros").alias("value")),
+        "tokens": parts["token_usage"].where("level = 'total'").select(
+            F.col("total_tokens").alias("value")),
+        "model": parts["model_totals"].agg(F.sum("micros").alias("value")),
+        "reasoning": parts["reasoning"].agg(F.count("*").alias("value")),
+    }
+    rows = [df.select(F.lit(n).alias("part"), F.col("value").cast("bigint").alias("value"))
+            for n, df in heads.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
