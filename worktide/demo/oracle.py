@@ -487,6 +487,73 @@ VIEWS: dict[str, str] = {
         FROM (SELECT *, lag(poll_id) OVER w AS before_poll, lag(at_us) OVER w AS before_at,
                      lag(state) OVER w AS before_state
               FROM polls WINDOW w AS (PARTITION BY session_id ORDER BY poll_id))""",
+    "log_tokens": """
+        SELECT t.*, EXISTS (SELECT 1 FROM ev g WHERE g.user_id = t.user_id AND g.event_id % 101 = 0
+                            AND (g.us, g.event_id) <= (t.us, t.event_id)
+                            AND (t.prev IS NULL OR (g.us, g.event_id) > (t.prev.u, t.prev.i))) AS gap
+        FROM (SELECT *, lag(struct_pack(u := us, i := event_id)) OVER (
+                     PARTITION BY user_id ORDER BY us, event_id) AS prev FROM stepped) t""",
+    "log_seen": """
+        SELECT t.*, max(CASE WHEN gap THEN struct_pack(u := us, i := event_id) END) OVER (
+                   PARTITION BY user_id ORDER BY us, event_id
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS blind,
+               (SELECT max(struct_pack(u := c.us, i := c.event_id,
+                                       m := CASE WHEN c.event_id % 29 <> 0
+                                                 THEN 'm' || (c.event_id % 4) END,
+                                       d := '/' || c.event_type))
+                FROM ev c WHERE c.user_id = t.user_id AND c.event_id % 13 <> 0
+                  AND (c.us, c.event_id) <= (t.us, t.event_id)) AS ctx,
+               (SELECT max(struct_pack(u := o.us, i := o.event_id,
+                        t := CASE WHEN o.event_id % 13 = 0 OR o.event_id % 7 <> 0 THEN o.event_id
+                                  ELSE o.now_event END))
+                FROM log_turn o WHERE o.user_id = t.user_id
+                  AND (o.event_id % 13 <> 0 OR o.event_id % 23 <> 0)
+                  AND (o.us, o.event_id) <= (t.us, t.event_id)) AS turn
+        FROM log_tokens t""",
+    "log_models": """
+        SELECT *, ctx.u IS NOT NULL AND (blind.u IS NULL OR (ctx.u, ctx.i) > (blind.u, blind.i))
+                  AS informed,
+               coalesce(ctx.d, '/home') AS raw_cwd,
+               CASE WHEN NOT gap AND (blind.u IS NULL OR (ctx.u, ctx.i) > (blind.u, blind.i))
+                    THEN ctx.m END AS held_model
+        FROM log_seen""",
+    "log_changes": """
+        SELECT t.*, (SELECT count(DISTINCT coalesce(v, '-')) > 1 FROM (
+                   SELECT p.held_model AS v FROM log_models p WHERE p.user_id = t.user_id
+                     AND p.event_id = t.prev.i
+                   UNION ALL SELECT CASE WHEN c.event_id % 29 <> 0 THEN 'm' || (c.event_id % 4) END
+                   FROM ev c WHERE c.user_id = t.user_id AND c.event_id % 13 <> 0
+                     AND (c.us, c.event_id) <= (t.us, t.event_id)
+                     AND (t.prev IS NULL OR (c.us, c.event_id) > (t.prev.u, t.prev.i))))
+                   AS model_changed,
+               (SELECT count(DISTINCT v) > 1 FROM (
+                   SELECT coalesce((SELECT p.raw_cwd FROM log_models p WHERE p.user_id = t.user_id
+                     AND p.event_id = t.prev.i), '/home') AS v
+                   UNION ALL SELECT '/' || c.event_type
+                   FROM ev c WHERE c.user_id = t.user_id AND c.event_id % 13 <> 0
+                     AND (c.us, c.event_id) <= (t.us, t.event_id)
+                     AND (t.prev IS NULL OR (c.us, c.event_id) > (t.prev.u, t.prev.i))))
+                   AS cwd_changed,
+               CASE WHEN first AND user_id % 5 = 0 AND user_id > 0 AND cents + cents // 2 = 0
+                         THEN 'child_baseline_unavailable'
+                    WHEN first AND user_id % 6 = 1 THEN 'fork_baseline_unavailable'
+                    WHEN first AND gap THEN 'baseline_unavailable'
+                    WHEN falls THEN 'counter_reset' END AS lost
+        FROM log_models t""",
+    "log_usage": """
+        SELECT *, CASE WHEN lost IS NULL THEN CASE WHEN first THEN c1 ELSE c1 - p1 END END AS d1,
+               CASE WHEN lost IS NULL THEN CASE WHEN first THEN c6 ELSE c6 - p6 END END AS d6,
+               CASE WHEN lost IS NULL AND (CASE WHEN first THEN c1 ELSE c1 - p1 END) = cents
+                     AND (CASE WHEN first THEN c2 ELSE c2 - p2 END) = cents // 4
+                     AND (CASE WHEN first THEN c3 ELSE c3 - p3 END) IS NOT DISTINCT FROM
+                         CASE WHEN event_id % 5 <> 0 THEN cents // 10 END
+                     AND (CASE WHEN first THEN c4 ELSE c4 - p4 END) = cents // 2
+                     AND (CASE WHEN first THEN c5 ELSE c5 - p5 END) = cents // 8
+                     AND (CASE WHEN first THEN c6 ELSE c6 - p6 END) = cents + cents // 2
+                     AND cents + cents // 2 <> 0 THEN cents END AS request,
+               lost IS NULL AND NOT first AND c1 = p1 AND c2 = p2 AND c4 = p4 AND c5 = p5
+                   AND c6 = p6 AND coalesce(c3 - p3, 0) = 0 AS still
+        FROM log_changes""",
     "roots": "SELECT * FROM sessions WHERE parent_id IS NULL",
     "root_daily": """
         SELECT d.*, r.quality AS session_quality
@@ -1050,5 +1117,70 @@ STATEMENTS.update({
 })
 
 
+STATEMENTS.update({
+    "read_rollouts": """
+        WITH l AS (
+            SELECT 'session_meta' AS kind, '' AS event, min(us) - 1000000 AS at_us FROM ev
+            GROUP BY user_id
+            UNION ALL SELECT 'gap', '', NULL FROM ev WHERE event_id % 101 = 0
+            UNION ALL SELECT 'event_msg', 'task_started', us FROM ev WHERE event_id % 23 <> 0
+            UNION ALL SELECT 'turn_context', '', us FROM ev WHERE event_id % 13 <> 0
+            UNION ALL SELECT 'response_item', 'function_call', us + k * 10000000 FROM ev
+            WHERE event_type = 'error'
+            UNION ALL SELECT 'response_item', 'function_call_output',
+                             us + k * 10000000 + 300000000 FROM ev WHERE event_type = 'error'
+            UNION ALL SELECT 'event_msg', 'token_count', us FROM ev
+            WHERE event_type IN ('view', 'click')
+            UNION ALL SELECT 'event_msg', CASE WHEN event_id % 10 = 1 THEN 'turn_aborted'
+                             ELSE 'task_complete' END, us + cents * 6000000 FROM ev
+            WHERE event_id % 17 <> 0)
+        SELECT kind, event, count(*) AS records, min(at_us) AS first_us, max(at_us) AS last_us
+        FROM l GROUP BY kind, event""",
+    "usage_attribution": """
+        SELECT session_id, us AS at_us,
+               CASE WHEN NOT gap AND (informed OR blind.u IS NULL)
+                     AND NOT (cwd_changed AND request IS NULL) THEN raw_cwd END AS cwd,
+               CASE WHEN NOT (model_changed AND request IS NULL) THEN held_model END AS model_id,
+               lpad(CAST(turn.t AS VARCHAR), 12, '0') AS turn_id, d1 AS input_tokens,
+               d6 AS total_tokens, request,
+               array_to_string(list_sort(list_filter([lost,
+                   CASE WHEN still THEN 'repeated_cumulative_usage' END,
+                   CASE WHEN lost IS NULL AND NOT first AND c3 IS NOT NULL AND p3 IS NULL
+                        THEN 'category_baseline_unavailable' END,
+                   CASE WHEN gap THEN 'source_gap_attribution_unavailable' END,
+                   CASE WHEN model_changed AND request IS NULL
+                        THEN 'ambiguous_model_attribution' END,
+                   CASE WHEN cwd_changed AND request IS NULL
+                        THEN 'ambiguous_directory_attribution' END,
+                   CASE WHEN held_model IS NULL OR (model_changed AND request IS NULL)
+                        THEN 'unknown_model' END,
+                   CASE WHEN gap OR NOT (informed OR blind.u IS NULL)
+                          OR (cwd_changed AND request IS NULL) THEN 'unknown_directory' END,
+                   CASE WHEN d1 IS NOT NULL AND request IS NULL AND NOT still
+                        THEN 'request_billing_evidence_unavailable' END],
+                   lambda x: x IS NOT NULL)), ',') AS diagnostics
+        FROM log_usage""",
+})
+STATEMENTS["status_transitions"] = (
+    "WITH before AS (" + STATEMENTS["session_status"].replace(
+        "FROM conversations", "FROM (SELECT * FROM conversations WHERE turn < 2)")
+    + "), after AS (" + STATEMENTS["session_status"]
+    + ") SELECT file_path FROM after WHERE status = 'idle' AND file_path IN ("
+    "SELECT file_path FROM before WHERE status = 'mid_turn')"
+)
+STATEMENTS["write_daily_records"] = (
+    "WITH segs AS (" + STATEMENTS["work_segments"]
+    + f"""), cut AS (SELECT *, CAST(unnest(generate_series({us_day('start_us')},
+            {us_day('end_us - 1')}, INTERVAL 1 DAY)) AS DATE) AS day FROM segs
+            WHERE session_id IN (SELECT id FROM roots))
+        SELECT 24 AS digits, CAST(day AS VARCHAR) AS date, session_id,
+               greatest(start_us, {midnight_us('day')}) AS start_us,
+               least(end_us, {midnight_us('day + 1')}) AS end_us, cwd,
+               'session:' || session_id || ',turn:' || replace(turn_ids, ',', ',turn:') AS tags
+        FROM cut WHERE least(end_us, {midnight_us('day + 1')})
+                       > greatest(start_us, {midnight_us('day')})"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: statement(body) for name, body in STATEMENTS.items()}
