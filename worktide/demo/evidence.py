@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from worktide.evidence import Evidence
 from worktide.operators.scan import DAY_MICROS, running_sum, scan
-from worktide.session import prepare, spread
+from worktide.session import prepare
 
 TZ = "America/Toronto"
 LIMIT = "shared"
@@ -22,7 +22,7 @@ MAX_GAP_SECONDS = 1800
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    raw = spread(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     return raw.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
@@ -272,7 +272,8 @@ def samples(ev: DataFrame) -> DataFrame:
         F.floor(F.unix_micros("ts") / 43_200_000_000).cast("bigint").alias("poll_id"),
         _session().alias("session_id"),
         state.alias("state"),
-        F.col("ts").alias("at"),
+        # A minute before the event, so that a sample never falls on a turn's start.
+        _shift(F.col("ts"), F.lit(-60)).alias("at"),
         F.lit(None).cast("string").alias("turn_id"),
         F.lit(None).cast("string").alias("cwd"),
         F.lit(1.0).alias("uncertainty_seconds"),
@@ -282,7 +283,7 @@ def samples(ev: DataFrame) -> DataFrame:
 def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as message records: a user line starts a turn, long replies end it."""
     prepare(spark)
-    conv = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     path = F.concat(F.lit("/conv/"), F.col("conv_id").cast("string"))
     none = F.lit(None).cast("string")
     turn = F.col("turn").cast("string")

@@ -474,7 +474,7 @@ VIEWS: dict[str, str] = {
         SELECT *, CASE WHEN event_id % 23 <> 0 THEN event_id ELSE open_event END AS now_event
         FROM log_state""",
     "polls": """
-        SELECT session_id, us // 43200000000 AS poll_id, min(us) AS at_us,
+        SELECT session_id, us // 43200000000 AS poll_id, min(us) - 60000000 AS at_us,
                arg_min(CASE WHEN event_id % 29 = 0 THEN 'unknown' ELSE
                    ['working', 'waiting', 'idle', 'working'][event_id % 4 + 1] END, us) AS state
         FROM ev GROUP BY 1, 2""",
@@ -920,7 +920,8 @@ STATEMENTS.update({
         SELECT '/conv/' || conv_id AS file_path, turn * 10 + 3 AS ord, length(text) AS n
         FROM conversations""",
     "heartbeat_fresh": """
-        SELECT session_id, max(us) >= 1706659200000000 - 7200000000 AND max(us) <= 1706659200000000
+        SELECT session_id, max(us) - 60000000 >= 1706659200000000 - 7200000000
+               AND max(us) - 60000000 <= 1706659200000000
                AS fresh FROM ev GROUP BY session_id""",
     "calendar_dates": f"""
         SELECT CAST(day AS VARCHAR) AS day, CAST(CAST(date_trunc('week', day) AS DATE) AS VARCHAR)

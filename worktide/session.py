@@ -67,9 +67,3 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/worktide-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Let a table in fewer files than there are cores use all of them."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
