@@ -38,8 +38,15 @@ def fx_convert(micro_usd: Column, rate: Decimal | None) -> tuple[Column, Column]
 def fx_status(fx: DataFrame, now: datetime) -> DataFrame:
     """Age in days and unavailable, stale or cached for a row of load_fx."""
     at = F.lit(now)
-    age = F.greatest(F.datediff(F.to_date(at), F.col("observation_date")), F.lit(0))
-    check = F.greatest(F.unix_micros(at) - F.unix_micros("last_success"), F.lit(0)) / 1_000_000
+    # greatest() skips nulls; a date or check that is missing must stay missing.
+    age = F.when(
+        F.col("observation_date").isNotNull(),
+        F.greatest(F.datediff(F.to_date(at), F.col("observation_date")), F.lit(0)),
+    )
+    check = F.when(
+        F.col("last_success").isNotNull(),
+        F.greatest(F.unix_micros(at) - F.unix_micros("last_success"), F.lit(0)) / 1_000_000,
+    )
     stale = F.col("last_error").isNotNull() | F.coalesce(check > 86_400, F.lit(True))
     return fx.withColumns(
         {

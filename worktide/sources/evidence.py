@@ -25,10 +25,16 @@ QUOTA_KEY = ["at", "limit_id", "plan_type", "bucket", "window_minutes", "resets_
              "used_percent"]
 
 
-def _require(condition: Column, message: str, value: Column) -> Column:
-    """The value, or a failed job: broken history must not be read past."""
-    return F.when(condition, value).otherwise(
-        F.raise_error(F.lit(message)).cast("string"))
+def _require(df: DataFrame, condition: Column, message: str) -> DataFrame:
+    """Fail the job on a row that breaks the condition: bad history is not read past.
+
+    It is a filter, so no later projection can prune it away.
+    """
+    return df.where(
+        F.when(F.coalesce(condition, F.lit(False)), F.lit(True)).otherwise(
+            F.raise_error(F.lit(message)).cast("boolean")
+        )
+    )
 
 
 def read_quota_journal(spark: SparkSession, path: str) -> DataFrame:
@@ -40,10 +46,8 @@ def read_quota_journal(spark: SparkSession, path: str) -> DataFrame:
         & F.col("bucket").isin("primary", "secondary") & (F.col("window_minutes") > 0)
         & (F.col("resets_at") >= 0) & F.col("used_percent").between(0, 100)
     )
-    return rows.withColumn(
-        "limit_id",
-        _require(F.coalesce(valid, F.lit(False)), "invalid quota journal; restore a valid backup",
-                 F.col("limit_id")),
+    return _require(
+        rows, valid, "invalid quota journal; restore a valid backup"
     ).dropDuplicates(QUOTA_KEY)
 
 
@@ -72,9 +76,8 @@ def unique_usage(usage: DataFrame) -> DataFrame:
         F.min("body").alias("lo"), F.max("body").alias("hi"),
         F.any_value(F.struct(*[c for c in columns if c != "id"])).alias("o"),
     )
-    return single.withColumn(
-        "id", _require(F.col("lo") == F.col("hi"), "conflicting usage identity", F.col("id"))
-    ).select("id", "o.*").select(columns)
+    return _require(single, F.col("lo") == F.col("hi"), "conflicting usage identity").select(
+        "id", "o.*").select(columns)
 
 
 def read_usage_journal(spark: SparkSession, path: str) -> DataFrame:
@@ -84,9 +87,7 @@ def read_usage_journal(spark: SparkSession, path: str) -> DataFrame:
         for name in COUNTERS:
             negative = negative | F.coalesce(F.col(f"{part}.{name}") < 0, F.lit(False))
     ok = (F.length("id") > 0) & (F.length("session_id") > 0) & F.col("at").isNotNull() & ~negative
-    return unique_usage(
-        rows.withColumn("id", _require(F.coalesce(ok, F.lit(False)), "invalid usage journal",
-                                       F.col("id"))))
+    return unique_usage(_require(rows, ok, "invalid usage journal"))
 
 
 def explode_sessions(snapshots: DataFrame) -> dict[str, DataFrame]:
@@ -94,7 +95,7 @@ def explode_sessions(snapshots: DataFrame) -> dict[str, DataFrame]:
     ok = F.col("id").isNotNull() & (
         F.coalesce(F.size(F.filter(F.map_entries("turns"), lambda t: ~t["key"].eqNullSafe(
             t["value"]["id"]))), F.lit(0)) <= 0)
-    docs = snapshots.withColumn("id", _require(ok, "identifier/key mismatch", F.col("id")))
+    docs = _require(snapshots, ok, "identifier/key mismatch")
     none = F.array().cast("array<string>")
     turns = docs.select(F.col("id").alias("session_id"), F.explode(F.map_values("turns")).alias("t"))
 
@@ -134,9 +135,8 @@ def upgrade_ledger_version(spark: SparkSession, path: str) -> Evidence:
         f"usage_observations ARRAY<STRUCT<{_typed('usage')}>>, diagnostics ARRAY<STRING>"
     )
     doc = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    doc = doc.withColumn("version", F.when(F.col("version").between(1, 4), F.col("version"))
-                         .otherwise(F.raise_error(F.lit("unsupported version")).cast("int")))
-    docs = doc.where("version IS NOT NULL").select(F.explode("sessions").alias("key", "s")).select(
+    doc = _require(doc, F.col("version").between(1, 4), "unsupported version")
+    docs = doc.select(F.explode("sessions").alias("key", "s")).select(
         "s.*")
     return Evidence(
         **explode_sessions(docs),

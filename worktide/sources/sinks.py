@@ -32,11 +32,11 @@ def new_usage(fresh: DataFrame, stored: DataFrame) -> DataFrame:
     held = stored.select("id", usage_body().alias("stored_body"))
     judged = unique_usage(fresh).withColumn("body", usage_body()).join(held, "id", "left")
     clash = F.col("stored_body").isNotNull() & (F.col("stored_body") != F.col("body"))
-    return judged.withColumn(
-        "id",
-        F.when(clash, F.raise_error(F.lit("conflicting usage observation identity")).cast("string"))
-        .otherwise(F.col("id")),
-    ).where("stored_body IS NULL").drop("body", "stored_body")
+    # One expression decides: a conflict fails before the row could be filtered out.
+    verdict = F.when(
+        clash, F.raise_error(F.lit("conflicting usage observation identity")).cast("boolean")
+    ).otherwise(F.col("stored_body").isNull())
+    return judged.where(verdict).drop("body", "stored_body")
 
 
 def append_quota(fresh: DataFrame, path: str, stored: DataFrame) -> None:
