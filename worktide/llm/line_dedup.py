@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktide.llm.frames import ascii_lower, digest, named
+from worktide.llm.frames import ascii_lower, digest, materialise, named
 
 BLANKS = " \t\n\x0b\f\r"
 
@@ -38,9 +38,9 @@ def shared_lines(rows: DataFrame, min_docs: int, min_chars: int) -> DataFrame:
     held = rows.select("row", F.explode(keys).alias("key"))
     one, two = digest(F.col("key"))
     once = held.select(one.alias("h1"), two.alias("h2"), "row").distinct()
-    # A struct keeps a null id as the smallest value, where max() would pass over it.
+    # max() passes over a null id, which is only the largest where it is the only one.
     counted = once.groupBy("h1", "h2").agg(
-        F.count(F.lit(1)).alias("docs"), F.max(F.struct("row")).alias("owner")
+        F.count(F.lit(1)).alias("docs"), F.max("row").alias("owner")
     )
     return counted.filter(F.col("docs") >= min_docs).select("h1", "h2", "owner")
 
@@ -51,7 +51,7 @@ def dropped_positions(rows: DataFrame, shared: DataFrame, min_chars: int) -> Dat
     lines = lines.filter(F.char_length("key") >= min_chars)
     one, two = digest(F.col("key"))
     placed = lines.select(one.alias("h1"), two.alias("h2"), "row", "version", "at")
-    gone = placed.join(shared, ["h1", "h2"]).filter(~F.struct("row").eqNullSafe(F.col("owner")))
+    gone = placed.join(shared, ["h1", "h2"]).filter(~F.col("row").eqNullSafe(F.col("owner")))
     return gone.groupBy("row", "version").agg(F.collect_set("at").alias("gone"))
 
 
@@ -67,7 +67,8 @@ def line_dedup(
     rows = named(docs, row=id_col, text=text_col)
     rows = rows.select("row", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("version", F.xxhash64("text"))
-    shared = shared_lines(rows, min_docs, min_chars)
+    # Written, so that the join with it has an exchange on both sides and AQE can split a hot line.
+    shared = materialise(shared_lines(rows, min_docs, min_chars))
     gone = dropped_positions(rows, shared, min_chars)
     gone = gone.select(F.col("row").alias("r"), F.col("version").alias("v"), "gone")
     same = F.col("row").eqNullSafe(F.col("r")) & (F.col("version") == F.col("v"))
