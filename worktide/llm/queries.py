@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worktide.llm.decontaminate import find_passages
+from worktide.llm.jaccard import jaccard_components
+from worktide.llm.kneser_ney import classify
 from worktide.llm.line_dedup import line_dedup
+from worktide.llm.secrets import labelled_samples, secret_spans, train
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,3 +32,54 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
     )
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    ends = F.filter("spans", lambda x, i: i % 2 == 1)
+    starts = F.filter("spans", lambda x, i: i % 2 == 0)
+    hit = F.aggregate(F.zip_with(ends, starts, lambda e, s: (e - s).cast("long")),
+                      F.lit(0).cast("long"), lambda a, b: a + b)
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    spans = secret_spans(docs, train(labelled_samples(docs)))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def text(spans):
+        return F.array_join(F.transform(
+            spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return spans.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"),
+        count("hex").alias("n_hex"), F.sha2(text(base), 256).alias("base_sha256"),
+        text(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled good and not toxic: the text that the quality model learns from."""
+    return table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0").select("doc_id")
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = classify(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
+    return found.select("doc_id", "lang", "chars", F.round("perplexity", 6).alias("perplexity"),
+                        F.round("threshold", 6).alias("threshold"), "rejected")
