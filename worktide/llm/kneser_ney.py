@@ -33,6 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktide.llm.frames import map_rows, materialise, named
+from worktide.llm.hashing import Lookup
 
 ORDER = 4
 BITS = 16
@@ -155,43 +156,6 @@ def model(trusted: DataFrame) -> DataFrame:
     return materialise(entries.select("lang", "kind", "key", F.log("p").alias("value")))
 
 
-class Lookup:
-    """Open-addressed table from 64-bit keys to values, filled and read as whole arrays."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(len(keys) * 2).bit_length())
-        size = 1 << self.bits
-        self.keys = np.zeros(size, dtype=U64)
-        self.values = np.full(size, np.nan)
-        left, at = keys.astype(U64), self._place(keys.astype(U64))
-        values = values.astype(float)
-        while len(left):
-            free = np.isnan(self.values[at])
-            first = np.unique(at[free], return_index=True)[1]
-            put = np.nonzero(free)[0][first]
-            self.keys[at[put]], self.values[at[put]] = left[put], values[put]
-            rest = np.ones(len(left), dtype=bool)
-            rest[put] = False
-            left, values, at = left[rest], values[rest], (at[rest] + 1) & (size - 1)
-
-    def _place(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys ^ (keys >> U64(29))) * U64(0x9E3779B97F4A7C15) >> U64(64 - self.bits)).astype(np.int64)
-
-    def get(self, keys: np.ndarray) -> np.ndarray:
-        """Values, NaN where a key is missing."""
-        at = self._place(keys)
-        out = np.where(self.keys[at] == keys, self.values[at], np.nan)
-        left = np.nonzero((self.keys[at] != keys) & ~np.isnan(self.values[at]))[0]
-        at = at[left]
-        while len(left):
-            at = (at + 1) & (len(self.keys) - 1)
-            there, value = self.keys[at] == keys[left], self.values[at]
-            out[left[there]] = value[there]
-            go = ~there & ~np.isnan(value)
-            left, at = left[go], at[go]
-        return out
-
-
 class Scorer:
     """Log probabilities of the characters of texts, for one language and shard."""
 
@@ -332,7 +296,7 @@ def classify(
     trusted_id_col: str = "doc_id",
     *,
     quantile: float = 0.99,
-    slack: float = 1.25,
+    slack: float = 1.4,
     prior_chars: int = 200,
     shard_entries: int = SHARD_ENTRIES,
 ) -> DataFrame:

@@ -70,3 +70,32 @@ reach AS (
 SELECT d.doc_id, coalesce(any_value(len(s.s)), 0)::BIGINT AS n_shingles, min(r.y) AS component_id
 FROM documents d LEFT JOIN sets s USING (doc_id) JOIN reach r ON r.x = d.doc_id GROUP BY d.doc_id
 """
+
+ORACLE["op3_preference_pairs"] = r"""
+WITH t AS (
+  SELECT conv_id // 2 AS pair, conv_id % 2 = 0 AS side, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations),
+alike AS (
+  SELECT pair, turn, count(*) = 2 AND count(DISTINCT (role, text)) = 1 AS same FROM t GROUP BY pair, turn),
+ends AS (SELECT pair, min(turn) FILTER (NOT same) AS first FROM alike GROUP BY pair),
+placed AS (
+  SELECT t.*, e.first IS NULL OR t.turn < e.first AS before,
+    '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS part
+  FROM t JOIN ends e USING (pair)),
+spans AS (
+  SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY pair, side, before ORDER BY turn
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(role) + 5 AS s FROM placed),
+joined AS (
+  SELECT pair, side, before, string_agg(part, '' ORDER BY turn) AS body, count(*) AS n,
+    coalesce(string_agg(s || '-' || (s + length(text)), ',' ORDER BY turn) FILTER (role = 'assistant'), '') AS mask
+  FROM spans GROUP BY pair, side, before),
+pairs AS (SELECT pair, bool_or(side) AS yes, bool_or(NOT side) AS no FROM t GROUP BY pair)
+SELECT p.pair AS pair_id, coalesce(a.n, 0) AS prompt_turns, sha256(coalesce(a.body, '')) AS prompt_sha256,
+  CASE WHEN yes THEN sha256(coalesce(g.body, '')) END AS chosen_sha256,
+  CASE WHEN yes THEN coalesce(g.mask, '') END AS chosen_mask,
+  CASE WHEN no THEN sha256(coalesce(b.body, '')) END AS rejected_sha256,
+  CASE WHEN no THEN coalesce(b.mask, '') END AS rejected_mask
+FROM pairs p LEFT JOIN joined a ON a.pair = p.pair AND a.before AND a.side
+LEFT JOIN joined g ON g.pair = p.pair AND NOT g.before AND g.side
+LEFT JOIN joined b ON b.pair = p.pair AND NOT b.before AND NOT b.side
+"""

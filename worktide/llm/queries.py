@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worktide.llm.chat import preference_pairs
 from worktide.llm.decontaminate import find_passages
+from worktide.llm.html import extract
 from worktide.llm.jaccard import jaccard_components
 from worktide.llm.kneser_ney import classify
+from worktide.llm.licences import document_licences
+from worktide.llm.licences import train as train_licences
 from worktide.llm.line_dedup import line_dedup
+from worktide.llm.neighbours import nearest
+from worktide.llm.pieces import decode, encode
 from worktide.llm.secrets import labelled_samples, secret_spans, train
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,3 +89,50 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classify(table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir))
     return found.select("doc_id", "lang", "chars", F.round("perplexity", 6).alias("perplexity"),
                         F.round("threshold", 6).alias("threshold"), "rejected")
+
+
+@query
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = encode(table(spark, sf_dir, "documents"))
+    made = made.withColumn("n_pieces", F.size("ids")).withColumn("ids_hash", F.xxhash64("ids"))
+    back = decode(made).withColumn("restored", F.xxhash64("text") == F.col("mark"))
+    return back.select("doc_id", "sample", "n_pieces", "ids_hash", F.round("log_prob", 3).alias("log_prob"),
+                       F.round("inclusion", 6).alias("inclusion"), "restored")
+
+
+@query
+def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2p and 2p + 1 are the chosen and the rejected one of pair p."""
+    turns = table(spark, sf_dir, "conversations")
+    turns = turns.withColumn("pair", F.floor(F.col("conv_id") / 2)).withColumn("side", F.col("conv_id") % 2 == 0)
+    found = preference_pairs(turns, "pair", "side")
+
+    def spans(mask: str):
+        return F.array_join(F.transform(mask, lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+
+    return found.select(
+        F.col("pair").alias("pair_id"), F.col("prompt_turns").cast("long").alias("prompt_turns"),
+        F.sha2("prompt", 256).alias("prompt_sha256"), F.sha2("chosen", 256).alias("chosen_sha256"),
+        spans("chosen_mask").alias("chosen_mask"), F.sha2("rejected", 256).alias("rejected_sha256"),
+        spans("rejected_mask").alias("rejected_mask"))
+
+
+@query
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", F.char_length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"),
+                      "text")
+
+
+@query
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+@query
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_licences(docs, labelled=table(spark, sf_dir, "labels"))
+    return document_licences(docs, model).select(
+        "doc_id", "n_paragraphs", F.array_join("families", ",").alias("families"))
