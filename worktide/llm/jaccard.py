@@ -190,7 +190,8 @@ def verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> Dat
     """Pairs (a, b) that are links, by comparing their whole shingle sets."""
     kind = dict(pairs.dtypes)["a"]
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    texts = rows.join(wanted, "row", "left_semi").dropDuplicates(["row"])
+    # The same plan at every size: the wanted ids grow with the data and are never broadcast.
+    texts = rows.join(wanted.hint("merge"), "row", "left_semi").dropDuplicates(["row"])
     sets = materialise(token_sets(texts, kind, width))
     both = pairs.join(sets.select(F.col("row").alias("b"), F.col("tokens").alias("tb")), "b").join(
         sets.select(F.col("row").alias("a"), F.col("tokens").alias("ta")), "a")
