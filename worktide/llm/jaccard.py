@@ -18,9 +18,10 @@ pair, and a group is some nine shingles, so unrelated documents hardly meet.
    members, in blocks, for pairs from different components only. What passes the bound
    is compared. Afterwards no unlinked pair of different components is left to test.
 
-Scale: everything is shuffled by key or id. A key of very many classes is reduced by a
-partial minimum in step 2, and cut into pairs of blocks in step 3. Components are found by
-contraction over written tables.
+Scale: everything is shuffled by key or id. Equal sets are keyed once per task. The rows of
+a key are sorted and streamed in step 2, and cut into pairs of blocks in step 3; a set has
+some hundred keys, so even a family of a third of all sets is a small part of each task's
+rows. Components are found by contraction over written tables.
 
 Defined cases: null or empty texts have an empty set and link with nothing. Fewer words
 than a shingle has make one shingle. Rows that share an id must share their text or one
@@ -33,6 +34,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,28 +131,81 @@ def count_vector(tokens: np.ndarray) -> np.ndarray:
     return np.bincount((tokens % U64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
 
 
-def profiles(rows: DataFrame, kind: str, width: int, percent: int) -> DataFrame:
-    """(row, n, h1, h2, keys, counts): size, 128-bit hash, keys and point of each set."""
+def set_hash(tokens: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two longs."""
+    if not len(tokens):
+        return 0, 0
+    return (int(mix(tokens).sum().view(np.int64)), int(mix(tokens ^ U64(0x5DEECE66D)).sum().view(np.int64)))
+
+
+def profiles(rows: DataFrame, kind: str, width: int) -> DataFrame:
+    """(row, n, h1, h2, counts): size, 128-bit hash and point of each set."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingle_set(t, width, hashes) for t in batch["text"]]
+            marks = [set_hash(s) for s in sets]
+            yield {"row": batch["row"], "n": [len(s) for s in sets], "h1": [m[0] for m in marks],
+                   "h2": [m[1] for m in marks], "counts": [count_vector(s).tobytes() for s in sets]}
+
+    return map_rows(rows, run, f"row {kind}, n bigint, h1 bigint, h2 bigint, counts binary")
+
+
+def keys_of(rows: DataFrame, kind: str, width: int, percent: int) -> DataFrame:
+    """(row, key) of the groups of each set.
+
+    Of equal sets that one task meets only the first is keyed; classes join them later.
+    """
 
     def run(batches):
         hashes, rule = WordHashes(), Rule(percent)
+        met: set[tuple[int, int]] = set()
         for batch in batches:
-            out = {"row": batch["row"], "n": [], "h1": [], "h2": [], "keys": [], "counts": []}
-            for text in batch["text"]:
+            out = {"row": [], "keys": []}
+            for row, text in zip(batch["row"], batch["text"], strict=True):
                 tokens = shingle_set(text, width, hashes)
-                one, two = (0, 0)
-                if len(tokens):
-                    one = int(mix(tokens).sum().view(np.int64))
-                    two = int(mix(tokens ^ U64(0x5DEECE66D)).sum().view(np.int64))
-                out["n"].append(len(tokens))
-                out["h1"].append(one)
-                out["h2"].append(two)
-                out["keys"].append(group_keys(tokens, rule).view(np.int64) if len(tokens) else [])
-                out["counts"].append(count_vector(tokens).tobytes())
+                mark = set_hash(tokens)
+                if row is None or not len(tokens) or mark in met:
+                    continue
+                if len(met) > 200_000:
+                    met.clear()
+                met.add(mark)
+                out["row"].append(row)
+                out["keys"].append(group_keys(tokens, rule).view(np.int64))
             yield out
 
-    return map_rows(rows, run, f"row {kind}, n bigint, h1 bigint, h2 bigint, "
-                               "keys array<bigint>, counts binary")
+    made = map_rows(rows, run, f"row {kind}, keys array<bigint>")
+    return made.select("row", F.explode("keys").alias("key"))
+
+
+def shared_keys(keyed: DataFrame, kind: str) -> DataFrame:
+    """(key, leader, row): for every key its smallest row, with each other row of the key.
+
+    Rows are sorted by key and streamed, so a key of any length takes no memory.
+    """
+
+    def run(batches):
+        last_key, leader = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, rows = batch.column("key").to_numpy(), batch.column("row").to_numpy(zero_copy_only=False)
+            starts = np.concatenate(([True], keys[1:] != keys[:-1]))
+            starts[0] = keys[0] != last_key
+            places = np.maximum.accumulate(np.where(starts, np.arange(len(keys)), -1))
+            leaders = rows[np.maximum(places, 0)]
+            if not starts[0]:
+                leaders[places < 0] = leader
+            last_key, leader = keys[-1], leaders[-1]
+            keep = np.nonzero(rows != leaders)[0]
+            kept = batch.take(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(
+                [kept.column("key"), pa.array(leaders[keep], type=kept.column("row").type), kept.column("row")],
+                names=["key", "leader", "row"])
+
+    dealt = keyed.select("key", "row").repartition("key").sortWithinPartitions("key", "row")
+    return dealt.mapInArrow(run, f"key bigint, leader {kind}, row {kind}")
 
 
 def token_sets(rows: DataFrame, kind: str, width: int) -> DataFrame:
@@ -295,9 +350,10 @@ def jaccard_components(
     """
     rows = named(docs, row=id_col, text=text_col)
     kind = dict(rows.dtypes)["row"]
-    every = materialise(profiles(rows, kind, width, percent))
+    every = materialise(profiles(rows, kind, width))
     nameless = every.filter(F.col("row").isNull()).select("row", "n", F.col("row").alias("root"))
     base = every.filter(F.col("row").isNotNull())
+    points = base.select("row", "n", "counts").dropDuplicates(["row"])
 
     classes = base.filter("n > 0").groupBy("h1", "h2").agg(
         F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -305,23 +361,22 @@ def jaccard_components(
     several = materialise(classes.filter("copies > 1"))
     copies = materialise(base.select("row", "h1", "h2").join(several, ["h1", "h2"])
                          .filter(F.col("row") != F.col("rep")).select("row", "rep").distinct())
-    alone = base.join(copies.select("row"), "row", "left_anti")
-    points = base.select("row", "n", "counts")
 
-    keyed = alone.select(F.explode("keys").alias("key"), "row")
-    leaders = keyed.groupBy("key").agg(
-        F.min("row").alias("leader"), F.max("row").alias("last")).filter("leader < last")
-    shared = materialise(keyed.join(leaders.select("key", "leader"), "key"))
+    def standing(frame: DataFrame, column: str) -> DataFrame:
+        of = copies.select(F.col("row").alias(column), F.col("rep").alias("__rep"))
+        return frame.join(of, column, "left").withColumn(column, F.coalesce("__rep", column)).drop("__rep")
 
+    shared = shared_keys(keys_of(rows, kind, width, percent), kind)
+    shared = materialise(standing(standing(materialise(shared), "leader"), "row"))
     stars = shared.filter(F.col("row") != F.col("leader")).select(
-        F.col("leader").alias("a"), F.col("row").alias("b")).distinct()
+        F.least("leader", "row").alias("a"), F.greatest("leader", "row").alias("b")).distinct()
     near = materialise(bounded(stars, points, percent))
     links = materialise(verified(near, rows, width, percent))
     joined = components(links)
 
-    rooted = shared.select("key", "row").distinct().join(
-        joined.select(F.col("node").alias("row"), "root"), "row", "left"
-    ).select("key", "row", F.coalesce("root", "row").alias("root"))
+    members = shared.select("key", F.explode(F.array("leader", "row")).alias("row")).distinct()
+    rooted = members.join(joined.select(F.col("node").alias("row"), "root"), "row", "left").select(
+        "key", "row", F.coalesce("root", "row").alias("root"))
     open_keys = rooted.groupBy("key").agg(
         F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     members = materialise(rooted.join(open_keys, "key"))
@@ -344,5 +399,5 @@ def one_of_each(
 ) -> DataFrame:
     """`docs` with the smallest id of every component only; columns as given."""
     found = jaccard_components(docs, id_col, text_col, width=width, percent=percent)
-    gone = found.filter(F.col("component_id") != F.col(id_col)).select(id_col)
+    gone = found.filter(F.col("component_id") != F.col(id_col)).select(id_col).hint("merge")
     return docs.join(gone, id_col, "left_anti")
