@@ -208,6 +208,6 @@ def without_passages(
                         F.struct(docs[f"`{id_col}`"].alias("id"), mark.alias("mark")).alias("key"))
     found = find_passages(keyed, items, "key", "text", window=window, block_windows=block_windows)
     bad = found.filter(F.size("spans") > 0).select(
-        F.col("key.id").alias("bad_id"), F.col("key.mark").alias("bad_mark")).distinct()
+        F.col("key.id").alias("bad_id"), F.col("key.mark").alias("bad_mark")).distinct().hint("merge")
     same = docs[f"`{id_col}`"].eqNullSafe(F.col("bad_id")) & (mark == F.col("bad_mark"))
     return docs.join(bad, same, "left_anti")

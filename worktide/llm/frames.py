@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from worktide.session import materialise
 
-__all__ = ["ascii_lower", "capitals_free", "digest", "map_rows", "materialise", "named", "no_clash"]
+__all__ = ["ascii_lower", "capitals_free", "digest", "map_rows", "materialise", "named"]
 
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -39,14 +39,6 @@ def named(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{old}`"].alias(new) for new, old in columns.items()])
 
 
-def no_clash(name: str, taken: list[str]) -> str:
-    """`name`, with underscores in front until no column of the input has it."""
-    lowered = {x.lower() for x in taken}
-    while name.lower() in lowered:
-        name = f"_{name}"
-    return name
-
-
 def map_rows(
     df: DataFrame,
     work: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]],

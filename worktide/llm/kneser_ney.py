@@ -341,6 +341,6 @@ def without_rejected(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id"
                      lang_col: str = "lang", trusted_id_col: str = "doc_id", **settings) -> DataFrame:
     """`docs` without the rows that `classify` rejects; columns as given."""
     found = classify(docs, trusted, id_col, text_col, lang_col, trusted_id_col, **settings)
-    bad = found.filter("rejected").select(F.col(id_col).alias("bad_id"), F.col("mark").alias("bad_mark")).distinct()
+    bad = found.filter("rejected").select(F.col(id_col).alias("bad_id"), F.col("mark").alias("bad_mark")).distinct().hint("merge")
     mark = F.xxhash64(F.coalesce(docs[f"`{text_col}`"], F.lit("")))
     return docs.join(bad, docs[f"`{id_col}`"].eqNullSafe(F.col("bad_id")) & (mark == F.col("bad_mark")), "left_anti")

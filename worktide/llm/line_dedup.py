@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from worktide.llm.frames import ascii_lower, digest, materialise, named
+from worktide.llm.frames import ascii_lower, digest, materialise
 
 BLANKS = " \t\n\x0b\f\r"
 
@@ -62,11 +62,16 @@ def line_dedup(
     *,
     min_docs: int = 3,
     min_chars: int = 20,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """One row (id, text, n_lines, n_dropped) for each input row; `text` holds the kept lines."""
-    rows = named(docs, row=id_col, text=text_col)
-    rows = rows.select("row", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("version", F.xxhash64("text"))
+    """One row (id, text, n_lines, n_dropped) for each input row; `text` holds the kept lines.
+
+    Columns named in `carry` come back as they are, in a struct `carried`.
+    """
+    text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
+    rows = docs.select(
+        docs[f"`{id_col}`"].alias("row"), text.alias("text"), F.xxhash64(text).alias("version"),
+        *([F.struct(*[docs[f"`{c}`"] for c in carry]).alias("carried")] if carry else []))
     # Written, so that the join with it has an exchange on both sides and AQE can split a hot line.
     shared = materialise(shared_lines(rows, min_docs, min_chars))
     gone = dropped_positions(rows, shared, min_chars)
@@ -85,7 +90,8 @@ def line_dedup(
 
     # The lines are bound once by the lambda, not split again for every position.
     done = F.transform(F.array(F.split("text", "\n")), rebuilt)[0]
-    out = both.select("row", F.explode(F.array(done)).alias("done"))
+    more = ["carried"] if carry else []
+    out = both.select("row", F.explode(F.array(done)).alias("done"), *more)
     return out.select(F.col("row").alias(id_col), *[
         F.col(f"done.{name}").alias(name) for name in ("text", "n_lines", "n_dropped")
-    ])
+    ], *more)

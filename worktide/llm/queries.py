@@ -136,3 +136,10 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train_licences(docs, labelled=table(spark, sf_dir, "labels"))
     return document_licences(docs, model).select(
         "doc_id", "n_paragraphs", F.array_join("families", ",").alias("families"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
