@@ -309,7 +309,8 @@ def classify(
     rows = named(docs, row=id_col, text=text_col, lang=lang_col)
     rows = rows.select("row", "text", F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"),
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
-    known = named(trusted, row=trusted_id_col).distinct()
+    # The same plan at every size: the labels grow with the data and are never broadcast.
+    known = named(trusted, row=trusted_id_col).distinct().hint("merge")
     entries = model(rows.join(known, "row", "left_semi").select("lang", "text"))
     scored = materialise(log_likelihoods(rows, entries, shard_entries))
 
