@@ -117,12 +117,12 @@ class Flow:
             first, *rest = data.split("\n")
             self.words.append(first)
             for line in rest:
-                self._end(keep=True)
+                self.end(keep=True)
                 self.words.append(line)
         elif data:
             self.words.append(SPACE.sub(" ", data))
 
-    def _end(self, keep: bool = False) -> None:
+    def end(self, keep: bool = False) -> None:
         line = "".join(self.words)
         if not keep:
             line = re.sub(" +", " ", line).strip(" ")
@@ -132,7 +132,7 @@ class Flow:
             self.mark = " " * len(self.mark)
 
     def line(self) -> None:
-        self._end(keep=False)
+        self.end(keep=False)
 
     def gap(self) -> None:
         self.line()
@@ -191,7 +191,9 @@ def render(root: Node) -> str:
                 flows[-1].line()
             keep += tag == "pre"
             continue
-        keep -= tag == "pre"
+        if tag == "pre":
+            keep -= 1
+            flows[-1].words and flows[-1].end(keep=True)
         if tag in ("td", "th") and tables:
             cell = flows.pop().done()
             tables[-1] or tables[-1].append([])

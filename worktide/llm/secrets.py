@@ -35,6 +35,7 @@ KEYWORDS = re.compile(r"(?i)password|passwd|secret|token|api", re.ASCII)
 KINDS = ("assign", "access", "hex", "markov")
 
 CELLS = 96  # printable ASCII, and one cell for the start of a string
+BACKOFF = 10.0  # weight of the fallback, in transitions
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 
 Span = tuple[int, int, str]
@@ -120,10 +121,13 @@ def train(samples: DataFrame) -> np.ndarray:
 
         samples = map_rows(named(samples, string="string", label="label"), count,
                            "cell int, label int, n bigint")
-    counts = np.ones((2, CELLS, CELLS))  # one of each, so that nothing is impossible
+    counts = np.zeros((2, CELLS, CELLS))
     for cell, label, n in samples.groupBy("cell", "label").agg(F.sum("n")).collect():
         counts[label].flat[cell] += n
-    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
+    # A transition falls back on how common the second character is, and that on one of each.
+    single = counts.sum(axis=1, keepdims=True) + 1.0
+    single /= single.sum(axis=2, keepdims=True)
+    logs = np.log((counts + BACKOFF * single) / (counts.sum(axis=2, keepdims=True) + BACKOFF))
     return (logs[1] - logs[0]).ravel()
 
 
