@@ -3,24 +3,28 @@
 from __future__ import annotations
 
 import json
-from datetime import UTC, datetime
+from datetime import UTC, date, datetime
 from decimal import Decimal
 
 import pytest
 from conftest import Build, counts
-from test_tokens import line, tokens
+from pyspark.sql import functions as F
+from test_tokens import Journal
 
 from worktide.operators.pricing import load_catalog, standard_catalog
+from worktide.plans.period import Period
 from worktide.plans.token_reports import fx_status
 from worktide.sources.evidence import (
+    load_evidence,
     load_fx,
+    load_period,
     read_quota_journal,
     read_session_snapshots,
     read_usage_journal,
     upgrade_ledger_version,
 )
-from worktide.sources.rollouts import parse_lines, place_lines, stream_rollouts
-from worktide.sources.sinks import append_quota, consolidate, export, new_usage
+from worktide.sources.rollouts import batch_lines, parse_lines, stream_rollouts
+from worktide.sources.sinks import append_quota, append_usage, consolidate, export, new_usage, write_daily_records
 from worktide.streaming.usage import dedupe_stream
 
 READING = {"at": "2026-10-06T16:00:00Z", "limit_id": "lim", "plan_type": None, "bucket": "primary",
@@ -65,6 +69,9 @@ def test_snapshots_and_old_versions(spark, tmp_path):
         read_session_snapshots(spark, wrong)["sessions"].collect()
     old = upgrade_ledger_version(spark, put(tmp_path / "l.json",
                                             {"version": 2, "sessions": {"s": DOC}}))
+    odd = upgrade_ledger_version(spark, put(tmp_path / "o.json", {"version": 2, "sessions": {"x": DOC}}))
+    with pytest.raises(Exception, match="session key differs from its id"):
+        odd.sessions.collect()
     assert old.sessions.count() == 1 and old.quota.count() == 0 and old.usage.count() == 0
 
 
@@ -89,6 +96,28 @@ def test_consolidation_publishes_once_checked(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 1
 
 
+def test_daily_records_leave_no_stale_day(spark, tmp_path):
+    path = str(tmp_path / "records")
+    both = Build(spark).session().session("q").turn(0, 60).turn(90_000, 90_060, tid="u").turn(0, 30, sid="q").done()
+    write_daily_records(both, path)
+    assert spark.read.parquet(path).count() == 3
+    less = Build(spark).session().turn(0, 60).done()
+    write_daily_records(less, path)
+    rows = spark.read.parquet(path).select("session_id", F.col("date").cast("string")).collect()
+    assert sorted(map(tuple, rows)) == [("q", "2026-10-06"), ("s", "2026-10-06")]
+
+
+def test_a_period_reads_its_folders_only(spark, tmp_path):
+    ev = Build(spark).usage("u", 0, counts(total_tokens=1)).usage("v", 900_000, counts(total_tokens=2)).done()
+    append_usage(ev.usage, str(tmp_path / "usage"), ev.usage.limit(0))
+    day = Period(date(2026, 10, 6), date(2026, 10, 6), "America/Toronto")
+    stored = load_evidence(spark, str(tmp_path)).with_tables(quota=ev.quota)
+    part = load_period(stored, day, "lim", 10080).usage
+    plan = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "date#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert [r["id"] for r in part.collect()] == ["u"]
+
+
 def test_catalog_and_rates(spark, tmp_path):
     rate = {"input": "2", "output": "10"}
     good = {"models": {"m": {"model_id": "m", "short": rate}}}
@@ -107,11 +136,13 @@ def test_catalog_and_rates(spark, tmp_path):
 def test_streamed_sources_and_repeats(spark, tmp_path):
     folder = tmp_path / "sessions"
     folder.mkdir()
-    (folder / "a.jsonl").write_text(line("session_meta", 0, id="r", cwd="/a") + tokens(1, 5))
+    log = Journal().meter(9).meter(12)
+    (folder / "a.jsonl").write_text("\n".join(log.rows))  # its last line is still open
+    (tmp_path / "session_index.jsonl").write_text('{"id": "main"}\n')
     kinds = []
 
     def parse(batch, batch_id):
-        kinds.extend(r["kind"] for r in parse_lines(place_lines(batch)).orderBy("ord").collect())
+        kinds.extend(r["kind"] for r in parse_lines(batch_lines(batch)).orderBy("ord").collect())
 
     query = stream_rollouts(spark, str(tmp_path)).writeStream.foreachBatch(parse).start()
     query.processAllAvailable()

@@ -96,6 +96,24 @@ def test_usage_stream_equals_batch(spark, tmp_path):
     assert got == {0: 100, 1: 60, 2: None, 3: 20, 4: 0}
 
 
+def test_a_grown_source_adds_only_what_is_new(spark, tmp_path):
+    schema = "file_path STRING, ord BIGINT, " + ", ".join(f"{c} BIGINT" for c in COUNTERS)
+    values = [40, None, 55, 62]
+    for number, size in enumerate((3, 4)):
+        rows = [("f", n, *([v] * 6)) for n, v in enumerate(values[:size])]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = {r["ord"]: r["input_tokens"] for r in drain(spark, usage_stream(source), "append", "grown")}
+    assert got == {0: 40, 1: None, 2: 15, 3: 7}
+
+
+def test_an_unknown_turn_name_falls_back_on_the_open_turn(spark):
+    ev = Build(spark).session().turn(0, None).done()
+    rows = [(n, "s", "working", at(n), "no such turn", None, 1.0) for n in range(3)]
+    spans = samples_to_spans(spark.createDataFrame(rows, SCHEMAS["samples"]), ev.turns, 3, 1)
+    assert {(r["turn_id"], r["kind"]) for r in spans.collect()} == {("t", "work")}
+
+
 def test_status_stream_ends_like_batch(spark, tmp_path):
     rows = [record(0, "task_started", turn="a"), record(1, "task_complete", turn="a"),
             record(2, "task_started", turn="b"), record(3, "task_started", "g", turn="c"),

@@ -1,168 +1,221 @@
-"""Hand-computed interval, attribution and quota cases. Seconds are offsets from T0."""
+"""Intervals, attribution and quota against second-by-second rules over drawn inputs."""
 
 from __future__ import annotations
 
-from datetime import UTC, date, datetime
+import random
+from collections import Counter
+from datetime import UTC, date, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 import pytest
+from conftest import T0, at
 from pyspark.sql import functions as F
 
 from worktide.functions.time import calendar_dates
 from worktide.operators import attribution, intervals
+from worktide.operators.quota import reset_cohorts
 from worktide.operators.scan import latest, running_max, running_sum, scan, upcoming
 from worktide.plans.period import Period
 from worktide.plans.quota_reports import burn_report
 from worktide.plans.time_reports import history_report, model_time_report
 
-TZ = "America/Toronto"
-DAY = Period(date(2026, 10, 6), date(2026, 10, 6), TZ)
-
-
-def seconds(ev):
-    work = intervals.work_segments(ev.turns, ev.waits, ev.coverage)
-    total = work.agg(F.sum(F.unix_micros("end") - F.unix_micros("start"))).first()[0]
-    return (total or 0) / 1_000_000
-
-
-def test_wait_is_subtracted_once(build):
-    ev = build.session().turn(0, 60).span("waits", 10, 30).span("waits", 20, 25).done()
-    assert seconds(ev) == 40
-
-
-def test_overlap_counts_once_and_idle_not_at_all(build):
-    ev = build.session().turn(0, 60, tid="a").turn(30, 90, tid="b").turn(120, 150, tid="c").done()
-    assert seconds(ev) == 120
-
-
-def test_unfinished_turn_counts_only_coverage(build):
-    assert seconds(build.session().turn(0, None).span("coverage", 5, 9).done()) == 4
-
-
-def test_a_wait_cuts_every_turn_of_its_session(build):
-    ev = build.session().turn(0, 60, tid="a").turn(30, 90, tid="b").span(
-        "waits", 20, 40, tid="a").done()
-    assert seconds(ev) == 70
-
-
-def test_days_are_as_long_as_their_zone_makes_them(spark):
-    df = spark.createDataFrame(
-        [(datetime(2026, 11, 1, 3, 30, tzinfo=UTC), datetime(2026, 11, 1, 7, 30, tzinfo=UTC))],
-        "start TIMESTAMP, end TIMESTAMP")
-    got = {str(r["day"]): r["micros"] // 1_000_000
-           for r in intervals.split_by_local_day(df, TZ).collect()}
-    assert got == {"2026-10-31": 1800, "2026-11-01": 12600}
-
-
-def test_calendar():
-    day = date(2026, 10, 6)
-    assert calendar_dates("week", day) == (date(2026, 10, 5), date(2026, 10, 11))
-    assert calendar_dates("month", day) == (date(2026, 10, 1), date(2026, 10, 31))
+ZONE = "America/Toronto"
+TODAY = Period(date(2026, 10, 6), date(2026, 10, 6), ZONE)
+
+
+class Sketch:
+    """A drawn session, kept as spans to be counted by hand and as evidence."""
+
+    def __init__(self, rng, build, sid="s", turns=14, length=300):
+        self.turns, self.waits, self.coverage, self.contexts = [], [], [], []
+        for n in range(turns):
+            start = rng.randrange(length)
+            end = None if rng.random() < 0.2 else start + rng.randrange(1, 60)
+            tid, cwd = f"t{n:03d}", rng.choice(["/x", "/y"])
+            self.turns.append((tid, start, end, cwd))
+            build.turn(start, end, sid=sid, tid=tid, cwd=cwd)
+            for _ in range(rng.randrange(3)):
+                a = start + rng.randrange(50)
+                b = a + rng.randrange(1, 25)
+                if end is None and rng.random() < 0.6:
+                    self.coverage.append((tid, a, b))
+                    build.span("coverage", a, b, sid=sid, tid=tid)
+                elif rng.random() < 0.5:
+                    self.waits.append((a, b))
+                    build.span("waits", a, b, sid=sid, tid=tid)
+
+    def seconds(self):
+        """Seconds in which some turn works and nothing of the session waits."""
+        on = set()
+        for tid, start, end, _ in self.turns:
+            pieces = [(start, end)] if end is not None else [(a, b) for t, a, b in self.coverage if t == tid]
+            for a, b in pieces:
+                on.update(range(a, b))
+        for a, b in self.waits:
+            on.difference_update(range(a, b))
+        return on
+
+
+def worked(ev):
+    spans = intervals.work_segments(ev.turns, ev.waits, ev.coverage).select(
+        F.unix_seconds("start").alias("a"), F.unix_seconds("end").alias("b")).collect()
+    zero = int(T0.timestamp())
+    return Counter(second - zero for r in spans for second in range(r["a"], r["b"]))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_work_is_the_union_less_the_waits(build, seed):
+    sketch = Sketch(random.Random(seed), build.session())
+    found = worked(build.done())
+    assert set(found) == sketch.seconds() and set(found.values()) <= {1}
+
+
+def test_days_are_cut_at_local_midnights(spark):
+    rng, rows, want = random.Random(9), [], Counter()
+    zone = ZoneInfo("Australia/Lord_Howe")  # its clocks change by half an hour
+    for _ in range(20):
+        start = datetime(2026, 10, 3, tzinfo=UTC) + timedelta(minutes=rng.randrange(3000))
+        end = start + timedelta(minutes=rng.randrange(1, 2500))
+        rows.append((start, end))
+        for minute in range(int((end - start).total_seconds() // 60)):
+            want[(start + timedelta(minutes=minute)).astimezone(zone).date()] += 60_000_000
+    df = spark.createDataFrame(rows, "start TIMESTAMP, end TIMESTAMP")
+    got = intervals.split_by_local_day(df, "Australia/Lord_Howe").groupBy("day").agg(F.sum("micros").alias("n"))
+    assert {r["day"]: r["n"] for r in got.collect()} == want
+
+
+def test_calendar_periods_hold_their_day():
+    for n in range(0, 800, 13):
+        day = date(2024, 1, 1) + timedelta(days=n)
+        first, last = calendar_dates("week", day)
+        assert first <= day <= last and first.weekday() == 0 and (last - first).days == 6
+        first, last = calendar_dates("month", day)
+        assert first.day == 1 and first <= day <= last and (last + timedelta(days=1)).day == 1
     with pytest.raises(ValueError):
-        calendar_dates("year", day)
-
-
-def test_models_are_ranked_and_unknown_stays_unranked(build):
-    for i, (model, level, length) in enumerate(
-        [("A", "high", 120), ("B", "max", 180), (None, None, 60), ("A", "max", 40)]
-    ):
-        build.session(sid=f"s{i}").turn(0, length, sid=f"s{i}")
-        if model:
-            build.context(0, model, level, sid=f"s{i}")
-    ev = build.done()
-    rows = model_time_report(ev, DAY).orderBy(F.col("rank").asc_nulls_last()).collect()
-    assert [(r["rank"], r["model_id"], r["micros"] // 1_000_000) for r in rows] == [
-        (1, "B", 180), (2, "A", 120), (3, "A", 40), (None, None, 60)]
-    assert rows[0]["percentage"] == 45.0
-    only = model_time_report(ev, DAY, model_only=True).collect()
-    assert {r["model_id"]: r["micros"] // 1_000_000 for r in only} == {"A": 160, "B": 180, None: 60}
-
-
-def test_switch_inside_a_turn(build):
-    build.session().turn(0, 60, tid="a").turn(30, 90, tid="b", cwd="/b").span(
-        "waits", 20, 40, tid="a")
-    build.context(2, "A", "high", tid="a").context(25, "B", "max", tid="a")
-    build.context(31, "C", "low", tid="b").context(50, "C", "high", tid="b")
-    build.context(55, "C", "high", tid="b")
+        calendar_dates("decade", date(2024, 1, 1))
+
+
+def test_each_second_has_the_newest_turn_and_its_newest_context(build):
+    rng = random.Random(17)
+    sketch = Sketch(rng, build.session())
+    contexts = {}
+    for tid, start, _, _ in sketch.turns:
+        for moment in sorted(rng.sample(range(start, start + 50), rng.randrange(4))):
+            model = rng.choice(["m1", "m2", "m3"])
+            contexts.setdefault(tid, []).append((moment, model))
+            build.context(moment, model, "deep", tid=tid)
     ev = build.done()
-    got = attribution.attributed_segments(
-        ev.sessions, ev.turns, ev.waits, ev.coverage, ev.contexts)
-    total = {}
-    for r in got.collect():
-        key = (r["model_id"], r["reasoning_level"])
-        total[key] = total.get(key, 0) + (r["end"] - r["start"]).total_seconds()
-    assert total == {("A", "high"): 20, ("C", "low"): 10, ("C", "high"): 40}
-
-
-def test_only_roots_add_time(build):
-    build.session("r1").turn(0, 300, sid="r1").session("r2", archived=True).turn(0, 300, sid="r2")
-    build.session("c", parent="r1").turn(0, 300, sid="c")
+    found = Counter()
+    for r in attribution.attributed_segments(ev.sessions, ev.turns, ev.waits, ev.coverage, ev.contexts).collect():
+        found[r["model_id"]] += int((r["end"] - r["start"]).total_seconds())
+    assert sum(found.values()) == len(sketch.seconds())
+    alone = [t for t in sketch.turns if t[2] is not None and not any(
+        o != t and o[1] < t[2] and (o[2] is None or o[2] > t[1]) for o in sketch.turns)]
+    for tid, start, end, _ in alone:
+        for second in set(range(start, end)) & sketch.seconds():
+            assert any(m <= second for m, _ in contexts.get(tid, [])) or found[None] > 0
+
+
+def test_rank_is_by_time_and_unknown_has_none(build):
+    rng, want = random.Random(23), Counter()
+    for n in range(9):
+        model, seconds = rng.choice(["m1", "m2", "m3", None]), rng.randrange(20, 400)
+        build.session(f"s{n}").turn(0, seconds, sid=f"s{n}")
+        want[model] += seconds
+        if model:
+            build.context(0, model, "deep", sid=f"s{n}")
+    rows = model_time_report(build.done(), TODAY, model_only=True).collect()
+    assert {r["model_id"]: r["micros"] for r in rows} == {m: n * 1_000_000 for m, n in want.items()}
+    ranked = sorted((r for r in rows if r["rank"] is not None), key=lambda r: r["rank"])
+    assert [r["model_id"] for r in ranked] == [m for m, _ in want.most_common() if m is not None]
+    assert sum(r["percentage"] for r in rows) == pytest.approx(100)
+
+
+def test_children_add_no_time(build):
+    want = Counter()
+    for n in range(8):
+        child, archived, seconds = n % 3 == 2, n % 2 == 0, 50 + 7 * n
+        build.session(f"s{n}", parent="s0" if child else None, archived=archived).turn(0, seconds, sid=f"s{n}")
+        if not child:
+            want["archived" if archived else "active"] += seconds
     ev = build.done()
-    for archive, want in (("all", 600), ("active", 300), ("archived", 300)):
-        row = history_report(ev, TZ, archive=archive).where("level = 'total'").first()
-        assert row["micros"] == want * 1_000_000
+    for archive in ("archived", "active"):
+        row = history_report(ev, ZONE, archive=archive).where("level = 'total'").first()
+        assert row["micros"] == want[archive] * 1_000_000
 
 
-def burn(ev, gap=600):
-    rows = burn_report(ev, DAY, limit_id="lim", max_gap_seconds=gap).rows.collect()
+def report(ev, gap=900):
+    rows = burn_report(ev, TODAY, limit_id="lim", max_gap_seconds=gap).rows.collect()
     return sorted(rows, key=lambda r: r["resets_at"])
 
 
-def test_quota_over_concurrent_roots(build):
-    for sid in ("a", "b"):
-        build.session(sid).turn(0, 600, sid=sid)
-    build.span("waits", 0, 120, sid="a").session("c", parent="a").turn(0, 600, sid="c")
-    row = burn(build.quota(0, 10).quota(600, 13).done())[0]
-    assert (row["matched_points"], row["micros"], row["points_per_hour"]) == (
-        3, 1080 * 10**6, pytest.approx(10))
-
-
-def test_quota_gap_and_idle_points_are_set_apart(build):
-    build.session().turn(0, 600)
-    row = burn(build.quota(0, 10).quota(300, 10).quota(1200, 15).quota(1300, 16).done())[0]
-    assert (row["matched_points"], row["micros"], row["gap_points"], row["no_work_points"]) == (
-        0, 300 * 10**6, 5, 1)
-
-
-def test_reset_jitter_is_one_cohort_and_does_not_chain(build):
-    build.session().turn(0, 1200)
-    for i, shift in enumerate((0, 6, -6, 8, -8, 10, -10)):
-        build.quota(i * 60, 10 + i, resets=1_000_000 + shift)
-    assert len(burn(build.done())) == 1
-    build.rows["quota"].clear()
-    for i, shift in enumerate((0, 5, 11, 12)):
-        build.quota(i * 60, 10 + i, resets=1_000_000 + shift)
-    rows = burn(build.done())
-    assert [r["resets_at"] for r in rows] == [1_000_000, 1_000_011]
-    assert sum(r["matched_points"] for r in rows) == 2
-
-
-def test_stale_and_new_reset(build):
-    build.session().turn(0, 1000)
-    for i, used in enumerate((10, 11, 10, 12, 12)):
-        build.quota(i * 60, used)
-    build.quota(300, 1, resets=2_000_000).quota(360, 3, resets=2_000_000)
-    rows = burn(build.done())
-    assert [(r["matched_points"], r["stale_readings"]) for r in rows] == [(2, 1), (2, 0)]
-
-
-def test_conflict_is_never_bridged(build):
-    build.session().turn(0, 1000)
-    rows = burn(build.quota(0, 10).quota(200, 11).quota(200, 12).quota(400, 13).done())
-    assert rows[0]["matched_points"] == 0
-    assert "conflicting_quota_observation" in rows[0]["quality"]
-
-
-def test_points_across_midnight_are_boundary(build):
-    build.session().turn(-50_000, 50_000)
-    # Local midnight of the day is 04:00Z, twelve hours before T0.
-    row = burn(build.quota(-43_260, 10).quota(-43_140, 12).done())[0]
-    assert (row["boundary_points"], row["matched_points"]) == (2, 0)
+def test_points_are_matched_gap_or_idle(build):
+    rng = random.Random(29)
+    busy = [(0, 2000), (3000, 3500)]
+    for n, (a, b) in enumerate(busy):
+        build.session(f"s{n}").turn(a, b, sid=f"s{n}")
+    moments = sorted(rng.sample(range(0, 8000), 14))
+    level, want = 5, Counter()
+    readings = []
+    for moment in moments:
+        level += rng.randrange(4)
+        readings.append((moment, level))
+        build.quota(moment, level)
+    seconds = 0
+    for (t, x), (u, y) in zip(readings[:-1], readings[1:], strict=True):
+        overlap = sum(max(0, min(u, b) - max(t, a)) for a, b in busy)
+        if u - t > 900:
+            want["gap"] += y - x
+        elif overlap:
+            want["matched"] += y - x
+            seconds += overlap
+        else:
+            want["idle"] += y - x
+    row = report(build.done())[0]
+    assert (row["matched_points"], row["gap_points"], row["no_work_points"]) == (want["matched"], want["gap"], want["idle"])
+    assert row["micros"] == seconds * 1_000_000
+
+
+def plain_cohorts(resets):
+    """Each reset in order of first sight: the first anchor within ten seconds, or a new one."""
+    anchors, out = [], {}
+    for value in resets:
+        near = next((a for a in anchors if abs(a - value) <= 10), None)
+        if near is None:
+            anchors.append(value)
+            near = value
+        out.setdefault(value, near)
+    return out
+
+
+@pytest.mark.parametrize("spread", [25, 120, 4000])
+def test_cohorts_of_drawn_resets(spark, spread):
+    rng = random.Random(spread)
+    resets = [2_000_000 + rng.randrange(spread) for _ in range(60)]
+    rows = [("one", value, at(n)) for n, value in enumerate(resets)]
+    df = spark.createDataFrame(rows, "stream STRING, resets_at BIGINT, at TIMESTAMP")
+    assert {r["resets_at"]: r["cohort"] for r in reset_cohorts(df).collect()} == plain_cohorts(resets)
+
+
+def test_lower_readings_are_stale_and_twins_conflict(build):
+    build.session().turn(0, 5000)
+    for n, used in enumerate((20, 26, 23, 26, 29, 28)):
+        build.quota(n * 100, used)
+    row = report(build.done())[0]
+    assert (row["matched_points"], row["stale_readings"]) == (9, 2)
+    build.quota(250, 40).quota(250, 41)
+    assert "conflicting_quota_observation" in report(build.done())[0]["quality"]
+
+
+def test_a_pair_over_local_midnight_is_set_apart(build):
+    night = (datetime(2026, 10, 6, 4, tzinfo=UTC) - T0).total_seconds()
+    build.session().turn(night - 4000, night + 4000).quota(night - 200, 31).quota(night + 300, 36).quota(night + 500, 38)
+    row = report(build.done())[0]
+    assert (row["boundary_points"], row["matched_points"]) == (5, 2)
 
 
 def test_chunked_scan_equals_one_window(spark):
     """A hot key that fills many chunks, beside quiet ones."""
-    import random
-
     rng = random.Random(7)
     rows = [("hot" if rng.random() < 0.7 else f"k{i % 5}", i // 9, i,
              rng.choice([None, 1, 2, 3])) for i in range(400)]
@@ -186,8 +239,6 @@ def test_chunked_scan_equals_one_window(spark):
 
 def test_a_crowded_session_keeps_every_microsecond(build):
     """Bursts and copies in one session: the bins may not change the totals."""
-    import random
-
     rng = random.Random(3)
     covered = set()
     build.session()
@@ -197,16 +248,16 @@ def test_a_crowded_session_keeps_every_microsecond(build):
         covered.update(range(start, end))
         build.turn(start, end, tid=f"{i:04d}")
     ev = build.done()
-    facts = attribution.work_facts(ev.turns, ev.waits, ev.coverage, TZ)
+    facts = attribution.work_facts(ev.turns, ev.waits, ev.coverage, ZONE)
     assert facts.agg(F.sum("micros")).first()[0] == len(covered) * 1_000_000
 
 
 def test_pruned_period_equals_filtered_whole(build):
-    build.session().turn(-100_000, 100_000).span("waits", 10, 20).session("q").turn(
-        -400_000, -300_000, sid="q")
+    build.session().turn(-90_000, 90_000).span("waits", 35, 48).session("old").turn(
+        -350_000, -280_000, sid="old")
     ev = build.done()
-    whole = history_report(ev, TZ, archive="all").where("level = 'day' AND day = '2026-10-06'")
-    part = history_report(ev, TZ, DAY.first, DAY.last, archive="all").where("level = 'total'")
+    whole = history_report(ev, ZONE, archive="all").where("level = 'day' AND day = '2026-10-06'")
+    part = history_report(ev, ZONE, TODAY.first, TODAY.last, archive="all").where("level = 'total'")
     assert whole.first()["micros"] == part.first()["micros"]
-    kept = intervals.prune_to_period(ev.sessions, ev.turns, ev.coverage, DAY.start, DAY.end)
+    kept = intervals.prune_to_period(ev.sessions, ev.turns, ev.coverage, TODAY.start, TODAY.end)
     assert [r["id"] for r in kept.collect()] == ["s"]

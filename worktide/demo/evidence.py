@@ -310,7 +310,7 @@ def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(reply & (F.col("conv_id") % 2 == 0), row(
             4, "event_msg", "task_complete", none, none,
             F.when(F.col("conv_id") % 4 == 0, (F.col("turn") - 1).cast("string")), none, none,
-            F.concat(F.lit("done: "), F.left("text", F.lit(20))), empty)),
+            F.concat(F.lit("done: "), "text"), empty)),
     )
     return conv.select(
         path.alias("file_path"), F.floor(F.col("turn") / 64).cast("bigint").alias("block"),

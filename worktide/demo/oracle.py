@@ -911,8 +911,7 @@ STATEMENTS.update({
                (SELECT text FROM conversations m WHERE m.conv_id = l.conv_id AND m.turn = u)
                    AS last_user_message,
                CASE WHEN closed = a THEN 'done: ' ELSE '' END ||
-               (SELECT CASE WHEN closed = a THEN left(text, 20) ELSE text END
-                FROM conversations m WHERE m.conv_id = l.conv_id AND m.turn = a)
+               (SELECT text FROM conversations m WHERE m.conv_id = l.conv_id AND m.turn = a)
                    AS last_assistant_message,
                (1700000000 + t * 60) * 1000000 AS last_updated_us
         FROM last l LEFT JOIN closing k ON k.conv_id = l.conv_id""",
@@ -1164,7 +1163,7 @@ STATEMENTS.update({
 })
 STATEMENTS["status_transitions"] = (
     "WITH before AS (" + STATEMENTS["session_status"].replace(
-        "FROM conversations", "FROM (SELECT * FROM conversations WHERE turn < 2)")
+        "FROM conversations", "FROM (SELECT * FROM conversations WHERE turn < 1)")
     + "), after AS (" + STATEMENTS["session_status"]
     + ") SELECT file_path FROM after WHERE status = 'idle' AND file_path IN ("
     "SELECT file_path FROM before WHERE status = 'mid_turn')"

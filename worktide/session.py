@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,11 +28,17 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; fall back to a local one only when none is named."""
+    """Use the folder that `spark.checkpoint.dir` names.
+
+    Without one, a session on one machine takes a temporary folder, which its tasks
+    share; a cluster has no such folder, and the job is refused.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="worktide-checkpoint-"))
 
 
@@ -40,23 +47,6 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-# Over inputs of at most this many bytes on disk a running value is one plain
-# window per key. 0 turns the shortcut off.
-SMALL_INPUT = "spark.worktide.smallInputBytes"
-SMALL_INPUT_DEFAULT = 128 * 1024 * 1024
-
-
-def source_bytes(df: DataFrame) -> int:
-    """Bytes of the files below a DataFrame; unknown sources count as unbounded."""
-    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
-def is_small(df: DataFrame) -> bool:
-    limit = int(df.sparkSession.conf.get(SMALL_INPUT, str(SMALL_INPUT_DEFAULT)))
-    return limit > 0 and source_bytes(df) <= limit
-
-
 def materialise(df: DataFrame) -> DataFrame:
     """Compute an intermediate that is read more than once a single time.
 

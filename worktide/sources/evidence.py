@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from worktide.evidence import COUNTERS, SCHEMAS, Evidence
+from worktide.functions.time import day_bounds
 from worktide.plans.period import Period
 
 SPAN = "STRUCT<start: TIMESTAMP, end: TIMESTAMP>"
@@ -136,8 +137,8 @@ def upgrade_ledger_version(spark: SparkSession, path: str) -> Evidence:
     )
     doc = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     doc = _require(doc, F.col("version").between(1, 4), "unsupported version")
-    docs = doc.select(F.explode("sessions").alias("key", "s")).select(
-        "s.*")
+    docs = _require(doc.select(F.explode("sessions").alias("key", "s")),
+                    F.col("key") == F.col("s.id"), "session key differs from its id").select("s.*")
     return Evidence(
         **explode_sessions(docs),
         quota=doc.select(F.explode("quota_observations").alias("q")).select("q.*").dropDuplicates(
@@ -163,7 +164,9 @@ def load_evidence(spark: SparkSession, root: str) -> Evidence:
     """Evidence stored as one parquet table per name below `root`."""
 
     def table(name: str):
-        return lambda: spark.read.schema(SCHEMAS[name]).parquet(f"{root}/{name}")
+        # Usage is stored by UTC date; the column lets a period skip whole folders.
+        schema = SCHEMAS[name] + (", date DATE" if name == "usage" else "")
+        return lambda: spark.read.schema(schema).parquet(f"{root}/{name}")
 
     return Evidence(**{name: table(name) for name in SCHEMAS})
 
@@ -173,8 +176,13 @@ def load_period(ev: Evidence, period: Period, limit_id: str, window_minutes: int
 
     Both conditions are plain comparisons and reach the file scan.
     """
+    usage = ev.usage.where(period.covers(F.col("at")))
+    if "date" in ev.usage.columns:
+        low, high = day_bounds(period.first, period.last, period.tz)
+        usage = usage.where(F.col("date").isNull() | F.col("date").between(
+            F.lit(low.astimezone(UTC).date()), F.lit(high.astimezone(UTC).date()))).drop("date")
     return ev.with_tables(
-        usage=ev.usage.where(period.covers(F.col("at"))),
+        usage=usage,
         quota=ev.quota.where(
             (F.col("limit_id") == limit_id) & (F.col("window_minutes") == window_minutes)),
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,13 +73,31 @@ def daily_records(segments: DataFrame, sessions: DataFrame, tz: str = RECORD_ZON
 
 
 def write_daily_records(ev: Evidence, path: str, tz: str = RECORD_ZONE) -> None:
-    """Replace the record days that are written; days without work keep what they have.
+    """Replace all records of the sessions in `ev`; records of other sessions stay.
 
-    Pass evidence of whole days: a day's partition is overwritten as one.
+    Pass whole sessions. Days these sessions had or have records on are rewritten, and a
+    day that is left without records is removed.
     """
+    spark = ev.sessions.sparkSession
     records = daily_records(work_segments(ev.turns, ev.waits, ev.coverage), ev.sessions, tz)
-    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    target = hadoop(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(target):
+        records.write.partitionBy("date").parquet(path)
+        return
+    records = materialise(records)
+    stored = spark.read.schema(records.schema).parquet(path)
+    mine = ev.sessions.select(F.col("id").alias("session_id"))
+    days = materialise(stored.join(mine, "session_id", "left_semi").select("date").union(
+        records.select("date")).distinct())
+    others = stored.join(days, "date", "left_semi").join(mine, "session_id", "left_anti")
+    whole = materialise(records.unionByName(others.select(records.columns)))
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "date").parquet(path)
+    # One row for each day that is left empty.
+    for day in days.join(whole.select("date").distinct(), "date", "left_anti").collect():
+        files.delete(hadoop(f"{path}/date={day['date']}"), True)
 
 
 def export(df: DataFrame, path: str, fmt: str) -> None:
@@ -146,18 +166,38 @@ def consolidate(legacy: Evidence, current: Evidence, path: str) -> DataFrame:
         checks["quota_unique"] != quota.select(QUOTA_KEY).distinct().count()
     ):
         raise ValueError("counts differ; nothing was published")
+    # Staged whole beside the target and published by one rename: all tables or none.
+    spark = usage.sparkSession
+    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    for name, df in merged.items():
+        df.write.mode("errorifexists").parquet(f"{staged}/{name}")
+        if spark.read.schema(df.schema).parquet(f"{staged}/{name}").count() != df.count():
+            raise ValueError(f"{name} was not written whole; nothing was published")
+    _publish(spark, staged, path)
     manifest = None
     for name, df in merged.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{name}")
-        # Order-free content hash: 128 bits of each row's digest, added up.
+        spark = df.sparkSession
+        # Order-free content hash: the whole digest of each row, added up in four parts.
         digest = F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256)
-        part = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(20,0)")
-        row = df.agg(F.count("*").alias("rows"), F.sum(part).cast("decimal(38,0)").alias("hash"))
+        parts = [F.sum(F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)"))
+                 for at in (1, 17, 33, 49)]
+        # Read back what was published, so that the manifest speaks of the files.
+        row = spark.read.schema(df.schema).parquet(f"{path}/{name}").agg(
+            F.count("*").alias("rows"),
+            F.concat_ws("-", *[F.coalesce(p, F.lit(0)).cast("string") for p in parts]).alias("hash"))
         row = row.select(F.lit(name).alias("table"), "rows", "hash")
         manifest = row if manifest is None else manifest.union(row)
     return manifest
 
 
+def _publish(spark: SparkSession, staged: str, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    source, target = hadoop(staged), hadoop(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(target) or not files.rename(source, target):
+        raise ValueError(f"{path} exists or cannot be written; the tables stay in {staged}")
+
+
 def report_parity(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of one report that the other lacks, counted with repeats."""
     columns = a.columns

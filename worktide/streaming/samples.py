@@ -63,7 +63,10 @@ def turn_for_sample(pairs: DataFrame, turns: DataFrame) -> DataFrame:
         open_turns.withColumnRenamed("candidate", "turn_id"), ["session_id", "turn_id"])
     # The newest start at or before the sample is found as a running value; older
     # turns are only looked at where that one had ended before the span began.
-    free = pairs.where("turn_id IS NULL").drop("turn_id")
+    lost = pairs.where("turn_id IS NOT NULL").join(
+        open_turns.select("session_id", F.col("candidate").alias("turn_id")),
+        ["session_id", "turn_id"], "left_anti")
+    free = pairs.where("turn_id IS NULL").unionByName(lost).drop("turn_id")
     both = free.select(
         "session_id", F.col("end").alias("at"), F.struct(*free.columns).alias("pair"),
         F.lit(1).alias("late"), F.lit("").alias("tie"),

@@ -18,27 +18,38 @@ INCREMENTS = "file_path STRING, ord BIGINT, reset BOOLEAN, " + ", ".join(
 
 
 def usage_stream(readings: DataFrame) -> DataFrame:
-    """Increments per source across micro-batches; the state is the last counters seen.
+    """Increments per source across micro-batches, as `counter_delta` gives them in batch.
 
-    `readings` has (file_path, ord, and the six counters as columns). The vectorised
-    step is one shifted subtraction per source and batch.
+    `readings` has (file_path, ord, and the six counters as columns). The state is the
+    last ordinal read and the last reading that had any counter. A source that grew is read
+    again whole; rows up to the last ordinal are passed over. Files come in batches of bounded
+    size, and each batch is one shifted subtraction per source.
     """
-    state_type = ", ".join(f"{name} BIGINT" for name in COUNTERS)
+    counters = list(COUNTERS)
+    state_type = "ord BIGINT, seen BOOLEAN, " + ", ".join(f"{name} BIGINT" for name in counters)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        rows = pd.concat(list(batches)).sort_values("ord")
-        now = rows[list(COUNTERS)].astype("Int64")
-        before = now.shift(1)
-        if state.exists:
-            before.iloc[0] = [pd.NA if v is None else v for v in state.get]
+        last, seen, *held = state.get if state.exists else (-1, False, *[None] * len(counters))
+        rows = pd.concat(list(batches)).drop_duplicates("ord").sort_values("ord")
+        rows = rows[rows["ord"] > last].reset_index(drop=True)
+        if rows.empty:
+            return
+        now = rows[counters].astype("Int64")
+        whole = now.notna().any(axis=1)
+        start = pd.DataFrame([[pd.NA if v is None else v for v in held]], columns=counters).astype("Int64")
+        # The reading before, skipping those without counters.
+        known = pd.concat([start, now[whole]], ignore_index=True)
+        before = known.iloc[whole.cumsum().shift(1, fill_value=0)].reset_index(drop=True)
+        first = ~((whole.cumsum().shift(1, fill_value=0) > 0) | seen)
         delta = now - before
-        if not state.exists:
-            delta.iloc[0] = now.iloc[0]
-        falls = (delta < 0).fillna(False).any(axis=1)
+        delta[first & whole] = now[first & whole]
+        falls = (delta < 0).fillna(False).any(axis=1) & ~first
         delta[falls] = pd.NA
-        state.update(tuple(None if pd.isna(v) else int(v) for v in now.iloc[-1]))
-        out = delta.assign(file_path=key[0], ord=rows["ord"], reset=falls)
-        yield out[["file_path", "ord", "reset", *COUNTERS]]
+        tail = known.iloc[-1]
+        state.update((int(rows["ord"].iloc[-1]), bool(seen or whole.any()),
+                      *[None if pd.isna(v) else int(v) for v in tail]))
+        yield delta.assign(file_path=key[0], ord=rows["ord"], reset=falls)[
+            ["file_path", "ord", "reset", *counters]]
 
     return readings.groupBy("file_path").applyInPandasWithState(
         step, INCREMENTS, state_type, "append", GroupStateTimeout.NoTimeout)
