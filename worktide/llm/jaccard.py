@@ -14,7 +14,7 @@ pair, and a group is some nine shingles, so unrelated documents hardly meet.
 1. Documents with equal sets are one class; its smallest id stands for it.
 2. Classes that share a key are compared with the smallest of them. Their links
    already join most families, and there are at most as many as (key, class) rows.
-3. Where a key still holds several components, the R-tree search runs over its
+3. Where a key still holds several components (one key of those with the same members), the R-tree search runs over its
    members, in blocks, for pairs from different components only. What passes the bound
    is compared. Afterwards no unlinked pair of different components is left to test.
 
@@ -377,8 +377,11 @@ def jaccard_components(
     members = shared.select("key", F.explode(F.array("leader", "row")).alias("row")).distinct()
     rooted = members.join(joined.select(F.col("node").alias("row"), "root"), "row", "left").select(
         "key", "row", F.coalesce("root", "row").alias("root"))
-    open_keys = rooted.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    # Of keys with the very same members, as most of a family's are, one says all.
+    same = [F.bit_xor(F.xxhash64("row")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(7), "row")).alias("x2"),
+            F.count(F.lit(1)).alias("size")]
+    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), *same).filter(
+        "low < high").groupBy("x1", "x2", "size").agg(F.min("key").alias("key")).select("key")
     members = materialise(rooted.join(open_keys, "key"))
     met = tree_pairs(members.join(points, "row"), percent)
     rest = materialise(met.join(stars, ["a", "b"], "left_anti"))
