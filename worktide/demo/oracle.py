@@ -916,7 +916,7 @@ STATEMENTS.update({
                (1700000000 + t * 60) * 1000000 AS last_updated_us
         FROM last l LEFT JOIN closing k ON k.conv_id = l.conv_id""",
     "message_text": """
-        SELECT '/conv/' || conv_id AS file_path, turn * 10 + 3 AS ord, length(text) AS n
+        SELECT '/conv/' || conv_id AS file_path, turn * 10 + 3 AS ord, sha256(text) AS digest
         FROM conversations""",
     "heartbeat_fresh": """
         SELECT session_id, max(us) - 60000000 >= 1706659200000000 - 7200000000

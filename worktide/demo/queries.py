@@ -390,7 +390,7 @@ def session_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @table_query
 def message_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = demo.conversation_records(spark, sf_dir).where("event = 'message'")
-    return rows.select("file_path", "ord", F.length(status.message_text(F.col("content"))).alias("n"))
+    return rows.select("file_path", "ord", F.sha2(status.message_text(F.col("content")), 256).alias("digest"))
 
 
 @table_query
