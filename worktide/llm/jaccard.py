@@ -45,7 +45,7 @@ from worktide.llm.frames import capitals_free, map_rows, materialise, named
 BAND = 1.5  # ratio of the bounds of a size band
 SPARE = 2  # groups beyond those needed; a set with more empty groups than this keys these too
 DIMENSIONS = 64  # of the count vectors
-BLOCK = 256  # members of a key that meet in one task
+BLOCK = 4096  # members of a key that meet in one task
 LEAF = 16
 
 U64 = np.uint64
@@ -127,8 +127,17 @@ def group_keys(tokens: np.ndarray, rule: Rule) -> np.ndarray:
     return np.concatenate(keys) if keys else np.empty(0, dtype=U64)
 
 
-def count_vector(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount((tokens % U64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
+def count_vector(tokens: np.ndarray) -> bytes:
+    """Counts of the groups, two bytes each, or four where a set is too large for that."""
+    counts = np.bincount((tokens % U64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
+    return counts.astype(np.uint16 if counts.max() < 2**16 else np.int32).tobytes()
+
+
+def points_of(counts: list[bytes]) -> np.ndarray:
+    kinds = {DIMENSIONS * 2: np.uint16, DIMENSIONS * 4: np.int32}
+    if {len(c) for c in counts} == {DIMENSIONS * 2}:
+        return np.frombuffer(b"".join(counts), dtype=np.uint16).astype(np.int32).reshape(-1, DIMENSIONS)
+    return np.array([np.frombuffer(c, dtype=kinds[len(c)]) for c in counts], dtype=np.int32)
 
 
 def set_hash(tokens: np.ndarray) -> tuple[int, int]:
@@ -147,7 +156,7 @@ def profiles(rows: DataFrame, kind: str, width: int) -> DataFrame:
             sets = [shingle_set(t, width, hashes) for t in batch["text"]]
             marks = [set_hash(s) for s in sets]
             yield {"row": batch["row"], "n": [len(s) for s in sets], "h1": [m[0] for m in marks],
-                   "h2": [m[1] for m in marks], "counts": [count_vector(s).tobytes() for s in sets]}
+                   "h2": [m[1] for m in marks], "counts": [count_vector(s) for s in sets]}
 
     return map_rows(rows, run, f"row {kind}, n bigint, h1 bigint, h2 bigint, counts binary")
 
@@ -231,8 +240,7 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch["a"]:
                 continue
-            left = np.frombuffer(b"".join(batch["ca"]), dtype=np.int32).reshape(-1, DIMENSIONS)
-            right = np.frombuffer(b"".join(batch["cb"]), dtype=np.int32).reshape(-1, DIMENSIONS)
+            left, right = points_of(batch["ca"]), points_of(batch["cb"])
             need = rule.need(np.array(batch["na"]), np.array(batch["nb"]))
             keep = np.nonzero(np.minimum(left, right).sum(axis=1) >= need)[0]
             yield {"a": [batch["a"][i] for i in keep], "b": [batch["b"][i] for i in keep]}
@@ -325,11 +333,10 @@ def _linkable(block: list[tuple], rule: Rule) -> set[tuple]:
     right = [r for r in block if r[3] == r[2]]
     if not left or not right or len({r[5] for r in block}) < 2:
         return set()
-    tree = Tree(np.frombuffer(b"".join(r[7] for r in right), dtype=np.int32).reshape(-1, DIMENSIONS),
-                np.array([r[6] for r in right]))
+    tree = Tree(points_of([r[7] for r in right]), np.array([r[6] for r in right]))
     out = set()
-    for _, _, _, _, row, root, n, raw in left:
-        for at in tree.search(np.frombuffer(raw, dtype=np.int32), n, rule):
+    for point, (_, _, _, _, row, root, n, _) in zip(points_of([r[7] for r in left]), left, strict=True):
+        for at in tree.search(point, n, rule):
             if right[at][5] != root:
                 out.add((min(row, right[at][4]), max(row, right[at][4])))
     return out
