@@ -16,6 +16,7 @@ of the page. Repeated rows each come back.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -66,24 +67,33 @@ class Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
         self.open = [self.root]
+        self.count = Counter()  # of the open tags, so that no stack is searched in vain
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in CLOSED_BY:
             self._close(*CLOSED_BY[tag])
         elif tag in BLOCK:
-            self._close(frozenset({"p"}), frozenset({"td", "th", "li", "div", "table"}) - {tag})
+            # A block closes a paragraph, so none is open around another block.
+            self._close(frozenset({"p"}), BLOCK - {"p"})
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
+    def _cut(self, at: int) -> None:
+        self.count.subtract(node.tag for node in self.open[at:])
+        del self.open[at:]
+
     def handle_endtag(self, tag: str) -> None:
+        if self.count[tag] <= 0:
+            return
         for at in range(len(self.open) - 1, 0, -1):
             if self.open[at].tag == tag:
-                del self.open[at:]
+                self._cut(at)
                 return
             if self.open[at].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot"):
                 return  # an end tag without its start leaves the cell open
@@ -93,6 +103,8 @@ class Builder(HTMLParser):
 
     def _close(self, closed: frozenset, within: frozenset) -> None:
         last = None
+        if not any(self.count[tag] > 0 for tag in closed):
+            return
         for at in range(len(self.open) - 1, 0, -1):
             tag = self.open[at].tag
             if tag in within:
@@ -100,7 +112,7 @@ class Builder(HTMLParser):
             if tag in closed:
                 last = at
         if last is not None:
-            del self.open[last:]
+            self._cut(last)
 
 
 class Flow:
