@@ -163,8 +163,7 @@ def test_licences_found_confirmed_and_unknown(spark):
              for i in range(80)]
     docs = docs_of(spark, [*plain, (500, plain[0][1] + "\nReleased under the MIT License.\n"), (501, None), (502, ""),
                            (503, "LICENSED UNDER THE APACHE LICENSE, version 2.0"), (503, "LICENSED UNDER THE APACHE LICENSE, version 2.0"),
-                           (504, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-                                 "General Public License as published by the Free Software Foundation"),
+                           (504, "This work is licensed under the GNU General Public License, version 3."),
                            (505, "a licence plate under a car"), (None, "Licensed under CC BY-NC 4.0.")])
     labelled = spark.createDataFrame([(i,) for i in range(80)], "doc_id bigint")
     model = licences.train(docs, labelled=labelled)
