@@ -208,6 +208,11 @@ def test_round_trip_and_repeatability(spark):
     assert pieces.encode(docs_of(spark, [])).collect() == []
 
 
+def test_three_paths_by_default(spark):
+    docs = docs_of(spark, [(1, "there is more than one way", "en")])
+    assert [r["sample"] for r in pieces.encode(docs).orderBy("sample").collect()] == [1, 2, 3]
+
+
 VECTOR = "vec_id bigint, embedding array<float>, id int, v int, block int"
 
 
