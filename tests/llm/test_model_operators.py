@@ -113,6 +113,27 @@ def test_junk_is_rejected_and_clean_kept(spark):
     assert NO_LANGUAGE not in {r.lang for r in got}
 
 
+def test_a_junk_stretch_in_fluent_text_is_rejected(spark):
+    rng = random.Random(21)
+    clean = [(i, text_of(rng, 80), "en") for i in range(80)]
+    stretch = text_of(rng, 700) + " " + text_of(rng, 40, junk=True) + " " + text_of(rng, 700)
+    docs = docs_of(spark, [*clean, (100, stretch, "en"), (101, text_of(rng, 1400), "en")])
+    trusted = spark.createDataFrame([(i,) for i in range(80)], "doc_id bigint")
+    got = {r.doc_id: r.rejected for r in classify(docs, trusted).collect()}
+    assert got[100] and not got[101]
+
+
+def test_trusted_documents_are_not_scored_by_a_model_of_themselves(spark):
+    rng = random.Random(22)
+    clean = [(i, text_of(rng, 30), "en") for i in range(40)]
+    own = "QXZ WVK " * 20
+    docs = docs_of(spark, [*clean, (50, own, "en"), (60, "Qué", "es")])
+    trusted = spark.createDataFrame([(i,) for i in (*range(40), 50, 60)], "doc_id bigint")
+    got = {r.doc_id: r.perplexity for r in classify(docs, trusted).collect()}
+    # Its letters are in no other document, yet the only document of a language has a score.
+    assert got[50] > 20 * max(got[i] for i in range(40)) / 4 and got[60] is not None
+
+
 def test_lookup():
     rng = np.random.default_rng(0)
     keys = np.unique(rng.integers(0, 2**63, 5000).astype(np.uint64))

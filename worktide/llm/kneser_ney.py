@@ -2,8 +2,13 @@
 
 Characters are the words of the model, four to an n-gram, one model per language. The
 n-grams of all trusted documents are counted; continuation counts, discounts and context
-weights are group-bys and joins over the count tables. A document's perplexity is
-compared with a quantile of its language's trusted documents.
+weights are group-bys and joins over the count tables. A document's perplexity, and that of
+its worst passage, are compared with quantiles of its language's trusted documents.
+
+No document is scored by a model that has read it: texts fall into two folds by their hash,
+each fold's trusted documents make one model per language, and a document is scored by the
+model of the other fold. So the quantiles hold for new text. Where only one fold of a
+language has trusted documents, its model scores both.
 
     p(c | h) = max(n(hc) - D, 0) / n(h.) + gamma(h) * p(c | h without its first character)
 
@@ -39,6 +44,7 @@ ORDER = 4
 BITS = 16
 SHARD_ENTRIES = 4_000_000
 BIN = 0.001  # width of a bin of log perplexity, for the quantiles
+BLOCK = 100  # characters, about; two neighbouring blocks are a passage
 NO_LANGUAGE = "\0"  # stands for a null language in keys
 
 U64 = np.uint64
@@ -197,9 +203,11 @@ def _before(kind: Column, key: Column) -> Column:
 
 
 def log_likelihoods(docs: DataFrame, entries: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
-    """(row, mark, lang, nll, chars) for each row of (row, mark, lang, text).
+    """(row, mark, lang, nll, chars, blocks) for each row of (row, mark, lang, text).
 
-    nll is null where there is no text or no model. Each shard is counted before it is sent.
+    `blocks` has the nll of each of the text's blocks, which are equally long but for
+    rounding. Both are null where there is no text or no model. Each shard is counted before
+    it is sent.
     """
     spark = docs.sparkSession
     low = F.col("kind").isin(1, 10)
@@ -234,20 +242,24 @@ def log_likelihoods(docs: DataFrame, entries: DataFrame, shard_entries: int = SH
             for language, parts in sent.value.items():
                 scorers[language] = Scorer(parts, spread.value[language], shards == 1)
             for batch in batches:
-                nll = [None] * len(batch["row"])
+                nll, blocks = [None] * len(batch["row"]), [None] * len(batch["row"])
                 for language, places in by_language(batch).items():
                     if language not in scorers:
                         continue
                     for few in _slices(places, batch["text"]):
                         texts = [batch["text"][i] for i in few]
                         chars, starts = symbols(texts)
-                        sums = np.add.reduceat(scorers[language].log_p(chars), starts)
-                        for i, total in zip(few, sums.tolist(), strict=True):
-                            nll[i] = -total
+                        log_p = scorers[language].log_p(chars)
+                        edges, stops = block_starts(starts, np.array([len(t) for t in texts]))
+                        parts = -np.add.reduceat(log_p, edges)
+                        for i, total, part in zip(few, np.add.reduceat(log_p, starts).tolist(),
+                                                  np.split(parts, stops[:-1]), strict=True):
+                            nll[i], blocks[i] = -total, part
                 yield {"row": batch["row"], "mark": batch["mark"], "lang": batch["lang"], "nll": nll,
-                       "chars": [len(t or "") for t in batch["text"]]}
+                       "chars": [len(t or "") for t in batch["text"]], "blocks": blocks}
 
-        return map_rows(docs, run, f"row {kind}, mark bigint, lang string, nll double, chars bigint")
+        return map_rows(docs, run, f"row {kind}, mark bigint, lang string, nll double, chars bigint, "
+                                   "blocks array<double>")
 
     if shards == 1:
         return scan(0)
@@ -256,12 +268,31 @@ def log_likelihoods(docs: DataFrame, entries: DataFrame, shard_entries: int = SH
         every = every.unionAll(scan(number))
     # Equal rows are added up together and counted out again.
     met = every.groupBy("row", "mark", "lang", "chars").agg(
-        F.sum("nll").alias("nll"), F.count(F.lit(1)).alias("scans"))
+        F.sum("nll").alias("nll"), F.count(F.lit(1)).alias("scans"), F.collect_list("blocks").alias("parts"))
     times = (F.col("scans") / shards).cast("int")
+    added = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.get("parts", F.lit(0)),
+                        lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
     return met.select("row", "mark", "lang", (F.col("nll") / times).alias("nll"), "chars",
+                      F.transform(added, lambda x: x / times).alias("blocks"),
                       F.explode(F.sequence(F.lit(1), times))).drop("col")
 
 
+def block_starts(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the blocks of texts start, and the number of blocks up to the end of each text."""
+    amount = np.maximum(1, (sizes + BLOCK // 2) // BLOCK)
+    stops = np.cumsum(amount)
+    number = np.arange(int(stops[-1])) - np.repeat(stops - amount, amount)
+    return np.repeat(starts, amount) + number * np.repeat(sizes, amount) // np.repeat(amount, amount), stops
+
+
+def _worst() -> tuple[Column, Column]:
+    """(nll, characters) of the worst passage; that of a text of one block is the text."""
+    blocks, count = F.col("blocks"), F.size("blocks")
+    pairs = F.zip_with(F.slice(blocks, 1, F.greatest(count - 1, F.lit(0))), F.slice(blocks, 2, F.greatest(count - 1, F.lit(0))),
+                       lambda a, b: a + b)
+    return F.when(count > 1, F.array_max(pairs)).otherwise(F.get(blocks, F.lit(0))), F.col("chars") * F.least(F.lit(1.0), 2.0 / count)
+
+
 def _slices(places: list[int], texts: list[str], limit: int = 400_000):
     """Rows of about `limit` characters at a time, so that arrays stay small."""
     few, size = [], 0
@@ -296,14 +327,15 @@ def classify(
     trusted_id_col: str = "doc_id",
     *,
     quantile: float = 0.99,
-    slack: float = 1.4,
-    prior_chars: int = 200,
+    slack: float = 1.1,
+    prior_chars: int = 50,
     shard_entries: int = SHARD_ENTRIES,
 ) -> DataFrame:
-    """(id, mark, lang, chars, perplexity, threshold, rejected) for each input row.
+    """(id, mark, lang, chars, perplexity, threshold, worst, worst_threshold, rejected) for each input row.
 
     `trusted` holds the ids of trusted documents. A document is rejected when its
-    perplexity exceeds `slack` times the `quantile` of its language's trusted documents.
+    perplexity, or that of its worst passage, exceeds `slack` times the `quantile` of its
+    language's trusted documents.
     `mark` is the xxhash64 of the text, which tells rows of one id apart.
     """
     rows = named(docs, row=id_col, text=text_col, lang=lang_col)
@@ -311,31 +343,51 @@ def classify(
                        F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"))
     # The same plan at every size: the labels grow with the data and are never broadcast.
     known = named(trusted, row=trusted_id_col).distinct().hint("merge")
-    entries = model(rows.join(known, "row", "left_semi").select("lang", "text"))
-    scored = materialise(log_likelihoods(rows, entries, shard_entries))
+    fold = F.pmod("mark", F.lit(2)).cast("string")
+    entries = model(rows.join(known, "row", "left_semi").select(F.concat("lang", fold).alias("lang"), "text"))
+    # A model's name is its language and fold; a language has two at most.
+    names = F.col("lang")
+    have = entries.filter("kind = 10").select(F.expr("left(lang, length(lang) - 1)").alias("lang"),
+                                              F.right(names, F.lit(1)).alias("fold"))
+    have = have.groupBy("lang").agg(F.array_sort(F.collect_set("fold")).alias("folds"))
+    other = F.when(fold == "0", "1").otherwise("0")
+    rows = rows.join(F.broadcast(have), "lang", "left").select(
+        "row", "mark", F.concat("lang", F.when(F.size("folds") == 1, F.get("folds", F.lit(0))).otherwise(other)).alias("lang"),
+        "text")
+    worst_nll, worst_chars = _worst()
+    scored = materialise(log_likelihoods(rows, entries, shard_entries).select(
+        "row", "mark", F.expr("left(lang, length(lang) - 1)").alias("lang"), "nll", "chars",
+        worst_nll.alias("worst_nll"), worst_chars.alias("worst_chars")))
 
     good = scored.join(known, "row", "left_semi").filter(F.col("nll").isNotNull())
     means = good.groupBy("lang").agg((F.sum("nll") / F.sum("chars")).alias("mean"))
 
     def shrunk(frame: DataFrame) -> DataFrame:
-        level = (F.col("nll") + prior_chars * F.col("mean")) / (F.col("chars") + prior_chars)
-        return frame.join(F.broadcast(means), "lang", "left").withColumn("level", level)
-
-    bins = shrunk(good).groupBy("lang", F.floor(F.col("level") / BIN).alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"))
-    limits = bins.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"),
-                                      F.sum("n").alias("all"))
-    seen = F.aggregate("bins", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("bin")),
-                       lambda a, b: F.struct(
-                           (a["n"] + b["n"]).alias("n"),
-                           F.coalesce(a["bin"], F.when(a["n"] + b["n"] >= F.col("all") * quantile, b["bin"])).alias("bin")))
-    limits = limits.select("lang", (F.exp((seen["bin"] + 1) * BIN) * slack).alias("threshold"))
-    out = shrunk(scored).join(F.broadcast(limits), "lang", "left")
-    perplexity = F.exp("level")
+        def level(nll: str, chars: str) -> Column:
+            return (F.col(nll) + prior_chars * F.col("mean")) / (F.col(chars) + prior_chars)
+
+        return frame.join(F.broadcast(means), "lang", "left").withColumn("level", level("nll", "chars")).withColumn(
+            "worst_level", level("worst_nll", "worst_chars"))
+
+    def limits(level: str, name: str) -> DataFrame:
+        bins = shrunk(good).groupBy("lang", F.floor(F.col(level) / BIN).alias("bin")).agg(
+            F.count(F.lit(1)).alias("n"))
+        all_bins = bins.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins"),
+                                            F.sum("n").alias("all"))
+        seen = F.aggregate(
+            "bins", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("bigint").alias("bin")),
+            lambda a, b: F.struct(
+                (a["n"] + b["n"]).alias("n"),
+                F.coalesce(a["bin"], F.when(a["n"] + b["n"] >= F.col("all") * quantile, b["bin"])).alias("bin")))
+        return all_bins.select("lang", (F.exp((seen["bin"] + 1) * BIN) * slack).alias(name))
+
+    out = shrunk(scored).join(F.broadcast(limits("level", "threshold")), "lang", "left")
+    out = out.join(F.broadcast(limits("worst_level", "worst_threshold")), "lang", "left")
+    perplexity, worst = F.exp("level"), F.exp("worst_level")
     return out.select(
         F.col("row").alias(id_col), "mark", F.nullif("lang", F.lit(NO_LANGUAGE)).alias(lang_col), "chars",
-        perplexity.alias("perplexity"), "threshold",
-        F.coalesce(perplexity > F.col("threshold"), F.lit(False)).alias("rejected"))
+        perplexity.alias("perplexity"), "threshold", worst.alias("worst"), "worst_threshold",
+        F.coalesce((perplexity > F.col("threshold")) | (worst > F.col("worst_threshold")), F.lit(False)).alias("rejected"))
 
 
 def without_rejected(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text",
