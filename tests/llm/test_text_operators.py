@@ -148,6 +148,23 @@ def test_markov_finds_held_out_strings_and_leaves_names(spark):
     assert secret_spans(docs, ratio).count() == 5
 
 
+def test_short_secrets_and_secrets_in_paths_are_found(spark):
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    parts = "static media session handler get set user name count total value index".split()
+    made = ["".join(rng.choice(letters) for _ in range(n)) for n in [30] * 300 + [15, 20, 20, 20]]
+    names = ["/".join(rng.choice(parts) for _ in range(6)) for _ in range(300)]
+    ratio = train(spark.createDataFrame([(s, 1) for s in made[:300]] + [(s, 0) for s in names], "string string, label int"))
+    short, token, second, beside = made[300:]
+    path = "/static/media/session/handler/" * 3
+    text = f"é {short} and {path}{token}/user/name{path}{second}/index then token=abcdef12é{path}{beside} end {path}"
+    (found,) = secret_spans(docs_of(spark, [(1, text)]), ratio).collect()
+    assert [text[s.start : s.end] for s in found.spans if s.kind == "markov"] == [short, token, second, beside]
+    hexed = "deadbeef" * 4
+    (found,) = secret_spans(docs_of(spark, [(1, f"{hexed}_{token}")]), ratio).collect()
+    assert [(s.kind, s.start) for s in found.spans] == [("hex", 0), ("markov", len(hexed) + 1)]
+
+
 def test_secrets_label_themselves_and_empty_tables(spark):
     docs = docs_of(spark, [(1, "a token = q8Zt71LmPw0 word")])
     by = {r.label: r.n for r in labelled_samples(docs).groupBy("label").agg(F.sum("n").alias("n")).collect()}

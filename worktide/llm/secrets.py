@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and Markov models that tell random strings from names.
 
 Two first-order character models are counted from labelled samples, random strings
-and ordinary identifiers. A long run of identifier characters is reported when the
-log-likelihood ratio of the two models exceeds a threshold; spans that a fixed
-pattern found stay as they are, and the models add others.
+and ordinary identifiers. A stretch of identifier characters, anywhere in a run of them
+and of any length, is reported when the log-likelihood ratio of the two models exceeds a
+threshold; it is widened to the whole letters and digits around it. Spans that a fixed
+pattern found stay as they are, and the models add others in what lies beside them.
 
 Scale: one pass counts, one pass scores. Training counts are summed per task into
 2 x 96 x 96 cells before they are shuffled; the summed cells are all that reaches
@@ -36,7 +37,7 @@ KINDS = ("assign", "access", "hex", "markov")
 
 CELLS = 96  # printable ASCII, and one cell for the start of a string
 BACKOFF = 10.0  # weight of the fallback, in transitions
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+IDENTIFIER = np.array([chr(c) in "+/_=-" or chr(c).isalnum() for c in range(128)] + [False])
 
 Span = tuple[int, int, str]
 
@@ -67,10 +68,10 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(cell, label, n): transitions of strings that the text itself labels.
 
     Values that a fixed pattern gives away are random strings (label 1); other runs of
-    identifier characters, of four or more, are ordinary (label 0).
+    identifier characters, of two or more, are ordinary (label 0).
     """
     rows = named(docs, text=text_col)
-    other = re.compile(r"[A-Za-z0-9+/_=-]{4,}")
+    other = re.compile(r"[A-Za-z0-9+/_=-]{2,}")
 
     def count(batches):
         cells = np.zeros((2, CELLS * CELLS), dtype=np.int64)
@@ -135,6 +136,43 @@ def score(string: str, ratio: np.ndarray) -> float:
     return float(ratio[transitions(string)].sum())
 
 
+def stretches(text: str, taken: list[tuple[int, int]], ratio: np.ndarray, min_score: float) -> list[tuple[int, int]]:
+    """Spans outside `taken` whose best-scoring stretch reaches `min_score`, in order."""
+    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    at = np.where(IDENTIFIER[np.minimum(raw, len(IDENTIFIER) - 1)], np.clip(raw.astype(np.int64) - 31, 1, CELLS - 1), 0)
+    for start, end in taken:
+        at[start:end] = 0
+    # The character after a break starts a string of its own.
+    step = ratio[np.concatenate(([0], at[:-1])) * CELLS + at]
+    inside = np.concatenate(([False], at > 0, [False]))
+    edges = np.nonzero(inside[1:] != inside[:-1])[0]
+    begins, ends = edges[::2], edges[1::2]
+    # No stretch scores more than the gains of its run. Single characters are not counted by
+    # `labelled_samples`, so they have no score.
+    gains = np.concatenate(([0.0], np.cumsum(np.maximum(step, 0.0) * (at > 0))))
+    near = (gains[ends] - gains[begins] >= min_score - 1e-6) & (ends - begins > 1)
+    out: list[tuple[int, int]] = []
+    todo = list(zip(begins[near].tolist(), ends[near].tolist(), strict=True))
+    while todo:
+        low, high = todo.pop()
+        if low >= high:
+            continue
+        # Maximum-sum segment.
+        sums = np.concatenate(([0.0], np.cumsum(step[low:high])))
+        least = np.minimum.accumulate(sums[:-1])
+        end = int(np.argmax(sums[1:] - least))
+        if sums[end + 1] - least[end] < min_score:
+            continue
+        first, last = low + int(np.argmin(sums[: end + 1])), low + end + 1
+        while first > low and text[first - 1].isalnum():
+            first -= 1
+        while last < high and text[last].isalnum():
+            last += 1
+        out.append((first, last))
+        todo += [(low, first), (last, high)]
+    return sorted(out)
+
+
 def secret_spans(
     docs: DataFrame,
     ratio: np.ndarray,
@@ -159,12 +197,8 @@ def secret_spans(
             for text in batch["text"]:
                 spans = base_spans(text) if text else []
                 taken = [s[:2] for s in spans]
-                for m in CANDIDATE.finditer(text or ""):
-                    start, end = m.span()
-                    if any(a < end and start < b for a, b in taken):
-                        continue
-                    if score(m[0], table) >= min_score:
-                        spans.append((start, end, "markov"))
+                if text:
+                    spans += [(a, b, "markov") for a, b in stretches(text, taken, table, min_score)]
                 spans.sort(key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
                 out.append([{"start": a, "end": b, "kind": k} for a, b, k in spans])
             yield {"row": batch["row"], "spans": out}
