@@ -2,6 +2,20 @@
 
 ORACLE: dict[str, str] = {}
 
+#: Checksums of ASCII strings, which DuckDB has no function for: crc32 by its byte table.
+CRC_TABLE = """
+  SELECT list(list_reduce(list_prepend(b, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS tab
+  FROM (SELECT unnest(range(256)) AS b)"""
+
+
+def crc(text: str) -> str:
+    """SQL for the checksum of `text`; `tab` is the column of CRC_TABLE."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(1, length({text}) + 1), lambda k: ord(({text})[k])::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])))"""
+
+
 ORACLE["op1_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(l, 1) AS pos, unnest(l) AS line
@@ -99,3 +113,66 @@ FROM pairs p LEFT JOIN joined a ON a.pair = p.pair AND a.before AND a.side
 LEFT JOIN joined g ON g.pair = p.pair AND NOT g.before AND g.side
 LEFT JOIN joined b ON b.pair = p.pair AND NOT b.before AND NOT b.side
 """
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+_HEAD = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE["op12_merkle_manifest"] = rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+leaves AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, sha256({_HEAD} || {_field("text")}) AS leaf,
+    CASE WHEN {crc("doc_id::VARCHAR")} % 3 = 0 THEN sha256({_HEAD} || {_field(_LOWER)}) END AS changed
+  FROM documents, crc),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+nodes AS (
+  SELECT tree, 0 AS lvl, i, n, leaf AS h FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i))
+  FROM nodes WHERE n > 1 GROUP BY tree, lvl, i // 8, n),
+subroots AS (
+  SELECT tree, h AS subroot, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n
+  FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS lvl, i, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i))
+  FROM tops WHERE n > 1 GROUP BY lvl, i // 8, n),
+heights AS (SELECT tree, max(lvl) AS height FROM nodes GROUP BY tree),
+ways AS (
+  SELECT p.tree, p.doc_id, p.i AS leaf_i, s.lvl,
+    coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < p.i // (8 ** s.lvl)::BIGINT), '') AS l,
+    coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > p.i // (8 ** s.lvl)::BIGINT), '') AS r
+  FROM (SELECT tree, doc_id, i::BIGINT AS i FROM placed) p JOIN nodes s
+    ON s.tree = p.tree AND s.n > 1 AND s.i // 8 = (p.i // (8 ** (s.lvl + 1))::BIGINT)
+  GROUP BY ALL),
+up AS (
+  SELECT p.tree, s.lvl,
+    coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i < p.i // (8 ** s.lvl)::BIGINT), '') AS l,
+    coalesce(string_agg(s.h, '' ORDER BY s.i) FILTER (s.i > p.i // (8 ** s.lvl)::BIGINT), '') AS r
+  FROM subroots p JOIN tops s ON s.n > 1 AND s.i // 8 = (p.i // (8 ** (s.lvl + 1))::BIGINT)
+  GROUP BY ALL),
+steps AS (
+  SELECT tree, leaf_i, lvl AS k, l, r FROM ways
+  UNION ALL
+  SELECT p.tree, p.i, h.height + u.lvl, u.l, u.r FROM placed p JOIN up u USING (tree) JOIN heights h USING (tree)),
+proofs AS (
+  SELECT tree, leaf_i, string_agg(l || r, '' ORDER BY k) AS proof, list(l ORDER BY k) AS ls, list(r ORDER BY k) AS rs
+  FROM steps GROUP BY tree, leaf_i),
+fold AS (
+  SELECT p.tree, p.i, 0 AS k, coalesce(p.changed, p.leaf) AS h, coalesce(q.ls, []) AS ls, coalesce(q.rs, []) AS rs
+  FROM placed p LEFT JOIN proofs q ON q.tree = p.tree AND q.leaf_i = p.i
+  UNION ALL
+  SELECT tree, i, k + 1, sha256(ls[k + 1] || h || rs[k + 1]), ls, rs FROM fold WHERE k < len(ls))
+SELECT p.doc_id, p.leaf, s.subroot, t.h AS root, sha256(coalesce(q.proof, '')) AS proof_sha256,
+  f.h AS folded_root, f.h = t.h AS verified
+FROM placed p JOIN subroots s USING (tree) JOIN tops t ON t.n = 1
+LEFT JOIN proofs q ON q.tree = p.tree AND q.leaf_i = p.i
+JOIN fold f ON f.tree = p.tree AND f.i = p.i AND f.k = len(f.ls)
+"""

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from worktide.llm import merkle
 from worktide.llm.chat import preference_pairs
 from worktide.llm.decontaminate import find_passages
+from worktide.llm.frames import ascii_lower
 from worktide.llm.html import extract
 from worktide.llm.jaccard import jaccard_components
 from worktide.llm.kneser_ney import classify
@@ -138,6 +140,25 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_paragraphs", F.array_join("families", ",").alias("families"))
 
 
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves whose id's checksum 3 divides are checked with a lower-cased text."""
+    docs = table(spark, sf_dir, "documents")
+    plain = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    rows = docs.select(
+        merkle.tree_name(F.col("lang")).alias("tree"), F.col("doc_id").alias("id"),
+        merkle.leaf_hash(*plain, F.col("text")).alias("hash"),
+        F.when(changed, merkle.leaf_hash(*plain, ascii_lower(F.col("text")))).alias("changed"))
+    found = merkle.manifest(rows).with_proofs()
+    sides = F.zip_with("before", "after", lambda b, a: F.concat(b, a))
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("changed", "hash"), "before", "after"))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("hash").alias("leaf"), "subroot", "root",
+        F.sha2(F.array_join(sides, ""), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
