@@ -12,7 +12,7 @@ CRC_TABLE = """
 def crc(text: str) -> str:
     """SQL for the checksum of `text`; `tab` is the column of CRC_TABLE."""
     return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
-    list_transform(range(1, length({text}) + 1), lambda k: ord(({text})[k])::BIGINT)),
+    list_transform(range(1, length({text}) + 1), lambda q: ord(({text})[q])::BIGINT)),
     lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])))"""
 
 
@@ -176,3 +176,75 @@ FROM placed p JOIN subroots s USING (tree) JOIN tops t ON t.n = 1
 LEFT JOIN proofs q ON q.tree = p.tree AND q.leaf_i = p.i
 JOIN fold f ON f.tree = p.tree AND f.i = p.i AND f.k = len(f.ls)
 """
+
+
+ORACLE["op13_conversation_repair"] = rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+t AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+kinds AS (SELECT t.*, {crc("k")} % 20 AS kind FROM t, crc),
+dam AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM kinds WHERE kind <> 0),
+num AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k,
+    rtrim(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)) AS body, left(role, 1) AS ini FROM dam),
+jud AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+      WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(ini) OVER (PARTITION BY conv_id ORDER BY k) || ini AS pair FROM num),
+stats AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM jud GROUP BY conv_id),
+moves AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) m(st, ini, nxt)),
+fit AS (SELECT * FROM (VALUES (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)) f(st, role, nxt)),
+dp AS (
+  SELECT conv_id, 0::BIGINT AS k, 0 AS st, '000000' AS best, []::VARCHAR[] AS lines FROM stats
+  UNION ALL
+  SELECT conv_id, k + 1, nxt, min(best) AS best, arg_min(lines, best) AS lines
+  FROM (
+    SELECT e.conv_id, e.k, y.nxt, printf('%06d', left(e.best, 6)::INT + y.cost) || e.best[7:] || y.letter AS best,
+      CASE WHEN y.line IS NULL THEN e.lines ELSE list_append(e.lines, y.line) END AS lines
+    FROM (
+      SELECT conv_id, k, st, best, lines FROM dp
+      UNION ALL
+      SELECT conv_id, k, f.nxt, printf('%06d', left(best, 6)::INT + 2) || best[7:] || 'I', list_append(lines, f.role || ':')
+      FROM dp JOIN fit f USING (st)) e
+    JOIN (
+      SELECT j.conv_id, j.k, s.st, s.st AS nxt, 3 AS cost, 'D' AS letter, NULL AS line
+      FROM jud j, (SELECT unnest(range(4)) AS st) s
+      UNION ALL
+      SELECT j.conv_id, j.k, m.st, m.nxt, (fault = 'truncated')::INT, 'K', j.role || ':' || j.text
+      FROM jud j JOIN moves m ON m.ini = j.ini WHERE fault NOT IN ('blank', 'duplicate')
+      UNION ALL
+      SELECT j.conv_id, j.k, s.st, s.st, (fault = 'truncated')::INT, 'K', j.role || ':' || j.text
+      FROM jud j, (SELECT unnest(range(4)) AS st) s WHERE j.ini = '' AND fault NOT IN ('blank', 'duplicate')
+      UNION ALL
+      SELECT j.conv_id, j.k, f.st, f.nxt, 2 + (fault = 'truncated')::INT, 'R', f.role || ':' || j.text
+      FROM jud j, fit f WHERE fault NOT IN ('blank', 'duplicate')) y
+    ON y.conv_id IS NOT DISTINCT FROM e.conv_id AND y.k = e.k + 1 AND y.st = e.st) z
+  GROUP BY conv_id, k, nxt),
+done AS (
+  SELECT d.conv_id, d.st, d.best, d.lines FROM dp d JOIN stats s ON s.conv_id IS NOT DISTINCT FROM d.conv_id AND d.k = s.n),
+ends AS (
+  SELECT conv_id, min(best) AS best, arg_min(lines, best) AS lines
+  FROM (
+    SELECT conv_id, best, lines FROM done WHERE st IN (0, 3)
+    UNION ALL
+    SELECT conv_id, printf('%06d', left(best, 6)::INT + 2) || best[7:] || 'I', list_append(lines, 'assistant:')
+    FROM done WHERE st = 2) GROUP BY conv_id)
+SELECT c.conv_id, coalesce(s.gaps, 0) AS gaps, coalesce(s.blank, 0) AS blank, coalesce(s.duplicate, 0) AS duplicate,
+  coalesce(s.truncated, 0) AS truncated, coalesce(s.illegal, 0) AS illegal,
+  coalesce(left(e.best, 6)::BIGINT, 0) AS cost, coalesce(e.best[7:], '') AS audit,
+  sha256(coalesce(array_to_string(e.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

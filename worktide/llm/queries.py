@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktide.llm import merkle
+from worktide.llm import merkle, repair
 from worktide.llm.chat import preference_pairs
 from worktide.llm.decontaminate import find_passages
 from worktide.llm.frames import ascii_lower
@@ -159,6 +159,18 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = repair.repaired(repair.damaged(turns))
+    every = turns.select("conv_id").distinct().withColumn("conv", repair.conversation(F.col("conv_id")))
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c)
+               for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, "conv", "left").select(
+        "conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
