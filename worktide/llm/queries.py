@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktide.llm import merkle, repair
+from worktide.llm import merkle, repair, toxicity
 from worktide.llm.chat import preference_pairs
 from worktide.llm.decontaminate import find_passages
 from worktide.llm.frames import ascii_lower
@@ -140,6 +140,15 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_paragraphs", F.array_join("families", ",").alias("families"))
 
 
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, toxicity.known_labels(table(spark, sf_dir, "labels")))
+    held = F.coalesce(toxicity.remainder(F.col("row")) == 1, F.lit(False))
+    return toxicity.scored(docs, model).select(
+        F.col("row").alias("doc_id"), held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves whose id's checksum 3 divides are checked with a lower-cased text."""
