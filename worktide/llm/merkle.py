@@ -169,11 +169,12 @@ def forest(leaves: DataFrame) -> Forest:
 
 
 def _paths(tier: DataFrame, base: int, above: DataFrame) -> DataFrame:
-    """(tree, the items' columns, before, after): siblings of every item up to the root.
+    """(tree, the items' columns, before, after, roots): siblings of every item up to the root.
 
-    `above` has the paths (tree, at, before, after) of the builders' tops.
+    `above` has the paths (tree, at, before, after, roots) of the builders' tops.
     """
-    upper = above.select("tree", F.col("at").alias("block"), F.col("before").alias("b"), F.col("after").alias("a"))
+    upper = above.select("tree", F.col("at").alias("block"), F.col("before").alias("b"), F.col("after").alias("a"),
+                         F.col("roots").alias("r"))
     both = tier.join(upper, ["tree", "block"])
     item = tier.schema["items"].dataType.elementType
 
@@ -186,25 +187,29 @@ def _paths(tier: DataFrame, base: int, above: DataFrame) -> DataFrame:
                 steps = [list(siblings(known, x["at"], base, leaves)) for x in items]
                 out["before"] = [[s[0] for s in step] + rows["b"][k] for step in steps]
                 out["after"] = [[s[1] for s in step] + rows["a"][k] for step in steps]
+                out["roots"] = [rows["r"][k]] * len(items)
                 yield out
 
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in item.fields)
-    return map_rows(both.select("tree", "block", "leaves", "items", "nodes", "b", "a"), work,
-                    f"tree string, {columns}, before array<string>, after array<string>")
+    return map_rows(both.select("tree", "block", "leaves", "items", "nodes", "b", "a", "r"), work,
+                    f"tree string, {columns}, before array<string>, after array<string>, roots array<string>")
 
 
 def proofs(trees: Forest, above: DataFrame | None = None) -> DataFrame:
-    """(tree, the leaves' columns, before, after): the hashes left and right of a leaf, by level.
+    """(tree, the leaves' columns, before, after, roots): the hashes left and right of a leaf, by level.
 
-    `above`: paths (tree, before, after) of the trees' roots in a tree over them.
+    `above`: paths (tree, before, after, roots) of the trees' roots in a tree over them. `roots`
+    has the root of each tree on the way.
     """
     none = F.array().cast("array<string>")
     down = None
     for k in reversed(range(len(trees.tiers))):
         tier = trees.tiers[k]
-        ends = tier.filter("NOT more").select("tree", F.lit(0).cast("long").alias("at"))
-        ends = ends.join(above, "tree") if above is not None else ends.withColumns({"before": none, "after": none})
-        tops = ends if down is None else down.select("tree", "at", "before", "after").unionByName(ends)
+        ends = tier.filter("NOT more").select("tree", F.lit(0).cast("long").alias("at"), "top")
+        ends = ends.join(above, "tree") if above is not None else ends.withColumns(
+            {"before": none, "after": none, "roots": none})
+        ends = ends.withColumn("roots", F.concat(F.array("top"), "roots")).drop("top")
+        tops = ends if down is None else down.select("tree", "at", "before", "after", "roots").unionByName(ends)
         down = _paths(tier, k * LEVELS, tops)
         if k:
             down = materialise(down)
@@ -219,18 +224,16 @@ def folded(leaf: Column, before: str, after: str) -> Column:
 
 @dataclass
 class Manifest:
-    """A tree for every group, and one over their roots (`subroots`: tree, name, subroot)."""
+    """A tree for every group, and one over their roots, whose leaves have the group's `name`."""
 
     groups: Forest
     top: Forest
-    subroots: DataFrame
 
     def with_proofs(self) -> DataFrame:
         """(tree, leaves' columns, before, after, subroot, root), a row for each leaf."""
-        ways = proofs(self.top).select(F.col("name").alias("tree"), "before", "after")
-        root = self.top.roots.select("tree", F.col("hash").alias("root"))
-        ends = self.subroots.join(root, "tree").select(F.col("name").alias("tree"), "subroot", "root")
-        return proofs(self.groups, materialise(ways)).join(ends, "tree")
+        ways = proofs(self.top).select(F.col("name").alias("tree"), "before", "after", "roots")
+        roots = F.col("roots")
+        return proofs(self.groups, materialise(ways)).withColumns({"subroot": roots[0], "root": roots[1]}).drop("roots")
 
 
 def manifest(rows: DataFrame) -> Manifest:
@@ -239,9 +242,7 @@ def manifest(rows: DataFrame) -> Manifest:
     numbered = ranked(placed, "tree").withColumnRenamed("total", "leaves")
     groups = forest(numbered.drop("part", "seq"))
     roots = in_order(groups.roots.withColumns({"name": F.col("tree"), "tree": F.lit("")}), "tree", "name")
-    ends = ranked(roots, "tree").withColumnRenamed("total", "leaves").drop("part", "seq")
-    subroots = ends.select("tree", "name", F.col("hash").alias("subroot"))
-    return Manifest(groups, forest(ends), subroots)
+    return Manifest(groups, forest(ranked(roots, "tree").withColumnRenamed("total", "leaves").drop("part", "seq")))
 
 
 def tree_name(group: Column) -> Column:
