@@ -250,7 +250,7 @@ def test_labels_of_held_out_rows_change_nothing(spark):
 
 
 def test_no_labels_and_empty_tables(spark):
-    frame = spark.createDataFrame([(1, "you idiot and moron"), (2, "a quiet day")] * 20, "doc_id bigint, text string")
+    frame = spark.createDataFrame([(k, ("a quiet day", "you idiot and moron")[k % 2]) for k in range(40)], "doc_id bigint, text string")
     none = toxicity.known_labels(spark.createDataFrame([], "doc_id bigint, toxic int"))
     got = {r.row: r.score for r in toxicity.scored(frame, toxicity.train(frame, none, bits=10)).collect()}
     assert got[1] > got[2]

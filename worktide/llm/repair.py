@@ -8,8 +8,8 @@ result; of equally cheap ones the letters that sort first are the answer.
 
 The search is iterative-deepening A*: depth first, letters in ASCII order, under a bound that
 starts at the estimate for the whole and grows by one. The estimate counts what every way must
-pay: forced deletions, truncated rows, and one for each pair of neighbours that may not meet,
-as an edit of cost 2 mends two of them at most. A table keeps, for a place and a state, the
+pay: forced deletions, truncated rows, and 2 for each edit that is needed where neighbours may
+not meet, one for two such pairs in a row, as an edit touches one place. A table keeps, for a place and a state, the
 largest rest of a bound that has failed there, and holds for later bounds too. The first
 accepting path is the cheapest, and of these the first.
 
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from worktide.llm.frames import map_rows, materialise, named
 from worktide.llm.order import in_order, ranked
 
-BLOCK = 64
+BLOCK = 32
 BLANKS = " \t\n\x0b\f\r"
 
 #: Initials as codes, in the order of this string; then any other one, and none.
@@ -69,17 +69,26 @@ def repair(codes: list[int], state: int, rest: dict[int, int], last: bool) -> tu
     roles = [c % FAULT for c in codes]
     fault = [c // FAULT for c in codes]
     must, cut = [f in MUST_GO for f in fault], [f == TRUNCATED for f in fault]
-    # From each row on: what is paid at least, and the first role that is not deleted for sure.
-    least, ahead = [0] * (n + 1), [NONE] * (n + 1)
+    # From each row on: what is paid for rows alone, the next row that is not deleted for sure
+    # and has a role, and edits for pairs of such rows.
+    alone, ahead, clashes = [0] * (n + 1), [n] * (n + 2), [0] * (n + 2)
+    all_go = set(rest) == {state} and state < 2  # these states are left for good
     for i in reversed(range(n)):
-        stays = not must[i] and roles[i] != NONE
-        clash = stays and ahead[i + 1] != NONE and (roles[i], ahead[i + 1]) not in LEGAL
-        least[i] = least[i + 1] + (3 if must[i] else cut[i]) + clash
-        ahead[i] = roles[i] if stays else ahead[i + 1]
+        alone[i] = alone[i + 1] + (3 if must[i] or all_go else cut[i])
+        stays = not (must[i] or all_go or roles[i] == NONE)
+        ahead[i] = i if stays else ahead[i + 1]
+        clashes[i] = clashes[i + 1]
+        follower = ahead[i + 1]
+        if stays and follower < n and (roles[i], roles[follower]) not in LEGAL:
+            # The edit of the follower also mends the pair behind it.
+            clashes[i] = 2 + clashes[ahead[follower + 1]]
     cheapest = min(rest.values())
 
     def estimate(i: int, state: int) -> int:
-        return least[i] + cheapest + (ahead[i] != NONE and (state, ahead[i]) not in NEXT)
+        first = ahead[i]
+        if first < n and (state, roles[first]) not in NEXT:
+            return alone[i] + cheapest + 2 + clashes[ahead[first + 1]]
+        return alone[i] + cheapest + clashes[i]
 
     failed: dict[tuple[int, int], int] = {}
     path: list[str] = []
@@ -185,6 +194,18 @@ def faults(placed: DataFrame) -> DataFrame:
     return rows.select("conv", "part", "seq", "turn", (initial + FAULT * fault).alias("code"))
 
 
+def _reaches(codes: list[int], state: int, end: int) -> bool:
+    """Whether a block can lead from a state to another: a system turn is only ever kept, and first."""
+    if end == 1 and state == 0:
+        return any(c % FAULT == 0 and c // FAULT not in MUST_GO for c in codes)
+    return end >= 2 or end == state
+
+
+def _spread(blocks: DataFrame) -> DataFrame:
+    """Small rows that take long are dealt to as many tasks as a shuffle has."""
+    return blocks.repartition(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv", "block")
+
+
 def _searched(blocks: DataFrame) -> DataFrame:
     """Blocks (conv, block, blocks, seqs, codes, led) with `ways`: for each possible first state, letters and last state."""
     many = blocks.filter("blocks > 1")
@@ -195,7 +216,8 @@ def _searched(blocks: DataFrame) -> DataFrame:
             for codes, block, blocks in zip(rows["codes"], rows["block"], rows["blocks"]):
                 last = block == blocks - 1
                 ends = [ENDS] if last else [{s: 0} for s in STATES]
-                found = [[repair(codes, s, end, last) for end in ends] for s in STATES]
+                found = [[repair(codes, s, end, last) if last or _reaches(codes, s, t) else None
+                          for t, end in enumerate(ends)] for s in STATES]
                 out["costs"].append([[-1 if x is None else x[0] for x in row] for row in found])
             yield out
 
@@ -212,7 +234,7 @@ def _searched(blocks: DataFrame) -> DataFrame:
                 yield out
 
     key = "conv string, block bigint"
-    steps = map_rows(many.select("conv", "block", "blocks", "codes"), costs, f"{key}, costs array<array<bigint>>")
+    steps = map_rows(_spread(many.select("conv", "block", "blocks", "codes")), costs, f"{key}, costs array<array<bigint>>")
     steps = steps.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("block", "costs"))).alias("steps"))
     rest = map_rows(steps, rests, f"{key}, rest array<bigint>")
 
@@ -227,7 +249,7 @@ def _searched(blocks: DataFrame) -> DataFrame:
 
     both = blocks.select("conv", "block", "blocks", "codes").join(rest, ["conv", "block"], "left")
     return materialise(map_rows(
-        both, ways, f"{key}, blocks bigint, ways array<struct<cost:bigint,letters:string,state:int>>"))
+        _spread(both), ways, f"{key}, blocks bigint, ways array<struct<cost:bigint,letters:string,state:int>>"))
 
 
 def _entered(searched: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ Words seen before are kept with their weights, up to a number, whatever the text
 Defined cases: labels of documents whose id's checksum mod 3 is 1 are never read; those are
 held out. A null id is not held out, and has no label. A document that is labelled both ways
 is toxic. Null texts are empty; an empty text gets the score of a text without known words.
-Equal texts get equal scores. Without labels the fixed voters decide. Empty tables give no
+Equal texts get equal scores. Without labels each vote of the fixed voters counts alike. Empty tables give no
 rows. Texts are read whole. Only the named columns are read.
 """
 
@@ -158,12 +158,12 @@ def fit_labels(votes: np.ndarray, labels: np.ndarray, counts: np.ndarray, rounds
     weight = np.where(labels >= 0, counts, counts * unlabelled).astype(float)
     every = (np.arange(1 << n)[:, None] >> np.arange(n) & 1).astype(float)
     held = labels >= 0
-    # Where nothing is labelled, the number of votes is the first guess.
-    guess = np.where(held, labels, np.clip(bits.mean(axis=1) * 2, 0.01, 0.99))
-    if held.any():
-        weight_now = np.where(held, weight, 0)
-    else:
-        weight_now = weight
+    guess = np.where(held, labels, prior)
+    if not held.any():
+        # The tree knows nothing of good and bad by itself: votes stand for themselves.
+        logs = np.log(prior / (1 - prior)) + every @ np.full(n, 2.0)
+        return LabelModel(1 / (1 + np.exp(-logs)), np.tile(bits.mean(axis=0), (2, 1)))
+    weight_now = np.where(held, weight, 0)
     for _ in range(rounds):
         joint, sums = [], []
         for w in (weight_now * (1 - guess), weight_now * guess):
