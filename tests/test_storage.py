@@ -23,7 +23,8 @@ from worktide.sources.evidence import (
     read_usage_journal,
     upgrade_ledger_version,
 )
-from worktide.sources.rollouts import batch_lines, parse_lines, stream_rollouts
+from worktide.sources.growing import Position, advance, lines_of, newest_epoch, pieces_between, store_of
+from worktide.sources.rollouts import parse_lines, read_lines, stream_rollouts
 from worktide.sources.sinks import append_quota, append_usage, consolidate, export, new_usage, write_daily_records
 from worktide.streaming.usage import dedupe_stream
 
@@ -133,21 +134,94 @@ def test_catalog_and_rates(spark, tmp_path):
     assert (fx["rate"], fx["age_days"], fx["status"]) == (Decimal("1.35"), 1, "stale")
 
 
-def test_streamed_sources_and_repeats(spark, tmp_path):
-    folder = tmp_path / "sessions"
-    folder.mkdir()
+def stream_into(spark, tmp_path, **options):
+    """One run of the log stream, on from where the last one ended; all lines it ever gave."""
+    stream = stream_rollouts(spark, str(tmp_path / "home"), str(tmp_path / "positions"), **options)
+    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).start(
+        str(tmp_path / "lines"))
+    query.processAllAvailable()
+    query.stop()
+    return spark.read.parquet(str(tmp_path / "lines"))
+
+
+def values(lines):
+    return [(r.epoch, r.value) for r in lines.orderBy("file_path", "block", "ord").collect()]
+
+
+def test_a_log_that_grows_is_read_on(spark, tmp_path):
+    log = tmp_path / "home" / "sessions" / "2026" / "a.jsonl"
+    log.parent.mkdir(parents=True)
+    old = tmp_path / "home" / "archived_sessions" / "b.jsonl"
+    old.parent.mkdir()
+    old.write_text("only\n")
+    (tmp_path / "home" / "session_index.jsonl").write_text('{"id": "main"}\n')
+    log.write_text("one\ntw")
+    first = stream_into(spark, tmp_path)
+    assert values(first) == [(0, "only"), (0, "one")]
+    assert first.where("archived").count() == 1
+    with log.open("a") as out:
+        out.write("o\nthree")
+    assert values(stream_into(spark, tmp_path)) == [(0, "only"), (0, "one"), (0, "two")]
+    assert values(stream_into(spark, tmp_path)) == [(0, "only"), (0, "one"), (0, "two")]
+    with log.open("a") as out:
+        out.write("\r\n" + "x" * 50 + "\nfive\n")
+    grown = stream_into(spark, tmp_path, max_bytes=7)
+    assert values(grown) == [(0, "only"), *[(0, v) for v in ("one", "two", "three", "x" * 50, "five")]]
+    log.write_text("one\ntwo\n")  # cut short
+    assert values(stream_into(spark, tmp_path))[-2:] == [(1, "one"), (1, "two")]
+    log.write_text("uno\ntwo\n")  # as long as before
+    log_now = stream_into(spark, tmp_path)
+    assert values(log_now)[-2:] == [(2, "uno"), (2, "two")]
+    now = {(r.file_path.rpartition("/")[2], r.value) for r in newest_epoch(log_now).collect()}
+    batch = {(r.file_path.rpartition("/")[2], r.value) for r in read_lines(spark, str(tmp_path / "home")).collect()}
+    assert now == batch
+
+
+def test_growth_over_changed_bytes_is_a_rewrite(tmp_path):
+    log = tmp_path / "a.jsonl"
+    store, path = store_of(str(log))
+
+    def look(was, budget=1 << 30):
+        stat = log.stat()
+        return advance(store, path, stat.st_size, stat.st_mtime_ns, was, budget)
+
+    log.write_text("head " * 100 + "\n" + "old tail\n")
+    first = look(Position())
+    log.write_text("head " * 100 + "\n" + "new tail\n" + "more\n")
+    second = look(first)
+    assert (second.epoch, second.consumed) == (1, log.stat().st_size)
+    log.write_text("other " * 100 + "\n" + "new tail\n" + "more\n" * 200)
+    assert look(second).epoch == 2
+    log.write_text("")
+    assert look(look(second)).consumed == 0
+    assert look(Position(size=0, changed=log.stat().st_mtime_ns)) == Position(size=0, changed=log.stat().st_mtime_ns)
+
+
+def test_pieces_cover_every_line_once(tmp_path):
+    log = tmp_path / "a.jsonl"
+    lines = [b"x" * (k * 7 % 23) for k in range(200)]
+    log.write_bytes(b"\n".join(lines) + b"\n")
+    store, path = store_of(str(log))
+    size = log.stat().st_size
+    for step in (1, 5, 64, 1000):
+        got = [x for at in range(0, size, step) for x in lines_of(store, path, at, min(at + step, size), 0)]
+        assert [line for _, line in got] == lines
+        assert got[0][0] == 0 and got[-1][0] == size - 1 - len(lines[-1])
+    old = {"a": Position(consumed=10), "b": Position(consumed=5)}
+    new = {"a": Position(consumed=30), "b": Position(consumed=3, epoch=1), "c": Position(consumed=0)}
+    assert [p.ranges for p in pieces_between(old, new)] == [[("a", 0, 10, 30, 10), ("b", 1, 0, 3, 0)]]
+
+
+def test_records_of_a_streamed_log(spark, tmp_path):
+    folder = tmp_path / "home" / "sessions"
+    folder.mkdir(parents=True)
     log = Journal().meter(9).meter(12)
     (folder / "a.jsonl").write_text("\n".join(log.rows))  # its last line is still open
-    (tmp_path / "session_index.jsonl").write_text('{"id": "main"}\n')
-    kinds = []
+    rows = parse_lines(stream_into(spark, tmp_path)).orderBy("block", "ord").collect()
+    assert [r["kind"] for r in rows] == ["session_meta", "event_msg"]
 
-    def parse(batch, batch_id):
-        kinds.extend(r["kind"] for r in parse_lines(batch_lines(batch)).orderBy("ord").collect())
 
-    query = stream_rollouts(spark, str(tmp_path)).writeStream.foreachBatch(parse).start()
-    query.processAllAvailable()
-    query.stop()
-    assert kinds == ["session_meta", "event_msg"]
+def test_repeats_in_a_stream(spark, tmp_path):
     ev = Build(spark).quota(0, 10).quota(0, 10).done()
     ev.quota.write.parquet(str(tmp_path / "q"))
     source = spark.readStream.schema(ev.quota.schema).parquet(str(tmp_path / "q"))

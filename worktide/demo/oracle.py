@@ -1181,6 +1181,9 @@ STATEMENTS["write_daily_records"] = (
                        > greatest(start_us, {midnight_us('day')})"""
 )
 
+# The logs end as they are read at once, however they grew.
+STATEMENTS["incremental_ingest"] = STATEMENTS["read_rollouts"]
+
 
 def oracle_sql() -> dict[str, str]:
     return {name: statement(body) for name, body in STATEMENTS.items()}

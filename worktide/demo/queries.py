@@ -486,6 +486,14 @@ def read_rollouts(raw: DataFrame) -> DataFrame:
         F.count("*").alias("records"), F.min("at").alias("first"), F.max("at").alias("last"))
 
 
+@table_query
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As read_rollouts, of logs that grew, were cut and rewritten under a stream."""
+    raw = rollouts.parse_lines(logs.streamed_lines(logs.log_lines(demo.events(spark, sf_dir))))
+    return raw.groupBy("kind", F.coalesce("payload.type", F.lit("")).alias("event")).agg(
+        F.count("*").alias("records"), F.min("at").alias("first"), F.max("at").alias("last"))
+
+
 @log_query
 def quarantine_malformed(raw: DataFrame) -> DataFrame:
     return raw.where("kind = 'gap'").groupBy("file_path", "problem").agg(

@@ -20,18 +20,22 @@ INCREMENTS = "file_path STRING, ord BIGINT, reset BOOLEAN, " + ", ".join(
 def usage_stream(readings: DataFrame) -> DataFrame:
     """Increments per source across micro-batches, as `counter_delta` gives them in batch.
 
-    `readings` has (file_path, ord, and the six counters as columns). The state is the
-    last ordinal read and the last reading that had any counter. A source that grew is read
-    again whole; rows up to the last ordinal are passed over. Files come in batches of bounded
-    size, and each batch is one shifted subtraction per source.
+    `readings` has (file_path, ord, and the six counters as columns), and `block` if it comes
+    from `stream_rollouts`. The state is the last place read and the last reading that had any
+    counter; it outlives a rewrite of the source, which has places of its own. Rows up to the
+    last place are passed over. Batches are bounded in bytes, and each is one shifted
+    subtraction per source.
     """
     counters = list(COUNTERS)
-    state_type = "ord BIGINT, seen BOOLEAN, " + ", ".join(f"{name} BIGINT" for name in counters)
+    state_type = "block BIGINT, ord BIGINT, seen BOOLEAN, " + ", ".join(f"{name} BIGINT" for name in counters)
+    if "block" not in readings.columns:
+        readings = readings.withColumn("block", F.lit(0).cast("long"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        last, seen, *held = state.get if state.exists else (-1, False, *[None] * len(counters))
-        rows = pd.concat(list(batches)).drop_duplicates("ord").sort_values("ord")
-        rows = rows[rows["ord"] > last].reset_index(drop=True)
+        block, last, seen, *held = state.get if state.exists else (-1, -1, False, *[None] * len(counters))
+        rows = pd.concat(list(batches)).drop_duplicates(["block", "ord"]).sort_values(["block", "ord"])
+        new = (rows["block"] > block) | ((rows["block"] == block) & (rows["ord"] > last))
+        rows = rows[new].reset_index(drop=True)
         if rows.empty:
             return
         now = rows[counters].astype("Int64")
@@ -46,7 +50,7 @@ def usage_stream(readings: DataFrame) -> DataFrame:
         falls = (delta < 0).fillna(False).any(axis=1) & ~first
         delta[falls] = pd.NA
         tail = known.iloc[-1]
-        state.update((int(rows["ord"].iloc[-1]), bool(seen or whole.any()),
+        state.update((int(rows["block"].iloc[-1]), int(rows["ord"].iloc[-1]), bool(seen or whole.any()),
                       *[None if pd.isna(v) else int(v) for v in tail]))
         yield delta.assign(file_path=key[0], ord=rows["ord"], reset=falls)[
             ["file_path", "ord", "reset", *counters]]
