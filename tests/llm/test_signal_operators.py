@@ -278,6 +278,18 @@ def test_label_model_counts_copied_voters_once():
 
 
 def test_patterns():
-    assert toxicity.disguised("such an 1d10t") and toxicity.disguised("i d i o t") and toxicity.disguised("s.c.u.m")
-    assert not toxicity.disguised("idiot") and not toxicity.disguised("a 5th day, 100 l")
+    def disguised(text):
+        return toxicity.disguised(*toxicity.words_of(text))
+
+    assert disguised("such an 1d10t") and disguised("an i d i o t") and disguised("s.c.u.m") and disguised("$cum, b@stard")
+    assert not disguised("idiot") and not disguised("a 5th day, 100 l") and not disguised("s c u t")
     assert toxicity.AIMED.search("you are a complete idiot") and not toxicity.AIMED.search("you left. the idiot")
+
+
+def test_slots_go_on_from_beginning_to_word():
+    mask = (1 << 14) - 1
+    for word in ("", "a", "four", "fiver", "sevens!", "éclairéeux", "eightlet", "a much longer word"):
+        slots = toxicity.slots_of(word, mask)
+        assert len(slots) == 1 + sum(len(word) > n for n in toxicity.BEGINNINGS)
+        assert slots[-1] == zlib.crc32(word.encode()) * 2 & mask
+        assert all(s == (zlib.crc32(word[:n].encode()) * 2 + 1) & mask for s, n in zip(slots[:-1], toxicity.BEGINNINGS))

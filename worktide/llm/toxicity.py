@@ -48,8 +48,9 @@ SEEDS = frozenset("""
     estúpido estúpida imbécil basura asqueroso
 """.split())
 #: Signs that stand for letters.
-SIGNS = str.maketrans("013457@$!", "oieastasi")
-DISGUISED = re.compile(r"[a-z]*[0-9@$!][a-z0-9@$!]*[a-z][a-z0-9@$!]*|\b\w(?:[ .*_-]\w\b){3,}")
+SIGNS = str.maketrans("013457@$", "oieastas")
+SIGNED = re.compile(r"[a-z0-9]*[@$][a-z0-9@$]*")
+SPELLED = re.compile(r"(?<!\w)\w(?:[ .*_-]\w(?!\w)){3,}")
 AIMED = re.compile(r"\b(?:you|your|du|dein|tu|vous|eres|usted)\b[^.!?\n]{0,40}?\b(?:" + "|".join(sorted(SEEDS)) + r")\b")
 
 BEGINNINGS = (4, 5, 6, 7)
@@ -57,7 +58,8 @@ VOTERS = (
     "seed", "seeds", "disguised", "aimed", "word even", "word odd", "words", "words 3",
     *[f"{name} {n}" for n in BEGINNINGS for name in ("beginning", "beginnings")],
 )
-#: A vote of these needs so many different words.
+VOTE = {name: 1 << k for k, name in enumerate(VOTERS)}
+#: What a word may be: in the lexicon, learned (by halves), with a learned beginning of so many letters.
 FLAGS = {"seed": 1, "even": 2, "odd": 4} | {n: 8 << k for k, n in enumerate(BEGINNINGS)}
 KNOWN_WORDS = 1_000_000
 
@@ -92,38 +94,51 @@ class Lexicon:
 
     terms: frozenset[str] = frozenset()
 
+    def __post_init__(self):
+        self.words = {t[1:] for t in self.terms if t[0] == "="}
+        self.beginnings = [(n, {t[1:] for t in self.terms if t[0] == str(n)}) for n in BEGINNINGS]
+
     def flags(self, word: str) -> int:
         out = FLAGS["seed"] if word in SEEDS else 0
-        if f"={word}" in self.terms:
+        if word in self.words:
             out |= FLAGS["odd" if crc32(word.encode("utf-8", "surrogatepass")) & 1 else "even"]
-        for n in BEGINNINGS:
-            if len(word) > n and f"{n}{word[:n]}" in self.terms:
+        for n, known in self.beginnings:
+            if word[:n] in known and len(word) > n:
                 out |= FLAGS[n]
         return out
 
     def voting(self) -> Callable[[str, Iterable[str]], int]:
         """A function from a lower-cased text and its words to votes, bit k for voter k."""
-        known = Known(self.flags)
+        known, count = Known(self.flags), self.counting()
+        return lambda low, words: count(low, words, list(filter(None, map(known.__getitem__, words))))
+
+    def counting(self) -> Callable[[str, Iterable[str], list[int]], int]:
+        """The votes from a text, its words, and the flags of those that have any."""
 
-        def vote(low: str, words: Iterable[str]) -> int:
-            found = [f for f in map(known.__getitem__, words) if f]
+        def votes_of(low: str, words: Iterable[str], found: list[int]) -> int:
+            hidden = disguised(low, words)
+            if not found:
+                return VOTE["disguised"] if hidden else 0
             count = {name: sum(1 for f in found if f & bit) for name, bit in FLAGS.items()}
             learned = sum(1 for f in found if f > FLAGS["seed"])
-            votes = [count["seed"] > 0, count["seed"] > 1, disguised(low), bool(found) and bool(AIMED.search(low)),
+            votes = [count["seed"] > 0, count["seed"] > 1, hidden, bool(found) and bool(AIMED.search(low)),
                      count["even"] > 0, count["odd"] > 0, learned > 1, learned > 2]
             for n in BEGINNINGS:
                 votes += [count[n] > 0, count[n] > 1]
             return sum(1 << k for k, yes in enumerate(votes) if yes)
 
-        return vote
+        return votes_of
 
 
-def disguised(low: str) -> bool:
-    for found in DISGUISED.finditer(low):
-        plain = re.sub(r"[ .*_-]", "", found[0]).translate(SIGNS)
-        if plain in SEEDS and plain != found[0]:
-            return True
-    return False
+def disguised(low: str, words: Iterable[str]) -> bool:
+    """Whether a word of the lexicon stands there with signs for letters, or letter by letter."""
+    if any(not w.isalpha() and w.translate(SIGNS) in SEEDS for w in words):
+        return True
+    if ("@" in low or "$" in low) and any(w.translate(SIGNS) in SEEDS for w in SIGNED.findall(low)):
+        return True
+    if sum(1 for w in words if len(w) == 1) < 3:
+        return False
+    return any(re.sub(r"[ .*_-]", "", found) in SEEDS for found in SPELLED.findall(low))
 
 
 @dataclass
@@ -209,22 +224,41 @@ class Classifier:
     bias: float
 
     def scoring(self) -> Callable[[str | None], float]:
-        mask, weights, vote = len(self.weights) - 1, self.weights, self.lexicon.voting()
-        known = Known(lambda word: float(sum(weights[slot(t, mask)] for t in terms_of(word))))
+        flags, votes_of, mask = self.lexicon.flags, self.lexicon.counting(), len(self.weights) - 1
+        weights = {int(k): float(self.weights[k]) for k in np.flatnonzero(self.weights)}
+
+        def worth(word: str) -> tuple[int, float] | None:
+            found = flags(word), sum(weights[k] for k in slots_of(word, mask) if k in weights)
+            return found if any(found) else None
+
+        known = Known(worth)
         by_votes = np.array([(self.votes[[k for k in range(len(VOTERS)) if v >> k & 1]]).sum()
                              for v in range(1 << len(VOTERS))])
 
         def score(text: str | None) -> float:
             low, words = words_of(text)
+            found = list(filter(None, map(known.__getitem__, words)))
+            votes = votes_of(low, words, [f for f, _ in found if f])
             # In a fixed order, so that equal texts get the same score to the last digit.
-            total = self.bias + by_votes[vote(low, words)] + sum(sorted(filter(None, map(known.__getitem__, words))))
+            total = self.bias + by_votes[votes] + sum(sorted(w for _, w in found if w))
             return float(1 / (1 + np.exp(-min(max(total, -500.0), 500.0))))
 
         return score
 
 
-def slot(term: str, mask: int) -> int:
-    return crc32(term.encode("utf-8", "surrogatepass")) & mask
+def slots_of(word: str, mask: int) -> list[int]:
+    """Places of a word and its beginnings among the hashed weights, by one checksum that goes on."""
+    short = word[: BEGINNINGS[0]].encode("utf-8", "surrogatepass")
+    check, out, size = crc32(short), [], len(word)
+    for n in BEGINNINGS:
+        if size <= n:
+            break
+        out.append((check * 2 + 1) & mask)
+        check = crc32(word[n].encode("utf-8", "surrogatepass"), check)
+    else:
+        check = crc32(word[BEGINNINGS[-1] + 1 :].encode("utf-8", "surrogatepass"), check)
+    out.append((check * 2) & mask)
+    return out
 
 
 def remainder(doc_id: Column) -> Column:
@@ -310,7 +344,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for text in batch["text"]:
                 low, words = words_of(text)
                 said = vote(low, words)
-                slots = {slot(t, mask) for w in words for t in terms_of(w)}
+                slots = {k for w in words for k in slots_of(w, mask)}
                 out["slots"].append(sorted(slots) + [size + k for k in range(len(VOTERS)) if said >> k & 1])
                 out["p"].append(float(posterior[said]))
             yield out
