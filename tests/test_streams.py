@@ -8,7 +8,14 @@ from pyspark.sql import functions as F
 from worktide.evidence import COUNTERS, SCHEMAS
 from worktide.operators.status import session_status
 from worktide.operators.usage import counter_delta
-from worktide.streaming.samples import observation_gap, sample_pairs, sample_stream, samples_to_spans
+from worktide.streaming.samples import (
+    gap_events,
+    gap_stream,
+    observation_gap,
+    sample_pairs,
+    sample_stream,
+    samples_to_spans,
+)
 from worktide.streaming.usage import status_stream, usage_stream
 
 RECORDS = ("file_path STRING, block BIGINT, ord BIGINT, at TIMESTAMP, kind STRING, event STRING, "
@@ -63,6 +70,69 @@ def test_outage_is_flagged_and_not_bridged(spark):
     assert "observation_gap" in observation_gap(samples, ev.turns, 3).first()["quality"]
 
 
+def watched(spark, *rows):
+    """Samples (poll, session, state, second), and what interrupted them."""
+    data = [(poll, sid, state, at(second), None, None, 1.0) for poll, sid, state, second in rows]
+    return spark.createDataFrame(data, SCHEMAS["samples"])
+
+
+def flagged(spark, samples, ev, **options):
+    got = observation_gap(samples, ev.turns, **options).collect()
+    return {(r["session_id"], r["id"]) for r in got if "observation_gap" in r["quality"]}
+
+
+def test_unknown_samples_flag_what_is_open_then(spark):
+    """A turn that has ended since is flagged as well, one that begins later is not."""
+    ev = Build(spark).session().turn(0, 130, tid="then").turn(140, None, tid="later").done()
+    samples = watched(spark, (1, "s", "working", 0), (2, "s", "unknown", 60), (3, "s", "working", 120),
+                      (4, "s", "working", 180))
+    assert flagged(spark, samples, ev) == {("s", "then")}
+
+
+def test_a_session_that_vanishes_is_flagged_at_the_next_poll(spark):
+    """Nothing comes of it any more; a turn that ended before that poll was not interrupted."""
+    build = Build(spark).session("gone").turn(0, None, "gone", "open").turn(-50, 30, "gone", "done").session("here")
+    ev = build.turn(0, None, "here", "t").session("last").turn(0, None, "last", "t").done()
+    samples = watched(spark, (1, "gone", "working", 0), (1, "here", "working", 0), (2, "here", "working", 60),
+                      (2, "last", "working", 60), (3, "here", "working", 120), (3, "last", "working", 120))
+    assert flagged(spark, samples, ev) == {("gone", "open")}
+    events = [(r["session_id"], r["at"].timestamp() - at(0).timestamp(), r["reason"])
+              for r in gap_events(samples, ev.turns).collect()]
+    assert events == [("gone", 60.0, "vanished")]
+
+
+def test_a_first_sample_interrupts_only_what_was_observed(spark):
+    """After a restart the turn has evidence of before; without any, it is just new."""
+    ev = Build(spark).session().turn(0, None, tid="seen").session("r").turn(0, None, "r", "new").done()
+    samples = watched(spark, (7, "s", "working", 60), (7, "r", "working", 60))
+    assert flagged(spark, samples, ev) == set()
+    stored = Build(spark).span("coverage", 0, 30, tid="seen").done().coverage
+    assert flagged(spark, samples, ev, evidence=stored) == {("s", "seen")}
+    # Back after a poll without it: the turn that was seen before is flagged, a new one is not.
+    ev = Build(spark).session().turn(0, 200, tid="old").turn(210, None, tid="fresh").done()
+    samples = watched(spark, (1, "s", "working", 0), (2, "s", "working", 60), (3, "o", "idle", 120),
+                      (4, "s", "working", 240), (5, "s", "working", 300))
+    assert flagged(spark, samples, ev) == {("s", "old")}
+
+
+def test_gap_stream_tells_what_batch_does(spark, tmp_path):
+    samples = watched(
+        spark, (1, "a", "working", 0), (1, "b", "working", 0), (2, "a", "unknown", 60), (2, "b", "working", 60),
+        (3, "b", "working", 140), (3, "c", "idle", 140), (4, "b", "working", 200), (5, "b", "idle", 260),
+        (6, "a", "working", 320), (6, "b", "working", 320), (7, "b", "working", 380), (8, "b", "idle", 440),
+        (9, "b", "idle", 500))
+    for low, high in ((0, 2), (2, 4), (4, 7), (7, 9)):
+        samples.where(f"poll_id > {low} AND poll_id <= {high}").coalesce(1).write.mode("append").parquet(
+            str(tmp_path / "in"))
+    source = spark.readStream.schema(SCHEMAS["samples"]).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drain(spark, gap_stream(source), "append", "gap_stream")
+    ev = Build(spark).session("a").session("b").session("c").done()
+    want = gap_events(samples, ev.turns).collect()
+    assert sorted((r["session_id"], r["reason"]) for r in got) == sorted((r["session_id"], r["reason"]) for r in want)
+    assert {(r["session_id"], r["reason"]) for r in want} == {
+        ("a", "unknown"), ("a", "vanished"), ("b", "spacing"), ("c", "vanished")}
+
+
 def test_sample_stream_equals_batch(spark, tmp_path):
     samples = polls(spark, (1, "working", 0), (2, "waiting", 60), (3, "idle", 120),
                     (5, "working", 240), (6, "unknown", 300), (7, "working", 360))

@@ -487,6 +487,39 @@ VIEWS: dict[str, str] = {
         FROM (SELECT *, lag(poll_id) OVER w AS before_poll, lag(at_us) OVER w AS before_at,
                      lag(state) OVER w AS before_state
               FROM polls WINDOW w AS (PARTITION BY session_id ORDER BY poll_id))""",
+    "gap_samples": """
+        SELECT *, coalesce(before_poll <> poll_id - 1, true) AS fresh,
+               coalesce(lead(poll_id) OVER (PARTITION BY session_id ORDER BY poll_id) <> poll_id + 1, true) AS last
+        FROM poll_pairs""",
+    "poll_times": """
+        SELECT poll_id, lead(max(at_us)) OVER (ORDER BY poll_id) AS gone FROM polls GROUP BY poll_id""",
+    "live_spans": """
+        SELECT session_id, turn_id, start_us FROM (
+        SELECT p.session_id, t.id AS turn_id, greatest(p.before_at, t.s) AS start_us,
+               least(p.at_us, coalesce(t.e, p.at_us)) AS end_us
+        FROM poll_pairs p JOIN turns t ON t.session_id = p.session_id AND t.s <= p.at_us
+          AND (t.e IS NULL OR t.e >= p.before_at)
+        WHERE p.kind IN ('work', 'wait')
+        QUALIFY row_number() OVER (PARTITION BY p.session_id, p.at_us
+                                   ORDER BY t.s DESC, t.id DESC) = 1)
+        WHERE end_us > start_us""",
+    "observed_from": """
+        SELECT session_id, turn_id, min(start_us) AS observed FROM (
+            SELECT session_id, turn_id, start_us FROM live_spans
+            UNION ALL SELECT session_id, turn_id, s FROM coverage
+            UNION ALL SELECT session_id, turn_id, s FROM waits) GROUP BY 1, 2""",
+    "gap_events": """
+        SELECT session_id, at_us, CASE WHEN state = 'unknown' THEN 'unknown' ELSE 'spacing' END AS reason
+        FROM gap_samples
+        WHERE state = 'unknown' OR (NOT fresh AND at_us - before_at > 86400000000)
+        UNION ALL SELECT s.session_id, p.gone, 'vanished' FROM gap_samples s JOIN poll_times p USING (poll_id)
+        WHERE s.last AND p.gone IS NOT NULL
+        UNION ALL SELECT a.session_id, a.at_us, 'restarted' FROM (
+            SELECT s.session_id, s.at_us, t.id FROM gap_samples s JOIN turns t ON t.session_id = s.session_id
+              AND t.s <= s.at_us AND (t.e IS NULL OR t.e >= s.at_us)
+            WHERE s.fresh AND s.state <> 'unknown'
+            QUALIFY row_number() OVER (PARTITION BY s.session_id, s.at_us ORDER BY t.s DESC, t.id DESC) = 1) a
+        JOIN observed_from o ON o.session_id = a.session_id AND o.turn_id = a.id AND o.observed < a.at_us""",
     "log_tokens": """
         SELECT t.*, EXISTS (SELECT 1 FROM ev g WHERE g.user_id = t.user_id AND g.event_id % 101 = 0
                             AND (g.us, g.event_id) <= (t.us, t.event_id)
@@ -1102,11 +1135,14 @@ STATEMENTS.update({
         QUALIFY row_number() OVER (PARTITION BY p.session_id, p.at_us
                                    ORDER BY t.s DESC, t.id DESC) = 1)
         WHERE end_us > start_us""",
+    "gap_events": """
+        SELECT session_id, at_us, reason FROM gap_events""",
     "observation_gap": """
-        SELECT id AS turn_id, array_to_string(CASE WHEN session_id IN (
-                   SELECT session_id FROM poll_pairs WHERE kind = 'gap')
+        SELECT id AS turn_id, array_to_string(CASE WHEN EXISTS (
+                   SELECT 1 FROM gap_events g WHERE g.session_id = t.session_id AND g.at_us >= t.s
+                     AND (t.e IS NULL OR g.at_us < t.e)) AND NOT list_contains(quality, 'observation_gap')
                THEN list_append(quality, 'observation_gap') ELSE quality END, ',') AS quality
-        FROM turns WHERE e IS NULL""",
+        FROM turns t""",
     "overview": """
         SELECT 'allowance' AS part, CAST(sum(micros) AS BIGINT) AS value FROM burn
         UNION ALL SELECT 'tokens', total_tokens FROM rollup WHERE level = 'total'

@@ -648,10 +648,16 @@ def _polls(ev: Evidence) -> DataFrame:
 
 @query
 def observation_gap(ev: Evidence) -> DataFrame:
-    return live.observation_gap(_polls(ev), ev.turns, 86_400.0).where("end IS NULL").select(
+    stored = ev.coverage.unionByName(ev.waits)
+    return live.observation_gap(_polls(ev), ev.turns, 86_400.0, stored).select(
         F.col("id").alias("turn_id"), "quality")
 
 
+@query
+def gap_events(ev: Evidence) -> DataFrame:
+    return live.gap_events(_polls(ev), ev.turns, ev.coverage.unionByName(ev.waits), 86_400.0)
+
+
 @session_query
 def overview(spark: SparkSession, ev: Evidence) -> DataFrame:
     """Heads of the parts of one overview, as one table."""

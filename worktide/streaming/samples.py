@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from worktide.functions.time import micros
-from worktide.operators.scan import latest, scan, time_chunk
+from worktide.operators.scan import latest, scan, time_chunk, upcoming
 
 # One sample a minute; a whole missed minute is never bridged.
 SAMPLE_SECONDS = 60.0
@@ -54,8 +56,15 @@ def sample_pairs(samples: DataFrame, max_gap: float = MAX_GAP_SECONDS,
     )
 
 
-def turn_for_sample(pairs: DataFrame, turns: DataFrame) -> DataFrame:
-    """Spans clipped to the turn they name, else to the latest-starting one open around them."""
+def _after(instant: Column) -> Column:
+    return F.timestamp_micros(F.unix_micros(instant) + 1)
+
+
+def turn_around(pairs: DataFrame, turns: DataFrame) -> DataFrame:
+    """Pairs with the turn they name, else with the latest-starting one open around them.
+
+    A turn that ends where the pair starts is still around it.
+    """
     open_turns = turns.select(
         "session_id", F.col("id").alias("candidate"), F.col("start").alias("turn_start"),
         F.col("end").alias("turn_end"))
@@ -89,18 +98,23 @@ def turn_for_sample(pairs: DataFrame, turns: DataFrame) -> DataFrame:
 
     spans = open_turns.select(
         "session_id", "candidate", "turn_start", "turn_end", F.col("turn_start").alias("start"),
-        F.coalesce("turn_end", F.lit("9999-01-01").cast("timestamp")).alias("end"))
-    limits = rest.groupBy("session_id").agg(F.max("end").alias("last"))
+        F.coalesce(_after(F.col("turn_end")), F.lit("9999-01-01").cast("timestamp")).alias("end"))
+    limits = rest.groupBy("session_id").agg(_after(F.max("end")).alias("last"))
     spans = spans.join(limits, "session_id").withColumn("end", F.least("end", "last")).drop("last")
     older = overlap_join(
-        rest.withColumns({"s": F.col("start"), "e": F.col("end")}), spans, ["session_id"], 86_400
+        rest.withColumns({"s": F.col("start"), "e": F.col("end"), "end": F.greatest(F.col("end"), _after(F.col("start")))}),
+        spans, ["session_id"], 86_400
     ).drop("micros", "start", "end").groupBy(
         "session_id", "kind", "s", "e", "uncertainty_seconds"
     ).agg(F.max(F.struct("turn_start", "candidate", "turn_end")).alias("t")).select(
         "session_id", "kind", F.col("s").alias("start"), F.col("e").alias("end"),
         "uncertainty_seconds", F.col("t.candidate").alias("turn_id"), "t.turn_start", "t.turn_end")
-    found = named.unionByName(direct).unionByName(older)
-    return found.select(
+    return named.unionByName(direct).unionByName(older)
+
+
+def turn_for_sample(pairs: DataFrame, turns: DataFrame) -> DataFrame:
+    """Spans clipped to their turn, where something of them is left."""
+    return turn_around(pairs, turns).select(
         "session_id", "turn_id", "kind",
         F.greatest("start", "turn_start").alias("start"),
         F.least("end", F.coalesce("turn_end", "end")).alias("end"),
@@ -119,16 +133,130 @@ def samples_to_spans(samples: DataFrame, turns: DataFrame, max_gap: float = MAX_
     return turn_for_sample(pairs, turns)
 
 
-def observation_gap(samples: DataFrame, turns: DataFrame, max_gap: float = MAX_GAP_SECONDS
-                    ) -> DataFrame:
-    """Open turns of sessions whose observation was interrupted get `observation_gap`."""
-    gaps = sample_pairs(samples, max_gap).where("kind = 'gap'").select("session_id").distinct()
-    return turns.join(gaps.withColumn("gap", F.lit(True)), "session_id", "left").withColumn(
-        "quality",
-        F.when(F.col("gap") & F.col("end").isNull(),
-               F.array_union("quality", F.array(F.lit("observation_gap"))))
-        .otherwise(F.col("quality")),
-    ).select(turns.columns)
+def gap_events(samples: DataFrame, turns: DataFrame, evidence: DataFrame | None = None,
+               max_gap: float = MAX_GAP_SECONDS, cadence: float = SAMPLE_SECONDS) -> DataFrame:
+    """(session_id, at, reason): instants at which a session's observation was interrupted.
+
+    `unknown`: the sample says so. `spacing`: it follows the one of the poll before too late.
+    `vanished`: the next poll has no sample of the session; at the time of the next poll there
+    is. `restarted`: a sample without one in the poll before, of a turn that had been observed.
+    `evidence` has spans (session_id, turn_id, start) that are stored already.
+    """
+    ordered = samples.withColumn("chunk", time_chunk(F.col("poll_id"), 100_000))
+    seen = scan(ordered, ["session_id"], "chunk", ["poll_id"],
+                before=latest(F.struct("poll_id", "at"), inclusive=False),
+                after=upcoming(F.struct("poll_id")))
+    first = F.coalesce(F.col("before.poll_id") != F.col("poll_id") - 1, F.lit(True))
+    elapsed = (micros(F.col("at")) - micros(F.col("before.at"))) / 1_000_000
+    unknown = F.col("state") == "unknown"
+    late = seen.where(unknown | (~first & (elapsed > max_gap))).select(
+        "session_id", "at", F.when(unknown, "unknown").otherwise("spacing").alias("reason"))
+    # A poll is known by the samples of any session.
+    polls = samples.groupBy("poll_id").agg(F.max("at").alias("polled")).withColumns(
+        {"all": F.lit(0), "chunk": time_chunk(F.col("poll_id"), 100_000)})
+    polls = scan(polls, ["all"], "chunk", ["poll_id"], next=upcoming(F.struct("polled"))).where(
+        "next IS NOT NULL").select("poll_id", F.col("next.polled").alias("gone"))
+    gone = F.coalesce(F.col("after.poll_id") != F.col("poll_id") + 1, F.lit(True))
+    vanished = seen.where(gone).select("session_id", "poll_id").join(polls, "poll_id").select(
+        "session_id", F.col("gone").alias("at"), F.lit("vanished").alias("reason"))
+    pairs = seen.where(first & ~unknown).select(
+        "session_id", F.lit("none").alias("kind"), F.col("at").alias("start"), F.col("at").alias("end"), "turn_id",
+        "uncertainty_seconds")
+    observed = samples_to_spans(samples, turns, max_gap, cadence).select("session_id", "turn_id", "start")
+    if evidence is not None:
+        observed = observed.unionByName(evidence.select("session_id", "turn_id", "start"))
+    observed = observed.groupBy("session_id", "turn_id").agg(F.min("start").alias("observed"))
+    restarted = turn_around(pairs, turns).join(observed, ["session_id", "turn_id"]).where(
+        F.col("observed") < F.col("end")).select(
+        "session_id", F.col("end").alias("at"), F.lit("restarted").alias("reason"))
+    return late.unionByName(vanished).unionByName(restarted)
+
+
+def observation_gap(samples: DataFrame, turns: DataFrame, max_gap: float = MAX_GAP_SECONDS,
+                    evidence: DataFrame | None = None) -> DataFrame:
+    """Turns that were open when their session's observation was interrupted get `observation_gap`.
+
+    Each turn looks for the first interruption from its start on, as a running value; whether
+    it has ended since makes no difference.
+    """
+    gaps = gap_events(samples, turns, evidence, max_gap)
+    kind = turns.select(F.struct(*turns.columns).alias("turn")).schema["turn"].dataType
+    both = turns.select("session_id", F.col("start").alias("at"), F.lit(0).alias("late"), F.col("id").alias("tie"),
+                        F.struct(*turns.columns).alias("turn")).unionByName(
+        gaps.groupBy("session_id", "at").agg(F.min("reason").alias("tie")).select(
+            "session_id", "at", F.lit(1).alias("late"), "tie", F.lit(None).cast(kind).alias("turn")))
+    found = scan(both.withColumn("chunk", time_chunk(micros(F.col("at")))), ["session_id"], "chunk",
+                 ["at", "late", "tie"], gap=upcoming(F.when(F.col("turn").isNull(), F.struct("at"))))
+    open_then = F.col("gap").isNotNull() & F.coalesce(F.col("gap.at") < F.col("turn.end"), F.lit(True))
+    flagged = F.array_union("turn.quality", F.array(F.lit("observation_gap")))
+    return found.where("turn IS NOT NULL").select(
+        "turn.*", F.when(open_then, flagged).otherwise(F.col("turn.quality")).alias("now")
+    ).drop("quality").withColumnRenamed("now", "quality").select(turns.columns)
+
+
+class GapProcessor(StatefulProcessor):
+    """Interruptions of one session's observation, with a timer for the poll that should follow.
+
+    The state is the last sample and the time of its timer. A sample that comes before the
+    timer fires moves it; a timer that fires is a poll without the session.
+    """
+
+    def __init__(self, max_gap: float, cadence: float):
+        self.max_gap, self.cadence = max_gap, cadence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "poll_id BIGINT, at_us BIGINT, timer BIGINT")
+
+    def handleInputRows(self, key, rows, timerValues):
+        frame = pd.concat(list(rows)).sort_values("poll_id")
+        poll, at, timer = self.last.get() if self.last.exists() else (None, None, None)
+        now = frame["at"].astype("datetime64[us]").astype("int64")
+        before_poll = frame["poll_id"].shift(1).fillna(-1 if poll is None else poll)
+        before_at = now.shift(1).fillna(0 if at is None else at)
+        fresh = before_poll + 1 != frame["poll_id"]
+        unknown = frame["state"] == "unknown"
+        spacing = ~fresh & ~unknown & (now - before_at > self.max_gap * 1e6)
+        out = pd.DataFrame({"at": frame["at"], "reason": np.select([unknown, spacing], ["unknown", "spacing"], "")})
+        # Polls inside the batch, or since the last one, that did not have the session.
+        skipped = fresh & (before_poll >= 0)
+        if timer is None and len(skipped):
+            skipped.iloc[0] = False  # the timer of the last sample has told that
+        gone = pd.DataFrame({"at": pd.to_datetime(before_at[skipped] + self.cadence * 1e6, unit="us"), "reason": "vanished"})
+        out = pd.concat([out[out["reason"] != ""], gone])
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        due = int(now.iloc[-1] / 1000 + self.max_gap * 1000) + 1
+        self.handle.registerTimer(due)
+        self.last.update((int(frame["poll_id"].iloc[-1]), int(now.iloc[-1]), due))
+        if len(out):
+            yield out.assign(session_id=key[0])[["session_id", "at", "reason"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        poll, at, _ = self.last.get()
+        self.last.update((poll, at, None))
+        gone = pd.to_datetime([at + int(self.cadence * 1e6)], unit="us")
+        yield pd.DataFrame({"session_id": [key[0]], "at": gone, "reason": ["vanished"]})
+
+    def close(self) -> None:
+        pass
+
+
+def gap_stream(samples: DataFrame, max_gap: float = MAX_GAP_SECONDS, cadence: float = SAMPLE_SECONDS) -> DataFrame:
+    """(session_id, at, reason): `unknown`, `spacing` and `vanished` of gap_events, as they happen.
+
+    `samples` is a stream. Its watermark on `at` moves with any session's samples, so a session
+    that none come of any more is noticed once the others are more than `max_gap` ahead; `at` is
+    then the time at which its next sample was due. What was `restarted` follows from stored
+    spans and is left to gap_events. Needs the RocksDB state store, which is set here for
+    the session; state is a few numbers for each session.
+    """
+    spark = samples.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = samples.withWatermark("at", "0 seconds")
+    return timed.groupBy("session_id").transformWithStateInPandas(
+        GapProcessor(max_gap, cadence), "session_id STRING, at TIMESTAMP, reason STRING", "append", "EventTime")
 
 
 def sample_stream(samples: DataFrame, max_gap: float = MAX_GAP_SECONDS,
