@@ -1217,6 +1217,17 @@ STATEMENTS["write_daily_records"] = (
                        > greatest(start_us, {midnight_us('day')})"""
 )
 
+STATEMENTS["rolling_resets"] = """
+    WITH v AS (SELECT event_type AS stream, 1706000000 + event_id AS r, row_number() OVER (
+                      PARTITION BY event_type ORDER BY us, event_id) AS k FROM ev),
+    f AS (SELECT stream, 0::BIGINT AS k, []::BIGINT[] AS a FROM v GROUP BY stream
+          UNION ALL
+          SELECT f.stream, v.k, CASE WHEN len(list_filter(a, lambda x: abs(x - v.r) <= 10)) > 0 THEN a
+                                     ELSE list_append(a, v.r) END
+          FROM f JOIN v ON v.stream = f.stream AND v.k = f.k + 1),
+    whole AS (SELECT stream, a FROM f QUALIFY k = max(k) OVER (PARTITION BY stream))
+    SELECT v.stream, r AS resets_at, list_filter(a, lambda x: abs(x - r) <= 10)[1] AS cohort
+    FROM v JOIN whole USING (stream)"""
 # The logs end as they are read at once, however they grew.
 STATEMENTS["incremental_ingest"] = STATEMENTS["read_rollouts"]
 

@@ -287,6 +287,15 @@ def reset_cohorts(ev: Evidence) -> DataFrame:
     return quotas.reset_cohorts(_selected(ev)).drop("stream")
 
 
+@table_query
+def rolling_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resets a few seconds apart, so that all of a stream are one chain."""
+    rows = demo.events(spark, sf_dir).select(
+        F.col("event_type").alias("stream"), (F.lit(1706000000) + F.col("event_id")).cast("bigint").alias("resets_at"),
+        F.col("ts").alias("at"))
+    return quotas.reset_cohorts(rows)
+
+
 def _judged(ev: Evidence, end=None) -> DataFrame:
     selected = _selected(ev, end)
     return quotas.judge_readings(quotas.quota_moments(selected, quotas.reset_cohorts(selected)))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from worktide.functions.time import micros
+from worktide.operators.anchors import greedy_anchors
 from worktide.operators.scan import latest, running_max, running_sum, scan, time_chunk
 from worktide.session import materialise
 
@@ -41,44 +42,11 @@ def quota_select(
 def reset_cohorts(selected: DataFrame) -> DataFrame:
     """(stream, resets_at, cohort): the anchor each reset belongs to.
 
-    A reset joins the first-seen anchor within the jitter, or becomes one. Resets
-    further apart than the jitter never interact, so each run of near values is
-    folded by itself; a run holds distinct seconds, not readings.
+    A reset joins the first-seen anchor within the jitter, or becomes one. Resets that keep
+    moving by a few seconds are one chain; it is decided block by block, see anchors.
     """
-    values = materialise(
-        selected.groupBy("stream", "resets_at")
-        .agg(F.min("at").alias("first_at"))
-        .withColumn("chunk", F.floor(F.col("resets_at") / (30 * 86_400)).cast("bigint"))
-    )
-    near = scan(values, ["stream"], "chunk", ["resets_at"],
-                before=latest(F.col("resets_at"), inclusive=False))
-    marked = near.withColumn(
-        "opens",
-        F.coalesce(F.col("resets_at") - F.col("before") > RESET_JITTER, F.lit(True)).cast("bigint"),
-    )
-    runs = scan(marked, ["stream"], "chunk", ["resets_at"], run=running_sum(F.col("opens")))
-    seen = F.transform(
-        F.array_sort(F.collect_list(F.struct("first_at", "resets_at"))), lambda x: x["resets_at"]
-    )
-    anchors = F.aggregate(
-        F.col("seen"),
-        F.array().cast("array<bigint>"),
-        lambda held, r: F.when(
-            F.exists(held, lambda a: F.abs(a - r) <= RESET_JITTER), held
-        ).otherwise(F.array_append(held, r)),
-    )
-    return (
-        runs.groupBy("stream", "run").agg(seen.alias("seen"))
-        .withColumn("anchors", anchors)
-        .select("stream", "anchors", F.explode("seen").alias("resets_at"))
-        .select(
-            "stream",
-            "resets_at",
-            F.filter(
-                "anchors", lambda a: F.abs(a - F.col("resets_at")) <= RESET_JITTER
-            )[0].alias("cohort"),
-        )
-    )
+    values = selected.groupBy("stream", "resets_at").agg(F.min("at").alias("first_at"))
+    return greedy_anchors(values, "stream", "resets_at", "first_at", RESET_JITTER).withColumnRenamed("anchor", "cohort")
 
 
 def quota_moments(selected: DataFrame, cohorts: DataFrame) -> DataFrame:
