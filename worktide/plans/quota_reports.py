@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from worktide.evidence import Evidence
-from worktide.functions.time import instant, local_date, micros
-from worktide.operators.intervals import clip, overlap_measure, turn_pieces
+from worktide.functions.time import local_date
+from worktide.operators.intervals import clip, merge_spans, overlap_join, split_by_local_day, turn_pieces
 from worktide.operators.quota import (
     classify_pairs,
     judge_readings,
@@ -18,6 +18,7 @@ from worktide.operators.quota import (
     quota_select,
     reset_cohorts,
 )
+from worktide.operators.sweep import covered_time
 from worktide.plans.period import Period
 from worktide.plans.time_reports import root_work
 from worktide.session import materialise
@@ -35,52 +36,45 @@ class BurnReport:
     pairs: DataFrame
 
 
-def match_work(ev: Evidence, period: Period, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(work, flags): shared time of candidate pairs with root work, and its evidence.
+def _active_rows(pairs: DataFrame) -> DataFrame:
+    """(day, stream, cohort) with pairs that may be matched; a handful a day."""
+    return pairs.select(*ROW).distinct()
 
-    Work is laid out once as facts; every pair then costs two lookups per model and
-    per flag, however many sessions run at the time.
+
+def _in_rows(windows: DataFrame, pairs: DataFrame, labels: list[str]) -> DataFrame:
+    """(day, stream, cohort, labels, micros): windows (day, labels, start, end, sign) inside the pairs of each row.
+
+    A pair lies within its local day, so a window meets the rows of its own day only.
+    """
+    spans = pairs.select(*ROW, F.col("previous.at").alias("start"), F.col("at").alias("end"))
+    here = windows.join(_active_rows(pairs), "day")
+    return covered_time(spans, here, list(ROW), labels)
+
+
+def match_work(ev: Evidence, period: Period, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(times, work, flags): shared time of candidate pairs with root work, and its evidence.
+
+    `times` has each pair's time, `work` that of each row by model and level, `flags` the row's
+    evidence. Work is laid out once as facts, and swept once for pairs and once for rows.
     """
     own = ev.sessions.select(F.col("id").alias("session_id"), F.col("quality").alias("own"))
     facts = materialise(
         root_work(ev, period.tz, period.start, period.end, models=True)
         .join(own, "session_id", "left")
         .select(
-            "session_id", "start", "end", "model_id", "reasoning_level",
+            "day", "start", "end", "model_id", "reasoning_level",
             F.array_union("quality", F.coalesce("own", F.array().cast("array<string>")))
             .alias("quality"),
         )
     )
-    none = F.lit(None).cast("string")
-    lanes = facts.select(
-        "start", "end",
-        F.explode(
-            F.concat(
-                F.array(F.struct("model_id", "reasoning_level", none.alias("flag"))),
-                F.transform(
-                    "quality",
-                    lambda q: F.struct(
-                        none.alias("model_id"), none.alias("reasoning_level"), q.alias("flag")
-                    ),
-                ),
-            )
-        ).alias("lane"),
-    ).select(F.lit("all").alias("scope"), "start", "end", "lane.*")
-    windows = pairs.where("kind = 'candidate'").select(
-        F.lit("all").alias("scope"),
-        F.to_json(F.struct("day", "stream", "cohort", micros(F.col("at")).alias("us"))).alias("window"),
-        F.col("previous.at").alias("start"),
-        F.col("at").alias("end"),
-    )
-    measured = materialise(
-        overlap_measure(windows, lanes, ["scope"], ["model_id", "reasoning_level", "flag"])
-        .withColumn("w", F.from_json("window", "day DATE, stream STRING, cohort BIGINT, us BIGINT"))
-        .select("w.day", "w.stream", "w.cohort", instant(F.col("w.us")).alias("at"),
-                "model_id", "reasoning_level", "flag", "micros")
-    )
-    return measured.where("flag IS NULL").drop("flag"), measured.where("flag IS NOT NULL").select(
-        *ROW, "at", "flag"
-    )
+    candidates = pairs.where("kind = 'candidate'")
+    one = F.lit(1)
+    windows = candidates.select(*ROW, "at", F.col("previous.at").alias("start"), F.col("at").alias("end"), one.alias("sign"))
+    times = covered_time(facts, windows, [], [*ROW, "at"])
+    labels = ["model_id", "reasoning_level", "quality"]
+    measured = materialise(_in_rows(facts.withColumn("sign", one), candidates, labels))
+    work = measured.groupBy(*ROW, "model_id", "reasoning_level").agg(F.sum("micros").alias("micros"))
+    return times, work, measured.select(*ROW, F.explode("quality").alias("flag"))
 
 
 def _uncertainty(ev: Evidence, period: Period, matched: DataFrame) -> DataFrame:
@@ -91,34 +85,14 @@ def _uncertainty(ev: Evidence, period: Period, matched: DataFrame) -> DataFrame:
     )
     open_work = clip(turn_pieces(sampled, ev.coverage), period.start, period.end).join(
         roots, "session_id", "left_semi"
-    )
+    ).select("session_id", "turn_id", "start", "end")
     # What the turn worked on is its span minus the waits of its whole session.
     waits = ev.waits.join(open_work.select("session_id").distinct(), "session_id", "left_semi")
-    windows = open_work.withColumn(
-        "window", F.to_json(F.struct("turn_id", micros(F.col("start")).alias("us")))
-    )
-    windows = windows.select("session_id", "window", "start", "end")
-    spans = matched.select(
-        *ROW, F.col("previous.at").alias("start"), F.col("at").alias("end")
-    ).withColumn("scope", F.lit("all"))
-    in_pairs = overlap_measure(
-        windows.withColumns({"scope": F.lit("all"), "window": F.to_json(
-            F.struct("session_id", "window"))}).drop("session_id"),
-        spans, ["scope"], list(ROW),
-    )
-    waiting = overlap_in_pairs(windows, waits, spans)
-    named = F.from_json("window", "session_id STRING, window STRING")
-    met = in_pairs.withColumn("n", named).select(
-        *ROW, "n.session_id", F.get_json_object("n.window", "$.turn_id").alias("turn_id"),
-        F.col("n.window").alias("piece"), "micros",
-    )
-    left = met.join(
-        waiting.withColumnRenamed("micros", "waited"),
-        [*ROW, "session_id", "piece"], "left",
-    ).where(F.col("micros") > F.coalesce("waited", F.lit(0)))
+    waited = overlap_join(open_work, merge_spans(waits, ["session_id"]), ["session_id"]).drop("micros")
+    net = open_work.withColumn("sign", F.lit(1)).unionByName(waited.withColumn("sign", F.lit(-1)))
+    met = _in_rows(split_by_local_day(net, period.tz).drop("micros"), matched, ["session_id", "turn_id"])
     return (
-        left.select(*ROW, "session_id", "turn_id").distinct()
-        .join(
+        met.join(
             sampled.select("session_id", F.col("id").alias("turn_id"),
                            "sampling_uncertainty_seconds"),
             ["session_id", "turn_id"],
@@ -128,29 +102,6 @@ def _uncertainty(ev: Evidence, period: Period, matched: DataFrame) -> DataFrame:
     )
 
 
-def overlap_in_pairs(pieces: DataFrame, waits: DataFrame, spans: DataFrame) -> DataFrame:
-    """Time of each piece that its session waited, inside the spans of each row."""
-    from worktide.operators.intervals import merge_spans, overlap_join
-
-    merged = merge_spans(waits, ["session_id"])
-    cut = overlap_join(
-        pieces.withColumnRenamed("window", "piece"), merged, ["session_id"]
-    ).drop("micros")
-    windows = cut.select(
-        F.lit("all").alias("scope"),
-        F.to_json(
-            F.struct("session_id", "piece", micros(F.col("start")).alias("us"))
-        ).alias("window"),
-        "start", "end",
-    )
-    shared = overlap_measure(windows, spans, ["scope"], list(ROW))
-    return (
-        shared.withColumn("n", F.from_json("window", "session_id STRING, piece STRING"))
-        .groupBy(*ROW, "n.session_id", "n.piece")
-        .agg(F.sum("micros").alias("micros"))
-    )
-
-
 def burn_report(
     ev: Evidence,
     period: Period,
@@ -167,10 +118,9 @@ def burn_report(
     pairs = materialise(
         classify_pairs(judged, period.start, period.end, period.tz, max_gap_seconds)
     )
-    work, flags = match_work(ev, period, pairs)
-    per_pair = work.groupBy(*ROW, "at").agg(F.sum("micros").alias("micros"))
+    times, work, flags = match_work(ev, period, pairs)
     settled = materialise(
-        pairs.join(per_pair, [*ROW, "at"], "left").withColumn(
+        pairs.join(times, [*ROW, "at"], "left").withColumn(
             "kind",
             F.when(
                 F.col("kind") == "candidate",
@@ -255,9 +205,8 @@ def burn_report(
         quality.alias("quality"),
         F.coalesce("uncertainty", none).alias("uncertainty"),
     )
-    parts = work.groupBy(*ROW, "model_id", "reasoning_level").agg(F.sum("micros").alias("micros"))
-    whole = parts.groupBy(*ROW).agg(F.sum("micros").alias("all_micros"))
-    mix = parts.join(whole, list(ROW)).withColumn("s", named).select(
+    whole = work.groupBy(*ROW).agg(F.sum("micros").alias("all_micros"))
+    mix = work.join(whole, list(ROW)).withColumn("s", named).select(
         "day", F.col("s.bucket").alias("bucket"), F.col("s.plan_type").alias("plan_type"),
         F.col("cohort").alias("resets_at"), "model_id", "reasoning_level", "micros",
         (F.col("micros") * 100.0 / F.col("all_micros")).alias("percentage"),
