@@ -100,7 +100,9 @@ def test_junk_is_rejected_and_clean_kept(spark):
     rng = random.Random(6)
     clean = [(i, text_of(rng, rng.randint(5, 80)), rng.choice(["en", None])) for i in range(240)]
     junk = [(1000 + i, text_of(rng, 40, junk=True), "en") for i in range(20)]
-    odd = [(2000, None, "en"), (2001, "", None), (2002, "ÑÑ ÑÑ", "xx"), (None, clean[0][1], "en"), clean[1], (2003, "con be. " * 20_000, "en")]
+    odd = [(2000, None, "en"), (2001, "", None), (2002, "ÑÑ ÑÑ", "xx"), (None, clean[0][1], "en"), clean[1], (2003, text_of(rng, 30_000), "en")]
+    # A few words over and over, with a sign that no trusted text has, are not like trusted text.
+    junk.append((2004, "con be. " * 20_000, "en"))
     docs = docs_of(spark, clean + junk + odd)
     trusted = spark.createDataFrame([(i,) for i in range(0, 240, 2)] + [(None,), (77_777,), (0,)], "doc_id bigint")
     got = classify(docs, trusted).collect()
@@ -351,12 +353,14 @@ def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as pipeline
 
     rng = random.Random(12)
-    passage = "this benchmark passage has certainly more than ten words to find"
+    # Of the language's own syllables: what is unlike trusted text would go in the first stage.
+    passage = " ".join(["belu", "fijo", "hakagu", "ilan", "condael", "gubefi", "luka", "jodail", "elhagu", "anfi", "kacon"])
     clean = [(i, text_of(rng, rng.randint(30, 80)), "en") for i in range(120)]
-    line = "a footer line that many documents have in common"
+    line = "ilgu hafi elan joka condalu befi gujo"
     marked = [(200 + i, text_of(rng, 40) + "\n" + line, "en") for i in range(5)]
     junk = [(300 + i, text_of(rng, 40, junk=True), "en") for i in range(6)]
-    copies = [(400 + i, clean[3][1], "en") for i in range(4)]
+    # Equal lines would go to one of them in line dedup; so each ends in a word of its own.
+    copies = [(400 + i, f"{clean[3][1]} {end}", "en") for i, end in enumerate(["andabe", "figu", "luil", "kajo"])]
     leaked = [(500, clean[5][1] + " " + text_of(rng, 30) + " " + passage, "en")]
     rows = clean + marked + junk + copies + leaked + [(600, None, None)]
     base = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows],

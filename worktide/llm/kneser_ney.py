@@ -18,10 +18,12 @@ more, estimated from the counts of counts of each language and order.
 
 Scale: counting reads trusted texts once and sums per task before the shuffle, so that a
 language with a third of all rows is no hot key. The tables stay sharded by n-gram while
-they are joined. To score, entries are split by language and the character before the
-last into shards of at most `shard_entries`; the documents are joined with one shard
-after another as it is broadcast, and the partial sums of a document are added. One scan
-per shard, texts never move. What is counted covers all trusted text and grows with it.
+they are joined. To score, entries with two or three characters of context are split by the
+last two of these into shards of at most `shard_entries`, or, where one pair of characters has
+more, into one shard for each pair; what has less context, at most all pairs of characters, goes
+with every shard. The documents are joined with one shard after another as it is broadcast,
+and the partial sums of a document are added. One scan per shard, texts never move. What is
+counted covers all trusted text and grows with it.
 
 Defined cases: a null language is a language of its own. A null or empty text has no
 perplexity and is kept, as is a text of a language without trusted documents. Short
@@ -42,6 +44,7 @@ from worktide.llm.hashing import Lookup
 
 ORDER = 4
 BITS = 16
+SPREAD = 40_503  # odd, so that pairs of characters fall evenly into shards
 SHARD_ENTRIES = 4_000_000
 BIN = 0.001  # width of a bin of log perplexity, for the quantiles
 BLOCK = 100  # characters, about; two neighbouring blocks are a passage
@@ -165,18 +168,17 @@ def model(trusted: DataFrame) -> DataFrame:
 class Scorer:
     """Log probabilities of the characters of texts, for one language and shard."""
 
-    def __init__(self, entries: dict[int, tuple[np.ndarray, np.ndarray]], befores: np.ndarray, lone: bool):
+    def __init__(self, entries: dict[int, tuple[np.ndarray, np.ndarray]], shard: int, shards: int):
         empty = (np.empty(0, dtype=U64), np.empty(0))
         self.tables = {k: Lookup(*entries.get(k, empty)) for k in (1, 2, 3, 4, 11, 12, 13)}
         self.unseen = float(entries[10][1][0]) if 10 in entries else None
-        self.mine = np.zeros(1 << BITS, dtype=bool)
-        self.mine[befores.astype(np.int64)] = True
-        self.lone = lone
+        self.shard, self.shards = shard, shards
 
     def log_p(self, chars: np.ndarray) -> np.ndarray:
         """For each character from the fourth on; 0 for starts and other shards' characters."""
         keys = grams(chars)
-        places = np.nonzero((chars[ORDER - 1 :] != 0) & (self.lone | self.mine[chars[ORDER - 2 : -1].astype(np.int64)]))[0]
+        near, far = chars[ORDER - 2 : -1].astype(np.int64), chars[ORDER - 3 : -2].astype(np.int64)
+        places = np.nonzero((chars[ORDER - 1 :] != 0) & ((far * SPREAD + near) % self.shards == self.shard))[0]
         out = np.zeros(len(keys))
         keys = keys[places]
         value = self.tables[ORDER].get(keys)
@@ -196,51 +198,52 @@ class Scorer:
         return out
 
 
-def _before(kind: Column, key: Column) -> Column:
-    """The character before the last one of what an entry is looked up for."""
-    last = F.when(kind >= 10, key).otherwise(F.shiftrightunsigned(key, BITS))
-    return last.bitwiseAND(F.lit((1 << BITS) - 1))
+def _shard_of(kind: Column, key: Column, shards: int) -> Column:
+    """The shard of what is looked up behind the entry's last two characters of context."""
+    context = F.when(kind >= 10, key).otherwise(F.shiftrightunsigned(key, BITS))
+    one = F.lit((1 << BITS) - 1)
+    far = F.shiftrightunsigned(context, BITS).bitwiseAND(one)
+    return F.pmod(far * SPREAD + context.bitwiseAND(one), F.lit(shards))
+
+
+def _shard_count(entries: DataFrame, shard_entries: int) -> int:
+    """So many shards that none has more than `shard_entries`, or that more would not help."""
+    def largest(shards: int) -> int:
+        sizes = entries.groupBy(_shard_of(F.col("kind"), F.col("key"), shards).alias("s")).count()
+        return sizes.agg(F.max("count")).first()[0] or 0
+
+    shards = max(1, -(-entries.count() // shard_entries))
+    size = largest(shards) if shards > 1 else 0
+    while size > shard_entries:
+        # Where a doubling takes less than a tenth off, one pair of characters fills a shard.
+        halved = largest(2 * shards)
+        if halved > 0.9 * size:
+            break
+        shards, size = 2 * shards, halved
+    return shards
 
 
 def log_likelihoods(docs: DataFrame, entries: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """(row, mark, lang, nll, chars, blocks) for each row of (row, mark, lang, text).
 
     `blocks` has the nll of each of the text's blocks, which are equally long but for
-    rounding. Both are null where there is no text or no model. Each shard is counted before
-    it is sent.
+    rounding. Both are null where there is no text or no model. Shards are counted before
+    they are sent.
     """
     spark = docs.sparkSession
-    low = F.col("kind").isin(1, 10)
-    sharded = entries.withColumn("before", F.when(~low, _before(F.col("kind"), F.col("key"))))
-    shards = max(1, -(-entries.filter(~low).count() // shard_entries))
-    while shards > 1 and shards < 65_536:
-        shard = F.pmod(F.xxhash64("lang", "before"), F.lit(shards))
-        largest = sharded.filter(~low).groupBy(shard.alias("s")).count().agg(F.max("count")).first()[0]
-        if largest <= shard_entries:
-            break
-        shards *= 2
-    shard = F.pmod(F.xxhash64("lang", "before"), F.lit(shards))
+    low = F.col("kind").isin(1, 2, 10, 11)
+    shards = _shard_count(entries.filter(~low), shard_entries)
+    shard = _shard_of(F.col("kind"), F.col("key"), shards)
     kind = dict(docs.dtypes)["row"]
 
     def scan(number: int) -> DataFrame:
-        held = _columns(sharded.filter(low | (shard == number)).select("lang", "kind", "key", "value"))
+        held = _columns(entries.filter(low | (shard == number)).select("lang", "kind", "key", "value"))
         sent = spark.sparkContext.broadcast(held)
-        # Which characters are this shard's, also those no entry follows, is a hash that Spark takes.
-        known = [r[0] for r in entries.select("lang").distinct().collect()]
-        all_befores = spark.range(1 << BITS).select(F.col("id").alias("before"))
-        mine = {}
-        for language in known:
-            if shards > 1:
-                own = all_befores.filter(F.pmod(F.xxhash64(F.lit(language), "before"), F.lit(shards)) == number)
-                mine[language] = np.array([r[0] for r in own.collect()], dtype=np.int64)
-            else:
-                mine[language] = np.empty(0, dtype=np.int64)
-        spread = spark.sparkContext.broadcast(mine)
 
         def run(batches):
             scorers = {}
             for language, parts in sent.value.items():
-                scorers[language] = Scorer(parts, spread.value[language], shards == 1)
+                scorers[language] = Scorer(parts, number, shards)
             for batch in batches:
                 nll, blocks = [None] * len(batch["row"]), [None] * len(batch["row"])
                 for language, places in by_language(batch).items():
