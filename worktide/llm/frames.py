@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from worktide.session import materialise
 
-__all__ = ["ascii_lower", "capitals_free", "digest", "map_rows", "materialise", "named"]
+__all__ = ["ascii_lower", "capitals_free", "digest", "discard", "map_rows", "materialise", "named"]
 
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -39,6 +40,23 @@ def named(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[f"`{old}`"].alias(new) for new, old in columns.items()])
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, and let go of the shuffles behind them.
+
+    Long operators write some ten tables; without this all of them, and the shuffle files of every
+    finished step, stay on disk until the driver happens to collect its garbage.
+    """
+    spark = tables[0].sparkSession
+    for table in tables:
+        folder, _, name = table.inputFiles()[0].rpartition("/")[0].rpartition("/")
+        if not name.startswith("worktide-"):
+            raise ValueError(f"not a written table: {folder}/{name}")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_rows(
     df: DataFrame,
     work: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]],

@@ -12,8 +12,9 @@ content of each group, for the size bands they may have a partner in; this loses
 pair, and a group is some nine shingles, so unrelated documents hardly meet.
 
 1. Documents with equal sets are one class; its smallest id stands for it.
-2. Classes that share a key are compared with the smallest of them. Their links
-   already join most families, and there are at most as many as (key, class) rows.
+2. Classes that share a key are compared with the smallest of them: first each with the
+   smallest it meets anywhere, then what is not joined yet. Their links already join most
+   families, and there are at most as many as (key, class) rows.
 3. Where a key still holds several components (one key of those with the same members), the R-tree search runs over its
    members, in blocks, for pairs from different components only. What passes the bound
    is compared. Afterwards no unlinked pair of different components is left to test.
@@ -40,13 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from worktide.llm.components import components
-from worktide.llm.frames import capitals_free, map_rows, materialise, named
+from worktide.llm.frames import capitals_free, discard, map_rows, materialise, named
 
 BAND = 1.5  # ratio of the bounds of a size band
 SPARE = 2  # groups beyond those needed; a set with more empty groups than this keys these too
 DIMENSIONS = 64  # of the count vectors
 BLOCK = 4096  # members of a key that meet in one task
 LEAF = 16
+STAR = 64  # sets that are compared with one set in one group
 
 U64 = np.uint64
 
@@ -250,18 +252,49 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that are links, by comparing their whole shingle sets."""
+    """Written pairs (a, b) that are links, by comparing their whole shingle sets.
+
+    A set goes once to each set that it is compared with as the first of a pair: rows of one `a`
+    stand together, its own set first, and are streamed past it, STAR of them in a group.
+    """
     kind = dict(pairs.dtypes)["a"]
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     # The same plan at every size: the wanted ids grow with the data and are never broadcast.
     texts = rows.join(wanted.hint("merge"), "row", "left_semi").dropDuplicates(["row"])
-    sets = materialise(token_sets(texts, kind, width))
-    both = pairs.join(sets.select(F.col("row").alias("b"), F.col("tokens").alias("tb")), "b").join(
-        sets.select(F.col("row").alias("a"), F.col("tokens").alias("ta")), "a")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    counted = both.select("a", "b", shared.alias("shared"),
-                          (F.size("ta") + F.size("tb") - shared).alias("all"))
-    return counted.filter(100 * F.col("shared") >= percent * F.col("all")).select("a", "b")
+    sets = token_sets(texts, kind, width)
+    # Each set is asked for by the firsts of its pairs, and by every group that it is the first of.
+    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts"))
+    own_group = F.pmod(F.hash("b"), F.col("parts"))
+    asked = pairs.join(groups, "a").select(F.col("b").alias("row"), "a", own_group.alias("part")).unionByName(
+        groups.select(F.col("a").alias("row"), "a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
+    sent = sets.join(asked, "row").repartition("a", "part").withColumn("late", F.col("row") != F.col("a"))
+
+    def run(batches):
+        first, own = None, np.empty(0)
+        for batch in batches:
+            out = {"a": [], "b": []}
+            for a, part, row, tokens in zip(batch["a"], batch["part"], batch["row"], batch["tokens"], strict=True):
+                tokens = np.array(tokens, dtype=np.int64)
+                if row == a:
+                    first, own = (a, part), tokens
+                    continue
+                assert first == (a, part), "a set comes before those it is compared with"
+                shared = len(np.intersect1d(own, tokens, assume_unique=True))
+                if 100 * shared >= percent * (len(own) + len(tokens) - shared):
+                    out["a"].append(a)
+                    out["b"].append(row)
+            yield out
+
+    ordered = sent.sortWithinPartitions("a", "part", "late").select("a", "part", "row", "tokens")
+    return materialise(map_rows(ordered, run, f"a {kind}, b {kind}"))
+
+
+def joined_pairs(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """Pairs whose ends are not in one component yet."""
+    one = joined.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    two = joined.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    both = pairs.join(one, "a", "left").join(two, "b", "left")
+    return both.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 class Tree:
@@ -374,12 +407,18 @@ def jaccard_components(
         return frame.join(of, column, "left").withColumn(column, F.coalesce("__rep", column)).drop("__rep")
 
     shared = shared_keys(keys_of(rows, kind, width, percent), kind)
-    shared = materialise(standing(standing(materialise(shared), "leader"), "row"))
+    shared = materialise(standing(standing(shared, "leader"), "row"))
     stars = shared.filter(F.col("row") != F.col("leader")).select(
         F.least("leader", "row").alias("a"), F.greatest("leader", "row").alias("b")).distinct()
     near = materialise(bounded(stars, points, percent))
-    links = materialise(verified(near, rows, width, percent))
+    # Every row with the smallest it may link with joins most families; few other pairs are open then.
+    least = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    nearest = verified(least, rows, width, percent)
+    further = materialise(joined_pairs(near.join(least, ["a", "b"], "left_anti"), components(nearest)))
+    others = verified(further, rows, width, percent)
+    links = materialise(nearest.unionByName(others))
     joined = components(links)
+    discard(nearest, others, further, near)
 
     members = shared.select("key", F.explode(F.array("leader", "row")).alias("row")).distinct()
     rooted = members.join(joined.select(F.col("node").alias("row"), "root"), "row", "left").select(
@@ -392,8 +431,10 @@ def jaccard_components(
     members = materialise(rooted.join(open_keys, "key"))
     met = tree_pairs(members.join(points, "row"), percent)
     rest = materialise(met.join(stars, ["a", "b"], "left_anti"))
+    discard(shared, members)
     more = verified(rest, rows, width, percent)
     final = components(links.unionByName(more))
+    discard(rest, more, links)
 
     # A copy follows the document that stands for its class.
     own = base.select("row", "n").dropDuplicates(["row"]).join(copies, "row", "left")
