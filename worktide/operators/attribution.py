@@ -178,19 +178,28 @@ def work_facts(
 ) -> DataFrame:
     """Counted work per slot: session, local day, owner's directory and setting.
 
-    Spans outside [start, end) are cut off before anything is shuffled.
+    Spans outside [start, end) are cut off before anything is shuffled, and so are the marks
+    that size bins and the contexts of turns that are not in view.
     """
     pieces = turn_pieces(turns, coverage)
+    marks = work_marks(turns, waits, coverage, contexts)
+    if start is not None:
+        marks = marks.where(F.col("at") >= start)
+    if end is not None:
+        marks = marks.where(F.col("at") < end)
     if contexts is None:
         pieces = pieces.withColumn("owner", owner_of())
     else:
         in_view = turns if end is None else turns.where(F.col("start") < end)
         if start is not None:
             in_view = in_view.where(F.col("end").isNull() | (F.col("end") > start))
+        if start is not None or end is not None:
+            # A context of a turn in view counts whenever it was set.
+            contexts = contexts.join(
+                in_view.select("session_id", F.col("id").alias("turn_id")), ["session_id", "turn_id"], "left_semi")
         pieces = modelled_pieces(
             clip(pieces, start, end), context_timeline(in_view, contexts, collapse=False)
         ).withColumn("owner", owner_of("model_id", "reasoning_level"))
-    marks = work_marks(turns, waits, coverage, contexts)
     slots = owned_slots(clip(pieces, start, end), clip(waits, start, end), tz, marks=marks)
     base = ["session_id", "day", "start", "end", "micros", F.col("owner.cwd").alias("cwd")]
     if contexts is None:

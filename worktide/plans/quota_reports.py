@@ -51,7 +51,9 @@ def _in_rows(windows: DataFrame, pairs: DataFrame, labels: list[str]) -> DataFra
     return covered_time(spans, here, list(ROW), labels)
 
 
-def match_work(ev: Evidence, period: Period, pairs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def match_work(
+    ev: Evidence, period: Period, pairs: DataFrame, facts: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(times, work, flags): shared time of candidate pairs with root work, and its evidence.
 
     `times` has each pair's time, `work` that of each row by model and level, `flags` the row's
@@ -59,7 +61,7 @@ def match_work(ev: Evidence, period: Period, pairs: DataFrame) -> tuple[DataFram
     """
     own = ev.sessions.select(F.col("id").alias("session_id"), F.col("quality").alias("own"))
     facts = materialise(
-        root_work(ev, period.tz, period.start, period.end, models=True)
+        root_work(ev, period.tz, period.start, period.end, models=True, facts=facts)
         .join(own, "session_id", "left")
         .select(
             "day", "start", "end", "model_id", "reasoning_level",
@@ -109,6 +111,7 @@ def burn_report(
     limit_id: str,
     window_minutes: int = 10080,
     max_gap_seconds: int = 600,
+    facts: DataFrame | None = None,
 ) -> BurnReport:
     selected = quota_select(ev.quota, limit_id, window_minutes, period.end)
     cohorts = materialise(reset_cohorts(selected))
@@ -118,7 +121,7 @@ def burn_report(
     pairs = materialise(
         classify_pairs(judged, period.start, period.end, period.tz, max_gap_seconds)
     )
-    times, work, flags = match_work(ev, period, pairs)
+    times, work, flags = match_work(ev, period, pairs, facts)
     settled = materialise(
         pairs.join(times, [*ROW, "at"], "left").withColumn(
             "kind",

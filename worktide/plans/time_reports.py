@@ -35,8 +35,9 @@ def root_work(
     models: bool = False,
     selected: DataFrame | None = None,
     cwd: str | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
-    """Work facts of the selected root sessions."""
+    """Work facts of the selected root sessions; out of `facts`, where these are laid out already."""
     chosen = roots_only(ev.sessions if selected is None else selected).select(
         F.col("id").alias("session_id")
     )
@@ -44,7 +45,7 @@ def root_work(
     def of_roots(df: DataFrame) -> DataFrame:
         return df.join(chosen, "session_id", "left_semi")
 
-    facts = work_facts(
+    facts = of_roots(facts) if facts is not None else work_facts(
         of_roots(ev.turns),
         of_roots(ev.waits),
         ev.coverage,
@@ -56,6 +57,16 @@ def root_work(
     return facts if cwd is None else facts.where(same_path(F.col("cwd"), cwd))
 
 
+def shared_facts(ev: Evidence, period: Period, *, models: bool = True) -> DataFrame:
+    """Work facts of all sessions in the period, children included, written for several reports.
+
+    A session's facts depend on itself alone, so each report takes those of its sessions.
+    """
+    return materialise(work_facts(
+        ev.turns, ev.waits, ev.coverage, period.tz, contexts=ev.contexts if models else None,
+        start=period.start, end=period.end))
+
+
 def history_report(
     ev: Evidence,
     tz: str,
@@ -139,6 +150,7 @@ def model_time_report(
     cwd: str | None = None,
     archive: str = "all",
     model_only: bool = False,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Working time per model and reasoning level, or per model, with Unknown kept.
 
@@ -147,7 +159,7 @@ def model_time_report(
     """
     selected = select_sessions(ev.sessions, ev.turns, cwd=cwd, archive=archive)
     facts = root_work(ev, period.tz, period.start, period.end, models=True, selected=selected,
-                      cwd=cwd)
+                      cwd=cwd, facts=facts)
     if model_only:
         facts = facts.withColumn("reasoning_level", F.lit(None).cast("string"))
     facts = materialise(facts)

@@ -15,7 +15,7 @@ from worktide.operators.hierarchy import root_sessions
 from worktide.operators.pricing import price_usage
 from worktide.operators.select import archive_filter, exclude_models, same_path
 from worktide.plans.period import Period
-from worktide.plans.time_reports import root_work, union_flags
+from worktide.plans.time_reports import root_work, shared_facts, union_flags
 from worktide.session import materialise
 
 KEYS = ("cwd", "root_id", "session_id", "model_id")
@@ -93,6 +93,7 @@ def token_cells(
     session_id: str | None = None,
     excluded_models: Iterable[str] = (),
     roots: DataFrame | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Additive facts per (directory, root, session, model), gaps included.
 
@@ -140,7 +141,7 @@ def token_cells(
         F.lit(False).alias("omitted"),
         F.lit(True).alias("attached"),
     )
-    gaps = coverage_gaps(ev, period, seen, roots, cwd=cwd, archive=archive, session_id=session_id)
+    gaps = coverage_gaps(ev, period, seen, roots, cwd=cwd, archive=archive, session_id=session_id, facts=facts)
     empty = {
         "model_id": F.lit(None).cast("string"),
         "observations": F.lit(0).cast("bigint"),
@@ -173,15 +174,17 @@ def coverage_gaps(
     cwd: str | None = None,
     archive: str = "all",
     session_id: str | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Recorded work of (session, directory) in the period without counted usage.
 
     `missing` rows have no usage at all, `omitted` ones only usage of excluded
     models. Children count here too: their work adds no time but its usage is due.
     """
-    facts = work_facts(
-        ev.turns, ev.waits, ev.coverage, period.tz, start=period.start, end=period.end
-    )
+    if facts is None:
+        facts = work_facts(
+            ev.turns, ev.waits, ev.coverage, period.tz, start=period.start, end=period.end
+        )
     worked = _included(
         _with_root(facts.select("session_id", "cwd").distinct(), roots, ev.sessions),
         cwd, archive, session_id,
@@ -308,10 +311,11 @@ def token_report(
     session_id: str | None = None,
     excluded_models: Iterable[str] = (),
     roots: DataFrame | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     cells = token_cells(
         ev, period, catalog, cwd=cwd, archive=archive, session_id=session_id,
-        excluded_models=excluded_models, roots=roots,
+        excluded_models=excluded_models, roots=roots, facts=facts,
     )
     return token_rollup(materialise(cells), rate)
 
@@ -327,19 +331,22 @@ def projects_report(
     session_id: str | None = None,
     excluded_models: Iterable[str] = (),
     roots: DataFrame | None = None,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Working time and usage by directory and root session; either side may be alone."""
     chosen = ev.sessions.where(archive_filter(F.col("archived"), archive))
     if session_id is not None:
         chosen = chosen.where(F.col("id") == session_id)
-    facts = root_work(ev, period.tz, period.start, period.end, selected=chosen, cwd=cwd)
-    time = facts.groupBy("cwd", F.col("session_id").alias("root_id")).agg(
+    # Once for both: time counts roots, gaps in usage count children too.
+    facts = shared_facts(ev, period, models=False) if facts is None else facts
+    work = root_work(ev, period.tz, period.start, period.end, selected=chosen, cwd=cwd, facts=facts)
+    time = work.groupBy("cwd", F.col("session_id").alias("root_id")).agg(
         F.sum("micros").alias("micros"), union_flags("quality").alias("work_quality")
     )
     tokens = materialise(
         token_report(
             ev, period, catalog, rate=rate, cwd=cwd, archive=archive, session_id=session_id,
-            excluded_models=excluded_models, roots=roots,
+            excluded_models=excluded_models, roots=roots, facts=facts,
         ).where(F.col("level").isin("session", "directory"))
     )
     named = ev.sessions.select(
