@@ -331,6 +331,23 @@ def test_one_of_each_keeps_columns(spark):
     assert one_of_each(docs_of(spark, [])).collect() == []
 
 
+def test_fine_bounds_hold_and_tell_long_sets_apart():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 500, 512, 513, 900, 5000, 40_000):
+        pool = np.unique(rng.integers(0, 2**63, 2 * n + 10).astype(np.uint64))
+        rng.shuffle(pool)
+        for shared in (0, n // 2, n * 9 // 10, n):
+            a, b = pool[:n], np.concatenate((pool[:shared], pool[n : n + (n - shared)]))
+            bound = jaccard.fine_overlap(len(a), jaccard.fine_vector(a), len(b), jaccard.fine_vector(b))
+            assert shared <= bound <= n
+            if n > 512 and not shared:
+                assert bound < 0.85 * n
+    # Sets of other sizes are compared over the groups of the smaller one.
+    a, b = pool[:1000], pool[:1100]
+    assert jaccard.fine_groups(1000) != jaccard.fine_groups(1100)
+    assert jaccard.fine_overlap(1000, jaccard.fine_vector(a), 1100, jaccard.fine_vector(b)) == 1000
+
+
 def test_group_keys_lose_no_pair():
     rng, rule = np.random.default_rng(5), jaccard.Rule(80)
     for _ in range(400):

@@ -16,8 +16,8 @@ pair, and a group is some nine shingles, so unrelated documents hardly meet.
    smallest it meets anywhere, then what is not joined yet. Their links already join most
    families, and there are at most as many as (key, class) rows.
 3. Where a key still holds several components (one key of those with the same members), the R-tree search runs over its
-   members, in blocks, for pairs from different components only. What passes the bound
-   is compared. Afterwards no unlinked pair of different components is left to test.
+   members, in blocks, for pairs from different components only. What passes the bound,
+   and that by counts of finer groups, is compared. Afterwards no unlinked pair of different components is left to test.
 
 Scale: everything is shuffled by key or id. Equal sets are keyed once per task. The rows of
 a key are sorted and streamed in step 2, and cut into pairs of blocks in step 3; a set has
@@ -135,6 +135,35 @@ def count_vector(tokens: np.ndarray) -> bytes:
     return counts.astype(np.uint16 if counts.max() < 2**16 else np.int32).tobytes()
 
 
+def fine_groups(n: int) -> int:
+    """Groups for a set of n shingles: a power of two, of 4 to 8 shingles each."""
+    return max(DIMENSIONS, 1 << max(0, (n - 1).bit_length() - 3))
+
+
+def fine_vector(tokens: np.ndarray) -> bytes:
+    """Counts of as many groups as the set needs to tell it from others; empty where DIMENSIONS are enough."""
+    groups = fine_groups(len(tokens))
+    if groups == DIMENSIONS:
+        return b""
+    counts = np.bincount((tokens & U64(groups - 1)).astype(np.int64), minlength=groups)
+    return counts.astype(next(k for k in (np.uint8, np.uint16, np.int32) if counts.max() <= np.iinfo(k).max)).tobytes()
+
+
+def fine_counts(n: int, held: bytes) -> np.ndarray:
+    groups = fine_groups(n)
+    kind = {1: np.uint8, 2: np.uint16, 4: np.int32}[len(held) // groups]
+    return np.frombuffer(held, dtype=kind).astype(np.int64)
+
+
+def fine_overlap(na: int, a: bytes, nb: int, b: bytes) -> int:
+    """The bound of the overlap of two sets by summed minima, over the groups of the one with fewer."""
+    if not a or not b:
+        return min(na, nb)
+    one, two = sorted((fine_counts(na, a), fine_counts(nb, b)), key=len)
+    # Group numbers are the low bits, so groups fold by adding up.
+    return int(np.minimum(one, two.reshape(-1, len(one)).sum(axis=0)).sum())
+
+
 def points_of(counts: list[bytes]) -> np.ndarray:
     kinds = {DIMENSIONS * 2: np.uint16, DIMENSIONS * 4: np.int32}
     if {len(c) for c in counts} == {DIMENSIONS * 2}:
@@ -150,7 +179,7 @@ def set_hash(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def profiles(rows: DataFrame, kind: str, width: int) -> DataFrame:
-    """(row, n, h1, h2, counts): size, 128-bit hash and point of each set."""
+    """(row, n, h1, h2, counts, fine): size, 128-bit hash, point and finer counts of each set."""
 
     def run(batches):
         hashes = WordHashes()
@@ -158,9 +187,10 @@ def profiles(rows: DataFrame, kind: str, width: int) -> DataFrame:
             sets = [shingle_set(t, width, hashes) for t in batch["text"]]
             marks = [set_hash(s) for s in sets]
             yield {"row": batch["row"], "n": [len(s) for s in sets], "h1": [m[0] for m in marks],
-                   "h2": [m[1] for m in marks], "counts": [count_vector(s) for s in sets]}
+                   "h2": [m[1] for m in marks], "counts": [count_vector(s) for s in sets],
+                   "fine": [fine_vector(s) for s in sets]}
 
-    return map_rows(rows, run, f"row {kind}, n bigint, h1 bigint, h2 bigint, counts binary")
+    return map_rows(rows, run, f"row {kind}, n bigint, h1 bigint, h2 bigint, counts binary, fine binary")
 
 
 def keys_of(rows: DataFrame, kind: str, width: int, percent: int) -> DataFrame:
@@ -251,6 +281,27 @@ def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return map_rows(sized, run, f"a {kind}, b {kind}")
 
 
+def finely_bounded(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """Of pairs that passed `bounded`, those that also pass with groups of a few shingles each.
+
+    Sets of thousands of shingles fill DIMENSIONS groups so evenly that any two of a size pass;
+    their finer counts, a sixteenth of a set, go along with these few pairs only.
+    """
+    one = fine.select(F.col("row").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa"))
+    two = fine.select(F.col("row").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb"))
+
+    def run(batches):
+        rule = Rule(percent)
+        for batch in batches:
+            rows = list(zip(*(batch[c] for c in ("a", "b", "na", "fa", "nb", "fb")), strict=True))
+            keep = [(a, b) for a, b, na, fa, nb, fb in rows
+                    if fine_overlap(na, fa, nb, fb) >= rule.need(np.int64(na), np.int64(nb))]
+            yield _pair_columns(set(keep))
+
+    kind = dict(pairs.dtypes)["a"]
+    return map_rows(pairs.join(two, "b").join(one, "a"), run, f"a {kind}, b {kind}").distinct()
+
+
 def verified(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Written pairs (a, b) that are links, by comparing their whole shingle sets.
 
@@ -394,6 +445,7 @@ def jaccard_components(
     nameless = every.filter(F.col("row").isNull()).select("row", "n", F.col("row").alias("root"))
     base = every.filter(F.col("row").isNotNull())
     points = base.select("row", "n", "counts").dropDuplicates(["row"])
+    fine = base.select("row", "n", "fine").dropDuplicates(["row"])
 
     classes = base.filter("n > 0").groupBy("h1", "h2").agg(
         F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -410,7 +462,7 @@ def jaccard_components(
     shared = materialise(standing(standing(shared, "leader"), "row"))
     stars = shared.filter(F.col("row") != F.col("leader")).select(
         F.least("leader", "row").alias("a"), F.greatest("leader", "row").alias("b")).distinct()
-    near = materialise(bounded(stars, points, percent))
+    near = materialise(finely_bounded(bounded(stars, points, percent), fine, percent))
     # Every row with the smallest it may link with joins most families; few other pairs are open then.
     least = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     nearest = verified(least, rows, width, percent)
@@ -430,7 +482,7 @@ def jaccard_components(
         "low < high").groupBy("x1", "x2", "size").agg(F.min("key").alias("key")).select("key")
     members = materialise(rooted.join(open_keys, "key"))
     met = tree_pairs(members.join(points, "row"), percent)
-    rest = materialise(met.join(stars, ["a", "b"], "left_anti"))
+    rest = materialise(finely_bounded(met.join(stars, ["a", "b"], "left_anti"), fine, percent))
     discard(shared, members)
     more = verified(rest, rows, width, percent)
     final = components(links.unionByName(more))
