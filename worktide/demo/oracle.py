@@ -1143,13 +1143,6 @@ STATEMENTS.update({
                      AND (t.e IS NULL OR g.at_us < t.e)) AND NOT list_contains(quality, 'observation_gap')
                THEN list_append(quality, 'observation_gap') ELSE quality END, ',') AS quality
         FROM turns t""",
-    "overview": """
-        SELECT 'allowance' AS part, CAST(sum(micros) AS BIGINT) AS value FROM burn
-        UNION ALL SELECT 'tokens', total_tokens FROM rollup WHERE level = 'total'
-        UNION ALL SELECT 'model', CAST(sum(micros) AS BIGINT) FROM root_daily
-        WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'
-        UNION ALL SELECT 'reasoning', count(*) FROM (SELECT DISTINCT model_id, reasoning_level
-            FROM root_daily WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-14')""",
 })
 
 
@@ -1228,6 +1221,29 @@ STATEMENTS["rolling_resets"] = """
     whole AS (SELECT stream, a FROM f QUALIFY k = max(k) OVER (PARTITION BY stream))
     SELECT v.stream, r AS resets_at, list_filter(a, lambda x: abs(x - r) <= 10)[1] AS cohort
     FROM v JOIN whole USING (stream)"""
+
+
+def _about(*columns: str) -> str:
+    return " || '|' || ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in columns)
+
+
+def _inside(name: str) -> str:
+    return f"SELECT * FROM ({STATEMENTS[name]})"
+
+
+STATEMENTS["overview"] = f"""
+    WITH o_burn AS ({_inside("burn_rows")}), o_mix AS ({_inside("burn_mix")}),
+    o_latest AS ({_inside("latest_reading")}), o_models AS ({_inside("model_only_rollup")}),
+    o_levels AS ({_inside("model_time_report")})
+    SELECT 'allowance' AS part, {_about("day", "resets_at")} AS about, micros AS value,
+           CAST(matched_points AS DOUBLE) AS amount FROM o_burn
+    UNION ALL SELECT 'mix', {_about("day", "resets_at", "model_id", "reasoning_level")}, micros, percentage FROM o_mix
+    UNION ALL SELECT 'latest', {_about("at_us", "resets_at")}, CAST(used_percent AS BIGINT), remaining_percent FROM o_latest
+    UNION ALL SELECT 'token_usage', {_about("level", "cwd", "root_id", "child_id", "model_id", "status")},
+                     total_tokens, CAST(priced_tokens AS DOUBLE) FROM rollup
+    UNION ALL SELECT 'model_totals', {_about("rank", "model_id", "session_count")}, micros, percentage FROM o_models
+    UNION ALL SELECT 'reasoning', {_about("rank", "model_id", "reasoning_level", "session_count")}, micros, percentage
+    FROM o_levels"""
 # The logs end as they are read at once, however they grew.
 STATEMENTS["incremental_ingest"] = STATEMENTS["read_rollouts"]
 

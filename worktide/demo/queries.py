@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import UTC, date, datetime
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -669,18 +670,24 @@ def gap_events(ev: Evidence) -> DataFrame:
 
 @session_query
 def overview(spark: SparkSession, ev: Evidence) -> DataFrame:
-    """Heads of the parts of one overview, as one table."""
+    """All parts of one overview as one table: what a row is about, its time or tokens, and its share."""
     parts = build_overview(
         ev, demo.catalog(spark), tz=demo.TZ, limit_id=demo.LIMIT, period="week",
         selected=date(2024, 1, 10), window_minutes=demo.WINDOW_MINUTES,
         max_gap_seconds=demo.MAX_GAP_SECONDS, excluded_models=EXCLUDED)
-    heads = {
-        "allowance": parts["allowance"].agg(F.sum("micros").alias("value")),
-        "tokens": parts["token_usage"].where("level = 'total'").select(
-            F.col("total_tokens").alias("value")),
-        "model": parts["model_totals"].agg(F.sum("micros").alias("value")),
-        "reasoning": parts["reasoning"].agg(F.count("*").alias("value")),
+    columns = {
+        "allowance": (("day", "resets_at"), "micros", "matched_points"),
+        "mix": (("day", "resets_at", "model_id", "reasoning_level"), "micros", "percentage"),
+        "latest": (("at", "resets_at"), "used_percent", "remaining_percent"),
+        "token_usage": (("level", "cwd", "root_id", "child_id", "model_id", "status"), "total_tokens", "priced_tokens"),
+        "model_totals": (("rank", "model_id", "session_count"), "micros", "percentage"),
+        "reasoning": (("rank", "model_id", "reasoning_level", "session_count"), "micros", "percentage"),
     }
-    rows = [df.select(F.lit(n).alias("part"), F.col("value").cast("bigint").alias("value"))
-            for n, df in heads.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    rows = []
+    for part, (keys, value, amount) in columns.items():
+        at = F.unix_micros("at") if part == "latest" else None
+        texts = [F.coalesce((at if k == "at" else F.col(k)).cast("string"), F.lit("-")) for k in keys]
+        rows.append(parts[part].select(
+            F.lit(part).alias("part"), F.concat_ws("|", *texts).alias("about"),
+            F.col(value).cast("bigint").alias("value"), F.col(amount).cast("double").alias("amount")))
+    return reduce(DataFrame.unionByName, rows)
