@@ -1246,6 +1246,7 @@ STATEMENTS["overview"] = f"""
     FROM o_levels"""
 # The logs end as they are read at once, however they grew.
 STATEMENTS["incremental_ingest"] = STATEMENTS["read_rollouts"]
+STATEMENTS["maintained_usage"] = STATEMENTS["usage_attribution"]
 
 
 def oracle_sql() -> dict[str, str]:

@@ -545,10 +545,7 @@ def diagnostics_distinct(raw: DataFrame) -> DataFrame:
     return normalize.diagnostics_of(normalize.annotate(raw)).select("reason", "occurrences")
 
 
-@log_query
-def usage_attribution(raw: DataFrame) -> DataFrame:
-    lines = normalize.usage_lines(normalize.annotate(raw))
-    rows = usage.usage_from_lines(lines)
+def _attributed(rows: DataFrame) -> DataFrame:
     return rows.select("session_id", "at", "cwd", "model_id", "turn_id",
                        F.col("delta.input_tokens").alias("input_tokens"),
                        F.col("delta.total_tokens").alias("total_tokens"),
@@ -556,6 +553,17 @@ def usage_attribution(raw: DataFrame) -> DataFrame:
                        F.array_sort("diagnostics").alias("diagnostics"))
 
 
+@log_query
+def usage_attribution(raw: DataFrame) -> DataFrame:
+    return _attributed(usage.usage_from_lines(normalize.usage_lines(normalize.annotate(raw))))
+
+
+@table_query
+def maintained_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As usage_attribution, kept up by a stream while the logs grew, were cut and rewritten."""
+    return _attributed(logs.maintained_usage(logs.log_lines(demo.events(spark, sf_dir))))
+
+
 # --- metadata, sinks, samples ----------------------------------------------------
 
 
