@@ -69,22 +69,30 @@ def share_label(percent: Column) -> Column:
     )
 
 
+#: Notes, in their order, and beginnings of the flags that call for them.
+NOTES = {
+    "waits are sampled": ("sampled_waits",),
+    "some work is estimated": ("historical_upper_bound",),
+    "recording gaps": ("observation_gap",),
+    "unfinished work": ("unfinished_observed_only", "unfinished"),
+}
+OTHER_NOTE = "some recording evidence is uncertain"
+
+
 def quality_note(quality: Column) -> Column:
-    has = lambda flag: F.array_contains(quality, flag)
-    notes = F.array_compact(
-        F.array(
-            F.when(F.exists(quality, lambda q: q.startswith("sampled_waits")),
-                   F.lit("waits are sampled")),
-            F.when(has("historical_upper_bound"), F.lit("some work is estimated")),
-            F.when(has("observation_gap"), F.lit("recording gaps")),
-            F.when(has("unfinished_observed_only") | has("unfinished"), F.lit("unfinished work")),
-        )
-    )
-    text = F.when(F.size(notes) == 0, "some recording evidence is uncertain").otherwise(
-        F.array_join(notes, "; ")
-    )
+    """One sentence for the flags of a row; nothing where there are none."""
+    table = F.array(*[F.struct(F.lit(note).alias("note"), F.array(*map(F.lit, flags)).alias("flags"))
+                      for note, flags in NOTES.items()])
+
+    def called(row: Column) -> Column:
+        # Only the first of them stands for a family of flags, the others are whole.
+        family = row["note"] == next(iter(NOTES))
+        return F.exists(quality, lambda q: F.array_contains(row["flags"], q) | (family & q.startswith(row["flags"][0])))
+
+    notes = F.transform(F.filter(table, called), lambda row: row["note"])
+    text = F.array_join(F.when(F.size(notes) > 0, notes).otherwise(F.array(F.lit(OTHER_NOTE))), "; ")
     sentence = F.concat(F.upper(F.left(text, F.lit(1))), F.right(text, F.length(text) - 1), F.lit("."))
-    return F.when(F.size(quality) == 0, "").otherwise(sentence)
+    return F.when(F.size(quality) > 0, sentence).otherwise("")
 
 
 def diagnostic_note(count: Column) -> Column:
