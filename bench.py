@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = ["history_report", "model_time_report", "session_list", "session_status",
-            "token_rollup", "projects_report", "burn_rows"]
+            "token_rollup", "projects_report", "burn_rows", "overview"]
 
 
 def main() -> None:
