@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 
@@ -191,6 +192,43 @@ def test_licences_found_confirmed_and_unknown(spark):
     assert licences.train(docs_of(spark, []), labelled=labelled).bound == 0.5
 
 
+def test_every_family_is_told_and_scores_are_the_regressions(spark):
+    """Scores against a plain regression over every paragraph, without the search for pivot words."""
+    rng = random.Random(4)
+    common = "the of a and this in public free work person version terms light evening under is with".split()
+    plain = ["\n".join(" ".join(rng.choice(common) for _ in range(rng.randint(1, 40))) for _ in range(5)) for _ in range(120)]
+    notices = [(family, text) for family in licences.NAMES for text in licences.texts_of(family) if " " in text]
+    odd = ["licence", "", "MIT License", "see the GNU\tGeneral--Public LICENSE", "\u00e9t\u00e9 public license"]
+    long = " ".join(rng.choice(common) for _ in range(20_000))
+    quoted = long + ". Licensed under the Mozilla Public License 2.0. " + long
+    texts = [*plain, *[t for _, t in notices], *odd, long, quoted]
+    docs = docs_of(spark, list(enumerate(texts))).withColumn("grams", F.lit("x")).withColumn("words", F.lit(1))
+    labelled = spark.createDataFrame([(i,) for i in range(0, 120, 2)], "doc_id bigint")
+    model = licences.train(docs, labelled=labelled, sample_docs=30)
+    weights, bias = model.regression.coefficientMatrix.toArray(), model.regression.interceptVector.toArray()
+    place = {g: i for i, g in enumerate(model.vocabulary.vocabulary)}
+    wanted = {}
+    for number, text in enumerate(texts):
+        for at, line in enumerate(text.split("\n")):
+            cut = re.findall(r"[a-z0-9\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), line))
+            have = {" ".join(cut[i:i + n]) for n in (2, 3) for i in range(len(cut) - n + 1)} & set(place)
+            logits = bias + weights[:, [place[g] for g in sorted(have)]].sum(axis=1)
+            shares = [math.exp(x - max(logits)) for x in logits]
+            best = shares.index(max(shares))
+            if best:
+                wanted[number, at] = (licences.FAMILIES[best], max(shares) / sum(shares))
+    got = {(r.row, r.at): (r.family, r.p) for r in licences.candidates(docs, model).collect()}
+    assert set(got) == set(wanted)
+    assert all(got[k][0] == wanted[k][0] and abs(got[k][1] - wanted[k][1]) < 1e-9 for k in got)
+    families = {r.doc_id: r.families for r in licences.document_licences(docs, model).collect()}
+    told = [(family, text, families[120 + i]) for i, (family, text) in enumerate(notices)]
+    assert [x for x in told if x[2] != [x[0]]] == []
+    assert all(families[i] == ["unknown"] for i in range(120))
+    at = 120 + len(notices)
+    assert [families[i] for i in range(at, at + 7)] == [
+        ["unknown"], ["unknown"], ["mit"], ["gpl"], ["unknown"], ["unknown"], ["mpl"]]
+
+
 def test_html_layout():
     page = """<!DOCTYPE html><head><title>no</title><script>var t="</p>";</script><body><h1>Head  line</h1>
     <p>one <b>two</b>\n three<p>four<br>five<div hidden>no</div><ul><li>a<li>b<ul><li>c</ul><li>d</ul>

@@ -7,15 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from worktide.llm import merkle, repair, toxicity
+from worktide.llm import licences, merkle, repair, toxicity
 from worktide.llm.chat import preference_pairs
 from worktide.llm.decontaminate import find_passages
 from worktide.llm.frames import ascii_lower
 from worktide.llm.html import extract
 from worktide.llm.jaccard import jaccard_components
 from worktide.llm.kneser_ney import classify
-from worktide.llm.licences import document_licences
-from worktide.llm.licences import train as train_licences
 from worktide.llm.line_dedup import line_dedup
 from worktide.llm.neighbours import nearest
 from worktide.llm.pieces import decode, encode
@@ -135,8 +133,11 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = train_licences(docs, labelled=table(spark, sf_dir, "labels"))
-    return document_licences(docs, model).select(
+    labelled = table(spark, sf_dir, "labels")
+    model = licences.fit(docs, labelled=labelled)
+    found = licences.candidates(docs, model)
+    model = licences.calibrate(model, found, docs, labelled=labelled)
+    return licences.document_licences(docs, model, found=found).select(
         "doc_id", "n_paragraphs", F.array_join("families", ",").alias("families"))
 
 
