@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from worktide.llm import licences
 from worktide.llm.chat import preference_pairs
 from worktide.llm.decontaminate import Search, find_passages, without_passages, words_of
-from worktide.llm.html import extract, visible_text
+from worktide.llm.html import extract, placed, visible_text
 from worktide.llm.line_dedup import line_dedup
 from worktide.llm.secrets import base_spans, labelled_samples, score, secret_spans, train
 
@@ -238,6 +238,70 @@ def test_html_layout():
                                   "Name | N\nabc  | 1\nwide |\n\n k\n  l\n\nend & fin")
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p style='visibility:hidden'>no <b style='VISIBILITY: visible'>yes</b> no", "yes"),
+    ("<i style='display:none;display:inline'>a</i><i style='display:none !important;display:inline'>b</i>", "a"),
+    ("<i style='content-visibility:hidden'>a</i><i hidden style='visibility:visible'>b</i>c", "c"),
+    ("say <textarea>\n a\n  b</textarea> so", "say\n a\n  b\nso"),
+    ("<p>pick <select><optgroup label=x><option>one<option selected>two</optgroup></select> now", "pick\none\ntwo\nnow"),
+    ("x<svg><title>t</title>raw<defs><text>no</text></defs><text>in<tspan>side</tspan></text><foreignObject><p>far</p>"
+     "</foreignObject></svg>y", "x inside\n\nfar\n\ny"),
+    ("<math><mfrac><mi>a</mi><mi>b</mi></mfrac><mo>+</mo><mn>1</mn><annotation>tex</annotation></math>", "a b +1"),
+    ("<ol><li>a<li value=5>b<li>c<li value=x>d<li value=-2>e</ol>", "1. a\n5. b\n6. c\n7. d\n-2. e"),
+    ("<ol start=\u00b2><li>a</ol>", "1. a"),
+    ("<details>no<summary>head</summary><p>body</details><details open><summary>two</summary>in</details>", "head\ntwo\nin"),
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A | B\n  | C"),
+    ("<table><tr><td>\u6f22\u5b57<td>x<tr><td>abc<td>y</table>", "\u6f22\u5b57 | x\nabc  | y"),
+    ("<table><tr><td colspan=9999999999999>wide<tr><td>a<td>b</table>", "wide |\na    | b"),
+    ("<table><tr><td>a<tr style='visibility:collapse'><td>b<tr><td>c</table>", "a\nc"),
+    ("<pre>\nx\n y</pre>", "x\n y"),
+])
+def test_html_visibility_forms_and_spans(page, text):
+    assert visible_text(page) == text
+
+
+def test_html_tables_are_placed_as_in_a_full_grid():
+    rng = random.Random(8)
+    for _ in range(300):
+        rows = [[(f"{r}.{c}", rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 4])) for c in range(rng.randint(0, 4))]
+                for r in range(rng.randint(1, 6))]
+        taken, wanted = set(), []
+        for r, row in enumerate(rows):
+            at, cells = 0, {}
+            for text, wide, tall in row:
+                while (r, at) in taken:
+                    at += 1
+                cells[at] = text
+                taken |= {(r + y, at + x) for y in range(tall) for x in range(wide)}
+                at += wide
+            wanted.append(cells)
+        assert [cells for cells, _ in placed(rows)] == wanted
+
+
+def test_html_visibility_is_inherited_in_random_trees():
+    rng = random.Random(9)
+
+    def tree(depth, seen, shown):
+        """(page, visible words) of a random tree of spans."""
+        page, words = "", []
+        for _ in range(rng.randint(1, 4)):
+            if depth == 0 or rng.random() < 0.4:
+                word = f"w{rng.randint(0, 10**6)}"
+                page += f" {word} "
+                words += [word] if seen and shown else []
+            else:
+                style, s, d = rng.choice([("", seen, shown), ("visibility:hidden", False, shown), ("color:red", seen, shown),
+                                          ("color:red; Visibility : visible", True, shown), ("display:none", seen, False)])
+                inner, found = tree(depth - 1, s, d)
+                page += f'<span style="{style}">{inner}</span>'
+                words += found
+        return page, words
+
+    for _ in range(300):
+        page, words = tree(5, True, True)
+        assert visible_text(page).split() == words
+
+
 def test_html_rows_and_extremes(spark):
     deep = "<div>" * 30_000 + "deep" + "</b></p>"
     rows = [(1, None, "x"), (2, "", "x"), (3, deep, "x"), (None, "a<b", "x"), (4, "<td>lone</td></table></tr>", "x"), (4, "<td>lone</td></table></tr>", "x")]

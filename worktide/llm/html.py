@@ -1,21 +1,30 @@
 """HTML extraction by layout: all visible text, as a browser would set it.
 
 A tree is built with the usual implied end tags (a new `p`, `li`, `td` ... closes the one
-before). Elements that are never shown, or hidden by attribute or inline style, are left
-out with all they hold. The rest is laid out: white space collapses as in a browser, blocks
-start lines, paragraphs, headings, lists and tables stand apart by an empty line, list
-items are marked and indented, and the cells of a table are padded to columns.
+before). Elements that are never shown, or taken out by attribute or inline style, are left
+out with all they hold; of closed `details` only the summary is shown. `visibility` is
+inherited, so a visible child of a hidden parent shows. The rest is laid out: white space
+collapses as in a browser, blocks start lines, paragraphs, headings, lists and tables stand
+apart by an empty line, list items are marked and indented, and the cells of a table stand
+in the grid that `rowspan` and `colspan` give, padded by the width of their characters.
+Every option of a `select` is a line, text areas keep their lines, of drawings the `text`
+elements are shown, and of formulas all but annotations.
 
 Scale: a page is one row's work and no row moves. Nesting is walked with a stack of its
 own, so that depth is bounded by memory alone.
 
 Defined cases: null or empty pages give an empty text. Broken markup is closed at the end
-of the page. Repeated rows each come back.
+of the page. Very long and deeply nested pages are laid out whole. Spans are read as HTML
+has it: `colspan` ends at 1,000, `rowspan` at 65,534, and 0 reaches to the table's end.
+Numbers that are none count as absent. Table rows without visible text take no line.
+Repeated rows each come back.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
+from bisect import bisect_left
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -27,7 +36,8 @@ from worktide.llm.frames import map_rows, named
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = frozenset("head script style template noscript title meta link datalist iframe object audio video "
-                   "canvas svg math select textarea input button map".split()) - {"button"}
+                   "canvas input map annotation annotation-xml".split())
+UNDRAWN = frozenset("desc defs metadata symbol".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr fieldset".split())
 BLOCK = APART | frozenset("html body div section article aside header footer nav main address li dt dd form "
                           "details summary figcaption caption legend center dialog tr".split())
@@ -43,9 +53,13 @@ CLOSED_BY = {
     "tfoot": (frozenset({"thead", "tbody", "tfoot", "tr", "td", "th"}), frozenset({"table"})),
     "body": (frozenset({"head"}), frozenset({"html"})),
     "option": (frozenset({"option"}), frozenset({"select"})),
+    "optgroup": (frozenset({"option", "optgroup"}), frozenset({"select"})),
 }
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
+LINED = BLOCK | {"option", "optgroup", "textarea"}
+SPACED = frozenset("mfrac mtd mtr mroot".split())
 SPACE = re.compile(r"[ \t\n\r\f]+")
+WHOLE = re.compile(r"[ \t\n\r\f]*([+-]?[0-9]+)")
+WIDEST, TALLEST = 1_000, 65_534
 
 
 class Node:
@@ -54,11 +68,46 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str | None]):
         self.tag, self.attrs, self.children = tag, attrs, []
 
+    def style(self, name: str) -> str:
+        """Value of an inline property; of several the last one counts, or the last important one."""
+        value, rank = "", False
+        for part in (self.attrs.get("style") or "").split(";"):
+            of, _, given = part.partition(":")
+            if of.strip().lower() == name:
+                given, _, important = given.strip().lower().partition("!")
+                if bool(important) >= rank:
+                    value, rank = given.strip(), bool(important)
+        return value
+
     def shown(self) -> bool:
-        if self.tag in UNSEEN or "hidden" in self.attrs or HIDING.search(self.attrs.get("style") or ""):
+        if self.tag in UNSEEN or "hidden" in self.attrs:
+            return False
+        if "style" in self.attrs and (self.style("display") == "none" or self.style("content-visibility") == "hidden"):
             return False
         return not (self.tag == "dialog" and "open" not in self.attrs)
 
+    def visible(self, inherited: bool) -> bool:
+        value = self.style("visibility") if "style" in self.attrs else ""
+        return {"visible": True, "initial": True, "hidden": False, "collapse": False}.get(value, inherited)
+
+    def whole(self, name: str) -> int | None:
+        """Value of an attribute as HTML reads whole numbers; absurdly long ones end at a thousand million."""
+        found = WHOLE.match(self.attrs.get(name) or "")
+        if not found:
+            return None
+        sign, digits = (-1 if found[1][0] == "-" else 1), found[1].lstrip("+-0") or "0"
+        return sign * (int(digits) if len(digits) < 10 else 10**9)
+
+    def parts(self) -> list:
+        """Children that can show: of closed details the first summary, and no first break of kept text."""
+        if self.tag == "details" and "open" not in self.attrs:
+            return [c for c in self.children if isinstance(c, Node) and c.tag == "summary"][:1]
+        if self.tag in ("pre", "textarea") and self.children and isinstance(self.children[0], str):
+            return [self.children[0].removeprefix("\n"), *self.children[1:]]
+        if self.tag in ("mfrac", "mroot"):
+            return [x for c in self.children for x in (c, " ")]
+        return self.children
+
 
 class Builder(HTMLParser):
     """Tree of a page; text is a str among the children."""
@@ -160,22 +209,29 @@ def render(root: Node) -> str:
     flows, tables = [Flow()], []
     lists: list[list] = []
     keep = 0
-    stack: list[tuple] = [(root, True)]
+    # `seen` is inherited visibility; `drawn` is None outside drawings, and then whether text is drawn.
+    stack: list[tuple] = [(root, True, True, None)]
     while stack:
-        node, entering = stack.pop()
+        node, entering, seen, drawn = stack.pop()
         if isinstance(node, str):
-            flows[-1].text(node, keep > 0)
+            if seen and drawn is not False:
+                flows[-1].text(node, keep > 0)
             continue
         tag = node.tag
         if entering:
-            if not node.shown():
+            if not node.shown() or (drawn is not None and tag in UNDRAWN):
                 continue
+            seen = node.visible(seen)
+            if tag == "svg":
+                drawn = False
+            elif drawn is not None:
+                drawn = None if tag == "foreignobject" else drawn or tag == "text"
             if tag == "br":
                 flows[-1].words or flows[-1].lines.append("")
                 flows[-1].line()
                 continue
-            stack.append((node, False))
-            stack.extend((child, True) for child in reversed(node.children))
+            stack.append((node, False, seen, drawn))
+            stack.extend((child, True, seen, drawn) for child in reversed(node.parts()))
             if tag == "table":
                 flows[-1].gap()
                 tables.append([])
@@ -186,32 +242,36 @@ def render(root: Node) -> str:
             elif tag in ("ul", "ol"):
                 flow = flows[-1]
                 flow.line() if lists else flow.gap()
-                start = node.attrs.get("start") or "1"
+                start = node.whole("start")
                 # Items of an inner list stand under the text of the item around it.
                 inner = flow.indent + " " * len(flow.mark)
-                lists.append([tag, int(start) if start.isdigit() else 1, inner, flow.indent, len(flow.mark)])
+                lists.append([tag, 1 if start is None else start, inner, flow.indent, len(flow.mark)])
                 flow.indent, flow.mark = inner, ""
             elif tag == "li":
                 flow = flows[-1]
                 flow.line()
                 kind = lists[-1] if lists else ["ul", 1, flow.indent]
+                value = node.whole("value")
+                kind[1] = kind[1] if value is None else value
                 flow.indent, flow.mark = kind[2], "- " if kind[0] == "ul" else f"{kind[1]}. "
                 kind[1] += 1
             elif tag in APART:
                 flows[-1].gap() if not flows[-1].mark.strip() else flows[-1].line()
-            elif tag in BLOCK:
+            elif tag in LINED:
                 flows[-1].line()
-            keep += tag == "pre"
+            elif tag in SPACED or (tag == "text" and drawn):
+                flows[-1].text(" ", False)
+            keep += tag in ("pre", "textarea")
             continue
-        if tag == "pre":
+        if tag in ("pre", "textarea"):
             keep -= 1
             flows[-1].words and flows[-1].end(keep=True)
         if tag in ("td", "th") and tables:
             cell = flows.pop().done()
             tables[-1] or tables[-1].append([])
-            tables[-1][-1].append(cell)
-            span = node.attrs.get("colspan") or "1"
-            tables[-1][-1].extend([""] * (min(int(span), 100) - 1 if span.isdigit() and int(span) > 1 else 0))
+            wide, tall = node.whole("colspan") or 1, node.whole("rowspan")
+            tall = 1 if tall is None or tall < 0 else tall
+            tables[-1][-1].append((cell, min(wide, WIDEST) if wide > 0 else 1, min(tall or TALLEST, TALLEST)))
         elif tag == "table" and tables:
             flows[-1].line()
             flows[-1].lines += [flows[-1].indent + x for x in aligned(tables.pop())]
@@ -226,24 +286,59 @@ def render(root: Node) -> str:
             flows[-1].mark = ""
         elif tag in APART:
             flows[-1].gap()
-        elif tag in BLOCK:
+        elif tag in LINED:
             flows[-1].line()
+        elif tag in SPACED or (tag == "text" and drawn):
+            flows[-1].text(" ", False)
     return flows[0].done()
 
 
-def aligned(rows: list[list[str]]) -> list[str]:
-    """Lines of a table whose columns are padded; a cell of several lines takes as many."""
-    rows = [[cell.split("\n") for cell in row] for row in rows if row]
-    widths: list[int] = []
-    for row in rows:
-        for at, cell in enumerate(row):
-            widths += [0] * (at + 1 - len(widths))
-            widths[at] = max(widths[at], *map(len, cell))
+def width(text: str) -> int:
+    """Columns of a text: wide characters take two, marks on others none."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def placed(rows: list[list[tuple[str, int, int]]]) -> list[tuple[dict[int, str], int]]:
+    """Rows as ({column: text}, columns in use): a cell takes the first column free of those reaching down from above."""
+    out: list[tuple[dict[int, str], int]] = []
+    above: list[tuple[int, int, int]] = []  # (first column, column behind, row behind) in order of columns
+    for number, row in enumerate(rows):
+        above = [span for span in above if span[2] > number]
+        at, next_span, cells, down = 0, 0, {}, []
+        for cell, wide, tall in row:
+            while next_span < len(above) and above[next_span][0] <= at:
+                at = max(at, above[next_span][1])
+                next_span += 1
+            cells[at] = cell
+            if tall > 1:
+                down.append((at, at + wide, number + tall))
+            at += wide
+        out.append((cells, max([at, *[span[1] for span in above]])))
+        above = sorted(above + down)
+    return out
+
+
+def aligned(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of a table whose columns are padded; a cell of several lines takes as many.
+
+    Columns in which no cell begins have no width of their own and are left out.
+    """
+    grid = [({at: cell.split("\n") for at, cell in row.items()}, end) for row, end in placed(rows)]
+    widths: dict[int, int] = {}
+    for row, _ in grid:
+        for at, cell in row.items():
+            widths[at] = max(widths.get(at, 0), *map(width, cell))
+    columns = sorted(widths)
     lines = []
-    for row in rows:
-        for at in range(max(map(len, row))):
-            cells = [(cell[at] if at < len(cell) else "").ljust(w) for cell, w in zip(row, widths, strict=False)]
-            lines.append(" | ".join(cells).rstrip())
+    for row, end in grid:
+        if not any(part for cell in row.values() for part in cell):
+            continue
+        used = columns[: bisect_left(columns, end)]
+        for number in range(max(map(len, row.values()))):
+            texts = [row[at][number] if at in row and number < len(row[at]) else "" for at in used]
+            lines.append(" | ".join(t + " " * (widths[at] - width(t)) for t, at in zip(texts, used, strict=True)).rstrip())
     return lines
 
 
