@@ -212,6 +212,39 @@ def test_long_tails_are_drawn_like_short_ones(monkeypatch):
         assert abs(pairs[path] / runs - p) < 5 * math.sqrt(p * (1 - p) / runs) + 2e-3
 
 
+def test_later_paths_of_long_texts_are_drawn_without_replacement(monkeypatch):
+    text, runs = "on at", 12_000
+    exact = {path: math.exp(x) for path, x in all_paths(text).items()}
+    second = {e: sum(d * exact[e] / (1 - d) for path, d in exact.items() if path != e) for e in exact}
+    third = {e: sum(a * b / (1 - a) * exact[e] / (1 - a - b) for i, a in exact.items() for j, b in exact.items()
+                    if len({i, j, e}) == 3) for e in exact}
+    monkeypatch.setattr(pieces, "HEAD", 1)
+    monkeypatch.setattr(pieces, "SHORT", 1)
+    lattices, counts, weighted = pieces.Lattices(VOCABULARY), [Counter(), Counter(), Counter()], Counter()
+    for seed in range(runs):
+        rows = pieces.sample(lattices, [text], [seed * 40_503 + 7], 3)[0]
+        for number, (ids, log_p, inclusion) in enumerate(rows):
+            counts[number][tuple(ids.tolist())] += 1
+            weighted[tuple(ids.tolist())] += math.exp(log_p) / inclusion
+    for counted, wanted in zip(counts, (exact, second, third), strict=True):
+        assert sum(wanted.values()) == pytest.approx(1.0, abs=1e-4)
+        squares = sum((counted[e] - runs * p) ** 2 / (runs * p) for e, p in wanted.items() if runs * p >= 5)
+        cells = sum(runs * p >= 5 for p in wanted.values())
+        assert squares < cells + 5 * math.sqrt(2 * cells) + 5
+    assert sum(weighted.values()) / runs == pytest.approx(1.0, abs=0.02)
+
+
+@pytest.mark.parametrize("text", ["on at", "a b c", "the one"])
+def test_all_endings_come_once_when_more_are_asked_for(monkeypatch, text):
+    exact = all_paths(text)
+    monkeypatch.setattr(pieces, "HEAD", 1)
+    monkeypatch.setattr(pieces, "SHORT", 1)
+    rows = pieces.sample(pieces.Lattices(VOCABULARY), [text], [11], len(exact) + 3)[0]
+    assert sorted(tuple(ids.tolist()) for ids, _, _ in rows) == sorted(exact)
+    assert all(inclusion == 1.0 and log_p == pytest.approx(exact[tuple(ids.tolist())], abs=1e-4)
+               for ids, log_p, inclusion in rows)
+
+
 def test_round_trip_and_repeatability(spark):
     rng = random.Random(7)
     odd = ["", None, " ", "  two  blanks ", "tab\tnew\nline\r\n", "▁ sign", "日本語 𝄞 \0 é", "x" * 3000, "word " * 20_000, "\n" * 200]
