@@ -102,6 +102,14 @@ def test_repair_is_the_cheapest_first_way(spark, block):
     assert got == want
 
 
+def test_a_row_without_a_role_stays_where_a_block_leaves_its_state():
+    """No system turn and no other one: keeping the row is free, and its block ends where it began."""
+    for state in (0, 1):
+        assert repair.repair([repair.NONE], state, {state: 0}, False) == (0, "K", state)
+        cut = repair.NONE + repair.FAULT * repair.TRUNCATED
+        assert repair.repair([cut, 0 + repair.OTHER], state, {state: 0}, False) == (4, "KD", state)
+
+
 def test_search_agrees_with_the_table_on_all_short_conversations():
     roles = {0: "system", 1: "user", 2: "assistant", 3: "tool", 4: ""}
     for codes in product([0, 1, 2, 3, 4, 9, 25, 26], repeat=4):

@@ -74,8 +74,10 @@ def repair(codes: list[int], state: int, rest: dict[int, int], last: bool) -> tu
     alone, ahead, clashes = [0] * (n + 1), [n] * (n + 2), [0] * (n + 2)
     all_go = set(rest) == {state} and state < 2  # these states are left for good
     for i in reversed(range(n)):
-        alone[i] = alone[i + 1] + (3 if must[i] or all_go else cut[i])
-        stays = not (must[i] or all_go or roles[i] == NONE)
+        # A row without a role leaves every state as it is, so it may stay there as well.
+        goes = must[i] or (all_go and roles[i] != NONE)
+        alone[i] = alone[i + 1] + (3 if goes else cut[i])
+        stays = not (goes or roles[i] == NONE)
         ahead[i] = i if stays else ahead[i + 1]
         clashes[i] = clashes[i + 1]
         follower = ahead[i + 1]
