@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pickle
 from datetime import UTC, date, datetime
 from decimal import Decimal
 
@@ -23,7 +24,7 @@ from worktide.sources.evidence import (
     read_usage_journal,
     upgrade_ledger_version,
 )
-from worktide.sources.growing import Position, advance, lines_of, newest_epoch, pieces_between, store_of
+from worktide.sources.growing import GrowingReader, Position, advance, lines_of, newest_epoch, pieces_between, store_of
 from worktide.sources.rollouts import parse_lines, read_lines, stream_rollouts
 from worktide.sources.sinks import append_quota, append_usage, consolidate, export, new_usage, write_daily_records
 from worktide.streaming.usage import dedupe_stream
@@ -197,6 +198,20 @@ def test_growth_over_changed_bytes_is_a_rewrite(tmp_path):
     assert look(Position(size=0, changed=log.stat().st_mtime_ns)) == Position(size=0, changed=log.stat().st_mtime_ns)
 
 
+def test_a_reader_keeps_the_positions_it_handed_out(tmp_path, monkeypatch):
+    """Their file is for a restart; tasks are sent none of them."""
+    (tmp_path / "home" / "sessions").mkdir(parents=True)
+    (tmp_path / "home" / "sessions" / "a.jsonl").write_text("one\ntwo\n")
+    reader = GrowingReader(str(tmp_path / "home"), str(tmp_path / "positions"), 1 << 20)
+    end = reader.latestOffset()
+    again = GrowingReader(str(tmp_path / "home"), str(tmp_path / "positions"), 1 << 20)
+    assert again._load(end["version"]) == reader._load(end["version"]) != {}
+    assert pickle.loads(pickle.dumps(reader)).held == {}
+    monkeypatch.setattr("worktide.sources.growing.json.loads", None)
+    assert [r[2:4] for p in reader.partitions({"version": 0}, end) for r in p.ranges] == [(0, 8)]
+    assert reader.latestOffset() == end
+
+
 def test_pieces_cover_every_line_once(tmp_path):
     log = tmp_path / "a.jsonl"
     lines = [b"x" * (k * 7 % 23) for k in range(200)]
