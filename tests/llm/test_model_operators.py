@@ -391,6 +391,14 @@ def test_group_keys_lose_no_pair():
             assert len(np.intersect1d(jaccard.group_keys(a, rule), jaccard.group_keys(b, rule)))
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_unrelated_sets_do_not_meet_by_empty_groups(percent):
+    rng, rule = np.random.default_rng(6), jaccard.Rule(percent)
+    sets = [rng.integers(0, 2**63, int(rng.integers(60, 1500))).astype(np.uint64) for _ in range(1500)]
+    _, met = np.unique(np.concatenate([jaccard.group_keys(s, rule) for s in sets]), return_counts=True)
+    assert (met[met > 1] ** 2).sum() < 1500
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(7, 7)]
     rng = random.Random(0)
