@@ -245,6 +245,33 @@ def test_all_endings_come_once_when_more_are_asked_for(monkeypatch, text):
                for ids, log_p, inclusion in rows)
 
 
+@pytest.mark.parametrize("text", ["there is more", "on é, 日本 𝄞", "x" * 70])
+def test_nodes_hold_an_arc_for_each_piece_and_no_more(monkeypatch, text):
+    weight = dict(zip(VOCABULARY.pieces, VOCABULARY.weight.tolist(), strict=True))
+    ids = dict(zip(VOCABULARY.pieces, VOCABULARY.ids.tolist(), strict=True))
+    monkeypatch.setattr(pieces, "NODES", 8)
+    lattices = pieces.Lattices(VOCABULARY)
+    for _ in range(2):
+        lattices.places(["gone", "soon"])
+        lattices.trim()
+        for segment, first, size in zip(cut := pieces.cut_up(text), *lattices.places(cut), strict=True):
+            held = segment[0] if isinstance(segment, tuple) else " " + segment
+            assert size == len(held)
+            total = [0.0]
+            for end in range(1, len(held) + 1):
+                want = {n: (ids[held[end - n : end]], weight[held[end - n : end]])
+                        for n in range(1, end + 1) if held[end - n : end] in weight}
+                raw = held[end - 1].encode()
+                want.setdefault(1, (VOCABULARY.bytes[raw[0]] if len(raw) == 1 else -1 - ord(held[end - 1]),
+                                    len(raw) * VOCABULARY.byte_weight))
+                logs = {n: total[end - n] + w for n, (_, w) in want.items()}
+                total.append(math.log(sum(map(math.exp, logs.values()))))
+                lengths, scores, found, shares = lattices.arcs(int(first) + end)
+                assert lengths == sorted(want) and found == [want[n][0] for n in lengths]
+                assert scores == pytest.approx([logs[n] - total[end] for n in lengths], abs=1e-4)
+                assert shares[:-1] == pytest.approx(np.cumsum(np.exp(scores))[:-1].tolist(), abs=1e-5)
+
+
 def test_round_trip_and_repeatability(spark):
     rng = random.Random(7)
     odd = ["", None, " ", "  two  blanks ", "tab\tnew\nline\r\n", "▁ sign", "日本語 𝄞 \0 é", "x" * 3000, "word " * 20_000, "\n" * 200]
