@@ -272,6 +272,84 @@ def test_nodes_hold_an_arc_for_each_piece_and_no_more(monkeypatch, text):
                 assert shares[:-1] == pytest.approx(np.cumsum(np.exp(scores))[:-1].tolist(), abs=1e-5)
 
 
+def every_path(text):
+    """log p of every segmentation of a text that is not cut anywhere, normalised."""
+    weight = dict(zip(VOCABULARY.pieces, VOCABULARY.weight.tolist(), strict=True))
+    ids = dict(zip(VOCABULARY.pieces, VOCABULARY.ids.tolist(), strict=True))
+    paths = [[((), 0.0)]]
+    held = " " + text
+    for end in range(1, len(held) + 1):
+        found = []
+        for n in range(1, min(end, 16) + 1):
+            piece = held[end - n : end]
+            if piece in weight:
+                arc = ((ids[piece],), weight[piece])
+            elif n == 1:
+                arc = (tuple(VOCABULARY.bytes[b] for b in piece.encode()), len(piece.encode()) * VOCABULARY.byte_weight)
+            else:
+                continue
+            found += [((*path, *arc[0]), w + arc[1]) for path, w in paths[end - n]]
+        paths.append(found)
+    top = max(w for _, w in paths[-1])
+    total = top + math.log(sum(math.exp(w - top) for _, w in paths[-1]))
+    return {path: w - total for path, w in paths[-1]}
+
+
+CUT = "\U0001F0A1" * 30 + "on at"  # the 31st and 32nd characters are a piece
+
+
+@pytest.mark.parametrize("text", [CUT, "a   b", "  a", " ", "a  ", "\U0001F0A1" * 40 + "a" + " " * 3])
+@pytest.mark.parametrize("head", [None, 1, 0])
+def test_pieces_cross_blanks_and_long_stretches(monkeypatch, text, head):
+    """Every segmentation is there, however long a stretch is and however it is searched."""
+    exact = every_path(text)
+    if head is not None:
+        monkeypatch.setattr(pieces, "HEAD", head)
+        monkeypatch.setattr(pieces, "SHORT", 0)
+    rows = pieces.sample(pieces.Lattices(VOCABULARY), [text], [11], len(exact) + 3)[0]
+    assert sorted(tuple(ids.tolist()) for ids, _, _ in rows) == sorted(exact)
+    assert all(inclusion == 1.0 and log_p == pytest.approx(exact[tuple(ids.tolist())], abs=1e-4)
+               for ids, log_p, inclusion in rows)
+    assert VOCABULARY.decode(rows[-1][0].tolist()) == text
+
+
+def test_first_paths_over_blanks_and_long_stretches_follow_the_distribution(monkeypatch):
+    monkeypatch.setattr(pieces, "PACKED", 3)
+    lattices, runs = pieces.Lattices(VOCABULARY), 3000
+    for text in (CUT, "a    on"):
+        exact, whole, late = every_path(text), Counter(), Counter()
+        for seed in range(runs):
+            whole[tuple(pieces.sample(lattices, [text], [seed * 40_503 + 1], 1)[0][0][0].tolist())] += 1
+        monkeypatch.setattr(pieces, "SHORT", 0)
+        monkeypatch.setattr(pieces, "HEAD", 0)
+        for seed in range(runs):
+            late[tuple(pieces.sample(lattices, [text], [seed * 40_503 + 1], 1)[0][0][0].tolist())] += 1
+        monkeypatch.undo()
+        monkeypatch.setattr(pieces, "PACKED", 3)
+        for path, log_p in exact.items():
+            p = math.exp(log_p)
+            for counted in (whole, late):
+                assert abs(counted[path] / runs - p) < 5 * math.sqrt(p * (1 - p) / runs) + 2e-3
+
+
+def test_cuts_are_where_no_piece_crosses():
+    rng, lattices = random.Random(3), pieces.Lattices(VOCABULARY)
+    letters = "abcde on the 日本語中文, ▁é\t\n" + "  "
+    known = set(VOCABULARY.pieces)
+    for text in ["".join(rng.choice(letters) for _ in range(200)) for _ in range(20)] + ["日本語" * 30, "x" * 40_000]:
+        cut = lattices.segments(["", text, text])[2]
+        held = [s[0] if isinstance(s, tuple) else " " + s for s in cut]
+        assert "".join(held) == " " + text
+        whole, at = " " + text, 0
+        for segment in held[:-1]:
+            at += len(segment)
+            assert not any(whole[a:b] in known for a in range(max(0, at - 15), at) for b in range(at + 1, a + 17))
+    # One long stretch is one segment, and a text of several slices' length is drawn whole.
+    assert len(cut) == 1
+    ids, log_p, _ = pieces.sample(lattices, [text], [5], 1)[0][0]
+    assert VOCABULARY.decode(ids.tolist()) == text and log_p < 0
+
+
 def test_round_trip_and_repeatability(spark):
     rng = random.Random(7)
     odd = ["", None, " ", "  two  blanks ", "tab\tnew\nline\r\n", "▁ sign", "日本語 𝄞 \0 é", "x" * 3000, "word " * 20_000, "\n" * 200]
